@@ -86,7 +86,7 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool =
     return bins, []
 
 
-def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), block: int = 4096) -> DataFrame:
+def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), block: int = 2048) -> DataFrame:
     """Place whole examples: id, n_tokens, n_loss, sequence_id, offset. No shuffle; each task packs blocks of rows.
 
     Null counts are 0. Examples above a limit raise an error (divide them first, or use pack_documents). Repeated
@@ -120,7 +120,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     return src.mapInArrow(run, f"id {kind}, n_tokens long, n_loss long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(), block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(), block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the token ids of every whole text, each ended by end_id, into sequences; one row per piece.
 
     Columns: doc_id, start (of the piece among its document's ids), length, ids_crc32 (of the ids as little-endian

@@ -9,8 +9,10 @@ different pre-token, kept in a bounded cache.
 
 from __future__ import annotations
 
+import array
 import json
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ LETTER, NUMBER, OTHER = rf"[^\W\d_{OTHER_NUMBERS}]", rf"[\d{OTHER_NUMBERS}]", r"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORDS = re.compile(f"{ENDINGS}|{LETTER}+|{NUMBER}|{OTHER}+")
 PIECES = re.compile(rf"{ENDINGS}| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+")
-CACHE = 400_000
+CACHE = 1_200_000
 
 _loaded: dict = {}
 
@@ -97,9 +99,10 @@ class Encoder(dict):
         self.tok, self.special = tokenizer(path), specials(path)
 
     def raw(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array.array("I", self.tok.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.raw(piece)
