@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import embdedup, mixing, ngramjoin, packing, quality, sharding, tokens, vptree
+from palimpsest.llm import embdedup, linededup, mixing, ngramjoin, packing, quality, sharding, tokens, vptree
 
 
 def _vocabulary(name: str) -> str:
@@ -35,6 +35,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", "removed_from", "text")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -54,7 +59,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 SQL = {
