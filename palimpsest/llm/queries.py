@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import embdedup, linededup, mixing, ngramjoin, packing, quality, sharding, tokens, vptree
+from palimpsest.llm import embdedup, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
 
 
 def _vocabulary(name: str) -> str:
@@ -59,7 +59,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 SQL = {
