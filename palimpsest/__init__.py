@@ -1,0 +1 @@
+"""Memory-retrieval analytics on Spark: facts, entities, messages and queues as DataFrames."""
