@@ -48,6 +48,19 @@ def tokens_bigram(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
 
 
+def bigram_tokens(text: str) -> list[str]:
+    """tokens_bigram for single texts in Python."""
+    import regex
+
+    out: list[str] = []
+    for run in regex.findall(r"[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]+|[[\p{L}\p{Nd}]--[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]]+", text.strip(" \t\n\r\f\x0b").lower(), regex.V1):
+        if len(run) > 1 and regex.match(r"[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]", run):
+            out += [run[i : i + 2] for i in range(len(run) - 1)]
+        else:
+            out.append(run)
+    return out
+
+
 Analyzer = Callable[[Column], Column]
 _analyzers: dict[str, Analyzer] = {"en": tokens_english}
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import Analyzer, tokens_bigram
+from palimpsest.functions.text import Analyzer, bigram_tokens, tokens_bigram
 
 FNV_OFFSET, FNV_PRIME, PROJECTIONS = 0x811C9DC5, 0x01000193, 4  # fixed values
 
@@ -54,7 +54,15 @@ def hash_embedding(tokens: list[str], dims: int, cache: dict | None = None) -> n
 
 
 def embed_text(text: Column, dims: int = 1536, analyzer: Analyzer = tokens_bigram) -> Column:
-    """Hashing embedder. Analysis is native; only the sums over hashed tokens run in Python, by Arrow batch."""
+    """Hashing embedder, by Arrow batch. Other analyzers than the bigram one run natively, before the batch reaches Python."""
+    if analyzer is tokens_bigram:  # its lambdas would keep Spark from planning the Python function above it
+
+        @F.pandas_udf("array<float>")
+        def embed_raw(texts: pd.Series) -> pd.Series:
+            cache: dict = {}
+            return pd.Series([hash_embedding(bigram_tokens(t or ""), dims, cache) for t in texts])
+
+        return embed_raw(text)
 
     @F.pandas_udf("array<float>")
     def embed(tokens: pd.Series) -> pd.Series:

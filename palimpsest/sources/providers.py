@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import bigram_tokens
+from palimpsest.functions.vectors import hash_embedding
+
 BATCH = 96
 
 
@@ -34,24 +37,9 @@ class HashingEmbedder:
         self.dims = dims
 
     def embed(self, texts: Sequence[str]) -> list[Sequence[float]]:
-        from palimpsest.functions.vectors import hash_embedding
-
         return [hash_embedding(bigram_tokens(t), self.dims).tolist() for t in texts]
 
 
-def bigram_tokens(text: str) -> list[str]:
-    """The bigram analysis of palimpsest.functions.text, for single texts on the driver."""
-    import regex
-
-    out: list[str] = []
-    for run in regex.findall(r"[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]+|[[\p{L}\p{Nd}]--[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]]+", text.strip(" \t\n\r\f\x0b").lower(), regex.V1):
-        if len(run) > 1 and regex.match(r"[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]", run):
-            out += [run[i : i + 2] for i in range(len(run) - 1)]
-        else:
-            out.append(run)
-    return out
-
-
 def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str = "content", out_col: str = "embedding", retries: int = 3) -> DataFrame:
     """Fill out_col by the embedder, called with 96 texts at a time inside each task; a wrong number or width of vectors fails."""
     schema = rows.drop(out_col).withColumn(out_col, F.lit(None).cast("array<float>")).schema
