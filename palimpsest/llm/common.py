@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -45,8 +47,30 @@ class Stage:
 
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, so that shuffle files of finished stages are deleted on the executors now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees the plans, the second what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, and all others as one struct named rest, so that no name of theirs can clash with working columns."""
+    others = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in keep]
+    return df.select(*[F.col(f"`{c}`") for c in keep], (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest"))
+
+
+def unpacked(columns: list[str], *keep: str) -> list[Column]:
+    """What brings a packed frame's columns back, in their order."""
+    return [F.col(f"`{c}`") if c in keep else F.col("rest").getField(c).alias(c) for c in columns]
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system, where that can be done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, partitions
+from palimpsest.llm.common import Stage, partitions, trim
 
 
 def in_blocks(rows: DataFrame, key: str, sizes: DataFrame | None, most: int) -> DataFrame:
@@ -60,6 +60,7 @@ def per_group(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.
                     wait, n = [], 0
         if wait:
             yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+        trim()
 
     dealt = rows.select(*keys, "_side", *columns).repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, connected_components
+from palimpsest.llm.common import Stage, connected_components, release, trim
 from palimpsest.llm.grouped import in_blocks, large_keys, per_group
 
 BITS = 1024
@@ -121,16 +121,21 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar, by comparing the sets; texts of documents in no pair stay out."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def set_table(ids: DataFrame, docs: DataFrame) -> Stage:
+    """(doc_id, h): the shingle sets of the listed documents; the other texts stay out."""
 
     def sets(batches):
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 500), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).slice(s, 500).to_pylist()], pa.binary())], names=["doc_id", "h"])
+        trim()
+
+    return Stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary").dropDuplicates(["doc_id"]))
 
-    have = Stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary").dropDuplicates(["doc_id"]))
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar, by comparing the sets."""
+    have = set_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
     left, right = (have.df().select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
 
     def compare(batches):
@@ -143,6 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     out = Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"))
     have.drop()
@@ -155,9 +161,10 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles;
     component_id is the smallest doc_id reachable by links. Sets are compared by 64-bit hashes of their shingles.
     Documents of equal sets are collapsed first. In round one each document is compared with the one document with
-    which it shares most keys among the smallest ids of its keys; round two compares, in every key that still holds
-    several components, all pairs from different ones whose bit sketches allow the threshold. Keys with more than
-    `block` documents are dealt into pairs of blocks. So every pair with a common key is linked, connected or compared.
+    which it shares most keys among the smallest ids of its keys. Round two looks at every key that still holds several
+    components: the documents whose bit sketch allows a link into another component are compared, sets against sets,
+    within the key's task, until they are connected or seen to be apart; only connecting links leave the task. Keys with
+    more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or compared.
     Null or empty texts, and texts without words, have no shingle and their own component. Null ids have a null component.
     Rows of one doc_id are one document (the set of one of its rows is used). An empty table gives no row.
     """
@@ -185,9 +192,16 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_
     members = Stage(comp.join(mixed, "key", "left_semi"))
     held = members.df().join(sized, "rep")
     large = large_keys(members.df(), "key", block)
-    more = per_group(in_blocks(held, "key", large, block), "key", ["rep", "comp", "n", "bits"], _cross(percent), "a long, b long")
-    more = Stage(more.distinct())
-    second = verified(more.df(), texts, percent)
+    asked = per_group(in_blocks(held, "key", large, block), "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long")
+    asked = Stage(asked)
+    few = Stage(asked.df().where("other is not null").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
+    many = asked.df().where("other is null").drop("other")
+    sets = set_table(many.select(F.col("rep").alias("doc_id")).distinct(), texts)
+    full = many.join(sets.df().withColumnRenamed("doc_id", "rep"), "rep")
+    dense = Stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()).df()
+    second = verified(few.df(), texts, percent).union(dense)
+    sets.drop()
+    release(texts.sparkSession)
     edges = first.union(second)
     comp = connected_components(edges).select(F.col("node").alias("rep"), "component")
     member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("_c"))
@@ -213,22 +227,72 @@ def _possible(percent: int):
     return run
 
 
-def _cross(percent: int):
+def _cross(percent: int, few: int = 4):
+    """Of a key's documents those whose sketch allows a link to one of another component: as pairs, if these are few for the
+    number of documents, else as the documents (other null), to be compared within the key."""
+    names = ["key", "_i", "_j", "_side", "rep", "comp", "other"]
+
     def work(g: pa.Table) -> pa.RecordBatch | None:
         rep, comp, n, side = (g.column(c).to_numpy() for c in ("rep", "comp", "n", "_side"))
         if comp.min() == comp.max():
             return None
         bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         split = side.any()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(len(rep)),) * 2
-        found = []
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(len(comp)),) * 2
+        some = np.zeros(len(comp), bool)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for i in left:
             j = right if split else right[i + 1 :]
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if len(j):
                 d = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                 j = j[(100 + percent) * d <= _bound(n[j], n[i], percent)]
-                found += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j]
+                some[j] = True
+                some[i] |= len(j) > 0
+                count += len(j)
+                if count <= few * len(comp):
+                    pairs.append((np.full(len(j), i), j))
+        if not count:
+            return None
+        if count <= few * len(comp):
+            at, other = (np.concatenate(x) for x in zip(*pairs))
+            last = pa.array(rep[other])
+        else:
+            at = np.flatnonzero(some)
+            last = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([*[pa.array(g.column(c).to_numpy()[at]) for c in names[:-1]], last], names=names)
+
+    return work
+
+
+def _link(percent: int):
+    """Links that connect a key's components: one document's set is marked and counted in all others at once."""
+
+    def work(g: pa.Table) -> pa.RecordBatch | None:
+        rep, comp, side = (g.column(c).to_numpy() for c in ("rep", "comp", "_side"))
+        sets = [np.frombuffer(x, np.uint64) for x in g.column("h").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        split, group = side.any(), np.unique(comp, return_inverse=True)[1]
+        found = []
+        marked = np.zeros(token.max() + 1, np.int64)
+        for i in range(len(rep)):
+            j = np.flatnonzero((group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (side != side[i] if split else True))
+            j = j[j > i]
+            if not len(j):
+                continue
+            own = token[begin[i] : begin[i + 1]]
+            marked[own] = 1
+            at = np.concatenate([[0], np.cumsum(n[j])])
+            inside = np.repeat(begin[j] - at[:-1], n[j]) + np.arange(at[-1])
+            common = np.add.reduceat(marked[token[inside]], at[:-1])
+            marked[own] = 0
+            for k in j[100 * common >= percent * (n[i] + n[j] - common)]:
+                if group[k] != group[i]:
+                    found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                    group[group == group[k]] = group[i]
         if not found:
             return None
         a, b = zip(*found)
