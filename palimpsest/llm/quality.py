@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import packed, trim, unpacked
+
 HALF, EMBED, FILTERS, HIDDEN = 4, 8, 32, 16  # a filter sees two halves of HALF bytes; filters step by HALF bytes
 STEP, CHUNK = 112, 128  # halves between chunks, and in a chunk
 STEP_BYTES, CHUNK_BYTES = STEP * HALF, CHUNK * HALF
@@ -51,7 +53,7 @@ def document_logits(m: Model, texts: list[bytes], group: int = 1 << 18) -> np.nd
 
     def run(parts: list[tuple[int, bytes, int]]) -> None:
         """parts: text's number, bytes, chunks to count (one block more may follow, for the last one's overlap)."""
-        blocks = [max(1, -(-len(b) // STEP_BYTES)) for _, b, _ in parts]
+        blocks = [-(-(len(b) + HALF) // STEP_BYTES) for _, b, _ in parts]  # at least a half of nothing ends each text
         at = np.concatenate([[0], np.cumsum(blocks)])
         flat = np.zeros((at[-1] + 1) * STEP_BYTES, np.uint8)
         valid = np.zeros((at[-1] + 1) * STEP, bool)
@@ -169,15 +171,17 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     from pyspark.sql import types as T
 
     src = docs.drop("score", "predicted")
-    schema = T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())])
-    at = src.columns.index("text")
+    part = packed(src, "text")
+    schema = T.StructType([*part.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
             n = max(1, b.nbytes // (4 << 20))
             for s in range(0, b.num_rows, step := max(1, b.num_rows // n)):
-                part = b.slice(s, step)
-                logits = document_logits(model, [(t or "").encode() for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))], names=[*b.schema.names, "score"])
+                some = b.slice(s, step)
+                logits = document_logits(model, [(t or "").encode() for t in some.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))], names=[*b.schema.names, "score"])
+        trim()
 
-    return src.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = part.mapInArrow(run, schema)
+    return scored.select(*unpacked(src.columns, "text"), "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
