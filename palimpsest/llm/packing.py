@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import trim
 from palimpsest.llm.tokens import Encoder, kept
 
 
@@ -96,6 +97,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
     def run(batches):
         ids, sizes, losses, serial = [], [], [], [TaskContext.get().partitionId() << 40]
+        id_type = None
 
         def flush():
             out = []
@@ -106,9 +108,10 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
                     at += k
                 serial[0] += 1
             ids.clear(), sizes.clear(), losses.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate([None if out else pa.int64(), *[pa.int64()] * 4])], names=["id", "n_tokens", "n_loss", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate([id_type, *[pa.int64()] * 4])], names=["id", "n_tokens", "n_loss", "sequence_id", "offset"])
 
         for b in batches:
+            id_type = b.schema.field(0).type
             for i, t, x in zip(*(c.to_pylist() for c in b.columns)):
                 ids.append(i), sizes.append(t), losses.append(x)
                 if len(ids) == block:
@@ -126,13 +129,13 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits =
     Columns: doc_id, start (of the piece among its document's ids), length, ids_crc32 (of the ids as little-endian
     unsigned 32-bit integers), doc_tokens, sequence_id, offset (in the sequence), segment (the piece's number there),
     loss_tokens (ids of the piece with a context in it or before it: all but the document's first).
-    Whole stretches of limits.tokens ids are sequences of their own; the tails are packed by pack_block in blocks of
+    Whole stretches of as many ids as a sequence may hold are sequences of their own; the tails are packed by pack_block in blocks of
     rows, dividing some to fill gaps. Sequence ids are unique in the result, not consecutive. Null and empty texts have
     the end id alone; repeated rows are packed once each; null ids stay; an empty table gives no row; other columns are
     not read. No shuffle: a task holds one block of tails. Rerunning a task numbers its sequences as before.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    size = limits.tokens
+    size = min(limits.tokens, limits.loss_tokens)  # all ids but a document's first bear loss
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -180,6 +183,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits =
             place(True)
         if id_type is not None:
             yield out()
+        trim()
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))

@@ -26,7 +26,7 @@ LETTER, NUMBER, OTHER = rf"[^\W\d_{OTHER_NUMBERS}]", rf"[\d{OTHER_NUMBERS}]", r"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORDS = re.compile(f"{ENDINGS}|{LETTER}+|{NUMBER}|{OTHER}+")
 PIECES = re.compile(rf"{ENDINGS}| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|\s+(?!\S)|\s+")
-CACHE = 1_200_000
+CACHE = 800_000
 
 _loaded: dict = {}
 
