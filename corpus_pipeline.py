@@ -6,38 +6,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import linededup, mixing, ngramjoin, packing, quality
-from palimpsest.llm.common import Stage, release
+from palimpsest.llm.common import Stage, packed, release, unpacked
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network, trained on the labelled ones among them, does not reject (score >= 0.3)."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score_documents(packed(docs, "text"), model).where("predicted = 1").select(*unpacked(docs.columns, "text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines aligned with earlier documents; those of which nothing is left go. n_chars follows the text."""
-    cut = linededup.dedup_lines(docs)
+    cut = linededup.dedup_lines(packed(docs, "doc_id", "text"))
     cut = cut.where("n_removed = 0 or trim(text) <> ''")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars")).alias("n_chars")
+    return cut.select(*[chars if name == "n_chars" else c for name, c in zip(docs.columns, unpacked(docs.columns, "doc_id", "text"))])
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without an id stay."""
     found = ngramjoin.similar_documents(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_row = 1")
-    return one.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    rows = packed(docs, "doc_id")
+    one = rows.join(kept, "doc_id").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_row = 1").drop("_row")
+    return one.union(rows.where("doc_id is null")).select(*unpacked(docs.columns, "doc_id"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows that share an id share their copies as evenly as can be."""
     taken = mixing.mix_documents(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = packed(docs, "doc_id").join(taken.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     share = F.floor(F.col("_copies") * F.col("_i") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_i") - 1) / F.col("_rows"))
     out = joined.withColumn("_i", i).withColumn("_n", share.cast("int")).where("_n > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*unpacked(docs.columns, "doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
