@@ -90,7 +90,7 @@ def document_logits(m: Model, texts: list[bytes], group: int = 1 << 18) -> np.nd
     return sums / counts
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Model:
+def train(chunks: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Model:
     """Fit by Adam on chunks (rows of CHUNK_BYTES bytes, the first `lengths` of each valid) with the texts' labels."""
     m, r = new_model(seed), np.random.default_rng(seed)
     if not len(chunks):
@@ -139,7 +139,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, chunks_per_doc: int = 4, label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, chunks_per_doc: int = 3, label_col: str = "quality") -> Model:
     """Train on at most `sample` labelled rows outside the held-out fold, those with the smallest hash of doc_id.
 
     That bound is the only one: it limits what the driver gets to sample * chunks_per_doc chunks of CHUNK_BYTES bytes.
