@@ -21,6 +21,7 @@ from palimpsest.llm.grouped import in_blocks, large_keys, per_group
 
 BITS = 1024
 LEAST_CELLS = 64
+ROUNDS = 3  # of joining nearest components, before a dense key is compared within its task
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -161,10 +162,12 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles;
     component_id is the smallest doc_id reachable by links. Sets are compared by 64-bit hashes of their shingles.
     Documents of equal sets are collapsed first. In round one each document is compared with the one document with
-    which it shares most keys among the smallest ids of its keys. Round two looks at every key that still holds several
-    components: the documents whose bit sketch allows a link into another component are compared, sets against sets,
-    within the key's task, until they are connected or seen to be apart; only connecting links leave the task. Keys with
-    more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or compared.
+    which it shares most keys among the smallest ids of its keys. Later rounds look at every key that still holds several
+    components: pairs from different ones whose bit sketches allow a link are compared, all of them if they are few, else
+    each document with its nearest one; a key that had many comes again with the components known then. What is still dense
+    after ROUNDS rounds is compared, sets against sets, within the key's task, and only connecting links leave it. Keys
+    with more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or
+    compared, and no step emits more than a few rows for each document of a key.
     Null or empty texts, and texts without words, have no shingle and their own component. Null ids have a null component.
     Rows of one doc_id are one document (the set of one of its rows is used). An empty table gives no row.
     """
@@ -185,24 +188,32 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_
     star = best.join(sized.selectExpr("rep a", "n na", "bits ba"), "a").join(sized.selectExpr("rep b", "n nb", "bits bb"), "b")
     star = Stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
     first = verified(star.df(), texts, percent)
-    known = Stage(connected_components(first))
-    # round two
-    comp = keyed.df().select("key", "rep").join(known.df().withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = Stage(comp.join(mixed, "key", "left_semi"))
-    held = members.df().join(sized, "rep")
-    large = large_keys(members.df(), "key", block)
-    asked = per_group(in_blocks(held, "key", large, block), "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long")
-    asked = Stage(asked)
-    few = Stage(asked.df().where("other is not null").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-    many = asked.df().where("other is null").drop("other")
-    sets = set_table(many.select(F.col("rep").alias("doc_id")).distinct(), texts)
-    full = many.join(sets.df().withColumnRenamed("doc_id", "rep"), "rep")
-    dense = Stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()).df()
-    second = verified(few.df(), texts, percent).union(dense)
-    sets.drop()
-    release(texts.sparkSession)
-    edges = first.union(second)
+    edges = first
+    spark = texts.sparkSession
+    left = keyed.df().select("key", "rep")
+    for step in range(ROUNDS + 1):
+        known = Stage(connected_components(edges))
+        comp = left.join(known.df().withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        comp = Stage(comp)
+        mixed = comp.df().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        members = Stage(comp.df().join(mixed, "key", "left_semi"))
+        held = in_blocks(members.df().join(sized, "rep"), "key", large_keys(members.df(), "key", block), block)
+        asked = Stage(per_group(held, "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long, dense boolean"))
+        if step < ROUNDS:
+            pairs = Stage(asked.df().select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
+            found = verified(pairs.df(), texts, percent)
+        else:
+            many = asked.df().where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
+            sets = set_table(many.select(F.col("rep").alias("doc_id")).distinct(), texts)
+            full = many.join(sets.df().withColumnRenamed("doc_id", "rep"), "rep")
+            few = Stage(asked.df().where("not dense").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
+            found = verified(few.df(), texts, percent).union(Stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()).df())
+        edges = edges.union(found)
+        dense = Stage(asked.df().where("dense").select("key").distinct())
+        left = comp.df().select("key", "rep").join(dense.df(), "key", "left_semi")
+        release(spark)
+        if dense.df().isEmpty():
+            break
     comp = connected_components(edges).select(F.col("node").alias("rep"), "component")
     member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("_c"))
     out = real.select("doc_id", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "n", "_c")
@@ -228,9 +239,12 @@ def _possible(percent: int):
 
 
 def _cross(percent: int, few: int = 4):
-    """Of a key's documents those whose sketch allows a link to one of another component: as pairs, if these are few for the
-    number of documents, else as the documents (other null), to be compared within the key."""
-    names = ["key", "_i", "_j", "_side", "rep", "comp", "other"]
+    """Pairs of a key's documents from different components whose sketches allow a link (rep, other).
+
+    If they are few for the number of documents, all of them; else the key is dense, and each document has its nearest
+    one by sketch, if there is any. The documents of a dense key that can link at all are all named.
+    """
+    names = ["key", "_i", "_j", "_side", "rep", "comp"]
 
     def work(g: pa.Table) -> pa.RecordBatch | None:
         rep, comp, n, side = (g.column(c).to_numpy() for c in ("rep", "comp", "n", "_side"))
@@ -239,29 +253,35 @@ def _cross(percent: int, few: int = 4):
         bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         split = side.any()
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(len(comp)),) * 2
-        some = np.zeros(len(comp), bool)
+        nearest, least = np.full(len(comp), -1), np.full(len(comp), np.iinfo(np.int64).max)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
         for i in left:
             j = right if split else right[i + 1 :]
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if len(j):
-                d = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[(100 + percent) * d <= _bound(n[j], n[i], percent)]
-                some[j] = True
-                some[i] |= len(j) > 0
-                count += len(j)
-                if count <= few * len(comp):
-                    pairs.append((np.full(len(j), i), j))
+            if not len(j):
+                continue
+            d = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            ok = (100 + percent) * d <= _bound(n[j], n[i], percent)
+            j, d = j[ok], d[ok]
+            if not len(j):
+                continue
+            count += len(j)
+            if count <= few * len(comp):
+                pairs.append((np.full(len(j), i), j))
+            if d.min() < least[i]:
+                least[i], nearest[i] = d.min(), j[d.argmin()]
+            closer = d < least[j]
+            least[j[closer]], nearest[j[closer]] = d[closer], i
         if not count:
             return None
-        if count <= few * len(comp):
-            at, other = (np.concatenate(x) for x in zip(*pairs))
-            last = pa.array(rep[other])
+        dense = count > few * len(comp)
+        if dense:
+            at = np.flatnonzero(nearest >= 0)
+            other = nearest[at]
         else:
-            at = np.flatnonzero(some)
-            last = pa.nulls(len(at), pa.int64())
-        return pa.RecordBatch.from_arrays([*[pa.array(g.column(c).to_numpy()[at]) for c in names[:-1]], last], names=names)
+            at, other = (np.concatenate(x) for x in zip(*pairs))
+        return pa.RecordBatch.from_arrays([*[pa.array(g.column(c).to_numpy()[at]) for c in names], pa.array(rep[other]), pa.array(np.full(len(at), dense))], names=[*names, "other", "dense"])
 
     return work
 
