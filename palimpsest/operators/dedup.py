@@ -206,3 +206,13 @@ def mark_failed(facts: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFram
     out = facts.join(hit, "id", "left")
     events = out.where("_hit").select("workspace_name", F.col("id").alias("conclusion_id"), F.lit("sync_failed").alias("event"), F.lit("reconciler").alias("actor"), now.alias("created_at"))
     return out.withColumn("sync_state", F.when(F.col("_hit"), F.lit("failed")).otherwise(F.col("sync_state"))).select(*facts.columns), events
+
+
+def inject(content: str, pair: tuple[str, str, str], session: str, facts: DataFrame, now: Column, embed, analyzer, actor: str = "api") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One explicit fact written by hand through all three stages: (outcomes, changed facts, events)."""
+    from palimpsest.operators.model import finish_drafts
+
+    row = facts.sparkSession.range(1).select(*[F.lit(v).alias(c) for c, v in zip(PAIR, pair)], F.lit(session).alias("session_name"), F.lit(content).alias("content"), F.lit("explicit").alias("level"), F.lit(0).alias("position"))
+    draft = finish_drafts(row, analyzer).withColumn("embedding", embed(F.col("content")))
+    outcomes, changed = upsert_in_order(draft, facts, now)
+    return outcomes, changed, outcome_events(outcomes, actor, now)
