@@ -35,3 +35,18 @@ def test_tokens(spark):
     df = spark.createDataFrame([("a b c",), (None,), ("",)], "t string")
     rows = df.select(tokens.token_count(F.col("t"), Words, "w").alias("n"), tokens.truncate_tokens(F.col("t"), 2, Words, "w").alias("c")).collect()
     assert [(r.n, r.c) for r in rows] == [(3, "a b"), (0, None), (0, "")]
+
+
+def test_entities_and_cascade(spark):
+    from palimpsest.operators import entities, work
+
+    e = spark.createDataFrame([("e1", "w", "tea", None), ("e2", "w", "cup", [1.0] * 8)], "id string, workspace_name string, name_norm string, embedding array<float>").withColumn("created_at", F.expr(NOW))
+    assert [r.id for r in entities.missing_vectors(e, 5).collect()] == ["e1"]
+    filled = {r.id: r.embedding for r in entities.with_vectors(e, lambda c: vectors.embed_text(c, 8)).collect()}
+    assert filled["e2"] == [1.0] * 8 and len(filled["e1"]) == 8
+    f = facts(spark, [("a", "x", "explicit", "s", 1, 1), ("b", "y", "explicit", "t", 1, 1)])
+    links = spark.createDataFrame([("w", "e1", "a"), ("w", "e2", "b")], "workspace_name string, entity_id string, conclusion_id string")
+    out, events, left, kept = work.delete_session(("w", "s"), f, links, e, F.expr(NOW))
+    assert {r.id: r.deleted_at is not None for r in out.collect()} == {"a": True, "b": False}
+    assert [r.conclusion_id for r in events.collect()] == ["a"] and [r.entity_id for r in left.collect()] == ["e2"] and [r.id for r in kept.collect()] == ["e2"]
+    assert entities.add_links(links, links).count() == 2 and [r.conclusion_id for r in entities.linked_conclusions(links.withColumn("created_at", F.expr(NOW)), "e1").collect()] == ["a"]
