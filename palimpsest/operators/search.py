@@ -23,15 +23,8 @@ def has_phrase(tokens: Column, words: list[str]) -> Column:
     """All words stand next to each other in this order."""
     if len(words) == 1:
         return F.array_contains(tokens, words[0])
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens))), lambda i: _at(tokens, i, words))
-    return (F.size(tokens) >= len(words)) & (F.size(first) > 0)
-
-
-def _at(tokens: Column, i: Column, words: list[str]) -> Column:
-    out = F.lit(True)
-    for k, w in enumerate(words):
-        out = out & F.coalesce(F.get(tokens, i - 1 + k) == w, F.lit(False))
-    return out
+    # tokens hold no spaces, so adjacency is a substring of the joined tokens, made once a row
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def _words(text: str) -> list[str]:
