@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import Stage, packed, unpacked
 
+BLANK = " \t\x0b\f\r\xa0"
+
 
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned blocks (start in a, start in b, length) of a patience diff of two sequences.
@@ -66,18 +68,39 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def runs(w: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The shortest runs (start, end) of at least min_words words from each line on and up to each line, w being words a line.
+
+    Every longer run is covered by those inside it, and which they are depends on its own lines only, so two documents
+    share a run of min_words words only if they share these. All of a document that is too short is one run.
+    """
+    out: dict[tuple[int, int], None] = {}
+    s = total = 0
+    for e, n in enumerate(w, 1):
+        total += n
+        while total >= min_words:
+            last = total - w[s] < min_words
+            if last or total - n < min_words:
+                out[s, e] = None
+            if last:
+                break
+            total -= w[s]
+            s += 1
+    return list(out) or ([(0, len(w))] if w else [])
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, text without the blocks that align with an earlier document; and what went.
 
     Added columns: n_lines, n_removed (lines), removed_from (smallest doc_id whose blocks were deleted here, null if
     none). Of the same names in docs, they replace the columns.
-    Lines are parted by line feeds and compared exactly; lines of white space alone are not compared. A line that occurs
-    in several documents belongs to the smallest doc_id with it; each later document with the line is paired with that
-    one, so that a line, however frequent, gives one pair for each document and rare lines need no bound to define them.
+    Lines are parted by line feeds and compared exactly; lines of white space alone are not compared. A shortest run of
+    lines with at least min_words words (or all of a shorter document) that occurs in several documents belongs to the
+    smallest doc_id with it; each later document with the run is paired with that one, so that a run, however frequent,
+    gives one pair for each document, and every passage of min_words words that any earlier document holds is met.
     Each pair is aligned by patience diff over all its lines, and an aligned block of at least min_words words is deleted
-    from the later document, with blank lines inside it, and so is a block that is all of both documents. Shorter blocks (a common heading, a
-    licence line) stay. Remaining
-    lines are joined by line feeds. Decisions rest on the texts as given, not on what other pairs have left.
+    from the later document, and so is a block that is all of both documents. Blank lines between deleted lines go with
+    them. Shorter blocks (a common heading, a licence line) stay. Remaining lines are joined by line feeds. Decisions rest on the texts as given, not on what other pairs have left.
     Null text stays null; null ids are passed on unchanged; rows of one doc_id are one document (one of its rows is
     compared, and each loses the same lines); an empty table stays empty. The text is shuffled once, to meet its
     document's deletions; all else is hashes.
@@ -87,7 +110,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.size(F.split(F.trim(F.regexp_replace(x, "[\\s\\u00a0]+", " ")), " ")).alias("w"), (F.trim(F.regexp_replace(x, "[\\s\\u00a0]+", " ")) == "").alias("blank"))), lambda s: ~s["blank"])
     shape = src.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), numbered.alias("l"))
     shape = Stage(shape.select("doc", F.col("l.pos").alias("pos"), F.col("l.h").alias("h"), F.col("l.w").alias("w")).where(F.size("h") > 0).dropDuplicates(["doc"]))
-    seen = shape.df().select("doc", F.explode(F.array_distinct("h")).alias("h"))
+
+    def keys(batches):
+        for batch in batches:
+            doc, key = [], []
+            for d, h, w in zip(*(c.to_pylist() for c in batch.columns)):
+                own = {hash(tuple(h[s:e])) for s, e in runs(w, min_words)}  # of integers, so the same in every process
+                doc += [d] * len(own)
+                key += own
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64())], names=["doc", "h"])
+
+    seen = Stage(shape.df().select("doc", "h", "w").mapInArrow(keys, "doc long, h long")).df()
     # staged, so that both sides of the join are plain exchanges and a very common line's rows can be split
     owner = Stage(seen.groupBy("h").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a"))
     pairs = Stage(seen.join(owner.df(), "h").where("doc > a").select("a", F.col("doc").alias("b")).distinct())
@@ -101,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
                 gone: list[int] = []
                 for _, j, k in patience_blocks(ha, hb):
                     if sum(w[j : j + k]) >= min_words or ha == hb:
-                        gone += range(pos[j], pos[j + k - 1] + 1)
+                        gone += pos[j : j + k]
                 if gone:
                     out.append((a, b, gone))
             a, b, gone = zip(*out) if out else ((), (), ())
@@ -120,10 +153,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
             for t, gone in zip(b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 parts = [] if t is None else t.split("\n")
                 n.append(len(parts))
-                m.append(len(gone or ()))
                 if gone:
                     keep = np.ones(len(parts), bool)
                     keep[gone] = False
+                    gone = sorted(gone)
+                    for i, j in zip(gone, gone[1:]):
+                        if not any(p.strip(BLANK) for p in parts[i + 1 : j]):
+                            keep[i + 1 : j] = False
+                m.append(int((~keep).sum()) if gone else 0)
+                if gone:
                     t = "\n".join([p for p, k in zip(parts, keep) if k])
                 texts.append(t)
             cols = list(b.columns[:-2])

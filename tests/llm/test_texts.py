@@ -91,6 +91,19 @@ def test_line_dedup(write):
     assert linededup.dedup_lines(write([], DOC)).count() == 0
 
 
+def test_line_dedup_owners_apart(write):
+    """A passage is found although each of its lines, and of its pairs of lines, occurs first in another document."""
+    rng = random.Random(19)
+    x = [words(rng, 8) for _ in range(6)]
+    docs = {1: x[:2], 2: x[1:3], 3: [x[2]], 4: [x[3], "", x[4]], 5: [x[4], x[5]], 10: ["own ten", *x[:3], "", "end ten"], 11: ["own eleven", x[0], "", *x[1:3], "end"], 20: x[3:], 21: [x[3], "", *x[4:]], 30: [words(rng, 25), "", words(rng, 25)]}
+    docs |= {31: [docs[30][2]], 29: [docs[30][0]]}
+    docs[32] = docs[30]
+    got = {r.doc_id: r for r in linededup.dedup_lines(write([(k, "\n".join(v)) for k, v in docs.items()], DOC)).collect()}
+    assert got[11].text == "own eleven\nend" and got[11].n_removed == 4 and got[11].removed_from == 10
+    assert got[21].text == "" and got[21].removed_from == 20 and got[20].n_removed == got[10].n_removed == 0
+    assert got[32].text == "" and got[32].n_removed == 3 and got[32].removed_from == 29
+
+
 def test_patience():
     rng = random.Random(10)
     for _ in range(200):
