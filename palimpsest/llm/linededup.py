@@ -89,6 +89,28 @@ def runs(w: list[int], min_words: int) -> list[tuple[int, int]]:
     return list(out) or ([(0, len(w))] if w else [])
 
 
+def shared_lines(a: list[int], b: list[int], w: list[int], min_words: int) -> list[int]:
+    """The lines of b, w words each, that lie in a run of at least min_words words which a holds too, or all if a = b.
+
+    Patience diff finds most of them; what it leaves (repeated or moved passages) is searched run by run.
+    """
+    if a == b:
+        return list(range(len(b)))
+    gone: set[int] = set()
+    for _, j, k in patience_blocks(a, b):
+        if sum(w[j : j + k]) >= min_words:
+            gone.update(range(j, j + k))
+    if len(gone) == len(b) or sum(w) < min_words:
+        return sorted(gone)
+    held = set(a)
+    open_runs = [(s, e) for s, e in runs(w, min_words) if not gone.issuperset(range(s, e)) and held.issuperset(b[s:e])]
+    grams = {n: {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} for n in {e - s for s, e in open_runs}}
+    for s, e in open_runs:
+        if tuple(b[s:e]) in grams[e - s]:
+            gone.update(range(s, e))
+    return sorted(gone)
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, text without the blocks that align with an earlier document; and what went.
 
@@ -98,9 +120,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
     lines with at least min_words words (or all of a shorter document) that occurs in several documents belongs to the
     smallest doc_id with it; each later document with the run is paired with that one, so that a run, however frequent,
     gives one pair for each document, and every passage of min_words words that any earlier document holds is met.
-    Each pair is aligned by patience diff over all its lines, and an aligned block of at least min_words words is deleted
-    from the later document, and so is a block that is all of both documents. Blank lines between deleted lines go with
-    them. Shorter blocks (a common heading, a licence line) stay. Remaining lines are joined by line feeds. Decisions rest on the texts as given, not on what other pairs have left.
+    Each pair is aligned by patience diff over all its lines, and what that leaves is searched for common runs; every
+    run of at least min_words words that the earlier document holds, at any place and however often, is deleted from the
+    later one, and so is a run that is all of both documents. Blank lines between deleted lines go with them. Shorter blocks (a common heading, a licence line) stay. Remaining lines are joined by line feeds. Decisions rest on the texts as given, not on what other pairs have left.
     Null text stays null; null ids are passed on unchanged; rows of one doc_id are one document (one of its rows is
     compared, and each loses the same lines); an empty table stays empty. The text is shuffled once, to meet its
     document's deletions; all else is hashes.
@@ -131,10 +153,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
         for batch in batches:
             out = []
             for a, b, ha, hb, w, pos in zip(*(c.to_pylist() for c in batch.columns)):
-                gone: list[int] = []
-                for _, j, k in patience_blocks(ha, hb):
-                    if sum(w[j : j + k]) >= min_words or ha == hb:
-                        gone += pos[j : j + k]
+                gone = [pos[j] for j in shared_lines(ha, hb, w, min_words)]
                 if gone:
                     out.append((a, b, gone))
             a, b, gone = zip(*out) if out else ((), (), ())

@@ -104,6 +104,32 @@ def test_line_dedup_owners_apart(write):
     assert got[32].text == "" and got[32].n_removed == 3 and got[32].removed_from == 29
 
 
+def test_line_dedup_repeated_and_moved(write):
+    """Against all pairs of documents by brute force: repeated and swapped passages go as well."""
+    rng = random.Random(20)
+    p, q = [words(rng, 9) for _ in range(3)], [words(rng, 9) for _ in range(3)]
+    docs = {1: ["x", *p, "y", *p, *q, "z"], 2: ["q", *p, "r"], 3: ["s", *q, "t", *p, "u", *p, "v"]}
+    hot = [words(rng, n) for n in (1, 3, 8, 8, 12, 12, 25)]
+    docs |= {i: [rng.choice(hot) for _ in range(rng.randrange(1, 9))] for i in range(10, 90)}
+
+    def brute(d):
+        gone, source = set(), []
+        for c in sorted(k for k in docs if k < d):
+            a, b = docs[c], docs[d]
+            hit = set(range(len(b))) if a == b else set()
+            for s in range(len(b)):
+                for e in range(s + 1, len(b) + 1):
+                    if sum(len(x.split()) for x in b[s:e]) >= 20 and any(a[i : i + e - s] == b[s:e] for i in range(len(a))):
+                        hit.update(range(s, e))
+            gone |= hit
+            source += [c] if hit else []
+        return "\n".join(x for i, x in enumerate(docs[d]) if i not in gone), min(source, default=None)
+
+    got = {r.doc_id: (r.text, r.removed_from) for r in linededup.dedup_lines(write([(k, "\n".join(v)) for k, v in docs.items()], DOC)).collect()}
+    assert got == {d: brute(d) for d in docs}
+    assert got[2] == ("q\nr", 1) and got[3] == ("s\nt\nu\nv", 1)
+
+
 def test_patience():
     rng = random.Random(10)
     for _ in range(200):
