@@ -78,18 +78,54 @@ def resolve(names: DataFrame, entities: DataFrame, block: int = 512) -> DataFram
     """Where each distinct (workspace_name, name_norm, embedding) goes: entity_id, how ('exact', 'merged' or 'new').
 
     An equal name wins; else the nearest entity of the workspace with a similarity of 0.95 or more, ties to the smaller
-    id; else a new entity, its id hashed from workspace and name. Names of one call see the entities given, not each other.
+    id; else a new entity, its id hashed from workspace and name. Names go in order of `position` (of name_norm, where
+    that is missing or equal), and each sees the entities that earlier ones of the call have become. Names without an
+    equal one are folded in one task a workspace, since each depends on those before it; the entities given are compared
+    in a join before. Of a name given twice the first counts.
     """
-    exact = names.join(entities.select("workspace_name", "name_norm", F.col("id").alias("entity_id")), ["workspace_name", "name_norm"], "left")
+    import numpy as np
+    import pandas as pd
+
+    order = "position" if "position" in names.columns else "name_norm"
+    first = names.groupBy("workspace_name", "name_norm").agg(F.min_by("embedding", F.col(order)).alias("embedding"), F.min(order).alias("_at"))
+    exact = first.join(entities.groupBy("workspace_name", "name_norm").agg(F.min("id").alias("entity_id")), ["workspace_name", "name_norm"], "left")
     have = exact.where("entity_id is not null").select("workspace_name", "name_norm", "entity_id", F.lit("exact").alias("how"))
     rest = exact.where("entity_id is null").drop("entity_id")
-    near = rest.join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), F.col("embedding").alias("_e")), "workspace_name")
+    near = rest.where("embedding is not null").join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), F.col("embedding").alias("_e")), "workspace_name")
     near = near.withColumn("sim", similarity(cosine_distance(F.col("_e"), F.col("embedding")))).where(F.col("sim") >= MERGE_AT)
-    best = near.groupBy("workspace_name", "name_norm").agg(F.min_by("entity_id", F.struct(-F.col("sim"), F.col("entity_id"))).alias("entity_id"))
-    rest = rest.join(best, ["workspace_name", "name_norm"], "left")
+    best = near.groupBy("workspace_name", "name_norm").agg(F.min(F.struct((-F.col("sim")).alias("far"), F.col("entity_id").alias("id"))).alias("best"))
     fresh = F.substring(F.sha2(F.concat_ws(":", "workspace_name", "name_norm"), 256), 1, 21)
-    rest = rest.select("workspace_name", "name_norm", F.coalesce("entity_id", fresh).alias("entity_id"), F.when(F.col("entity_id").isNull(), "new").otherwise("merged").alias("how"))
-    return have.union(rest)
+    rest = rest.join(best, ["workspace_name", "name_norm"], "left")
+    rest = rest.select("workspace_name", "name_norm", "embedding", "_at", F.col("best.id").alias("id"), (-F.col("best.far")).alias("sim"), fresh.alias("fresh"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_at", "name_norm"], na_position="last")
+        ids: list[str] = []
+        held, out = None, []
+        for x, old, sim, new in zip(rows["embedding"], rows["id"], rows["sim"], rows["fresh"]):
+            at, score = (old, sim) if isinstance(old, str) else (None, -1.0)
+            v = None
+            if x is not None and len(x):
+                v = np.asarray(x, np.float64)
+                n = np.sqrt((v * v).sum())
+                v = v / n if n else None
+            if v is not None and ids:
+                sims = np.clip(held[: len(ids)] @ v, 0, 1)
+                top = float(sims.max())
+                if top >= MERGE_AT and top >= score:
+                    least = min(ids[i] for i in np.flatnonzero(sims == top))
+                    at = min(at, least) if top == score else least
+            out.append((at or new, "merged" if at else "new"))
+            if not at and v is not None:
+                if held is None:
+                    held = np.zeros((64, len(v)))
+                elif len(ids) == len(held):
+                    held = np.concatenate([held, np.zeros_like(held)])
+                held[len(ids)] = v
+                ids.append(new)
+        return pd.DataFrame({"workspace_name": rows["workspace_name"], "name_norm": rows["name_norm"], "entity_id": [i for i, _ in out], "how": [h for _, h in out]})
+
+    return have.union(rest.groupBy("workspace_name").applyInPandas(fold, "workspace_name string, name_norm string, entity_id string, how string"))
 
 
 def missing_vectors(entities: DataFrame, limit: int) -> DataFrame:

@@ -379,6 +379,14 @@ def entity_resolution(v: Views) -> DataFrame:
     return entities.resolve(first.select("workspace_name", "name_norm", F.lit(None).cast("array<float>").alias("embedding")), known).select("name_norm", "how")
 
 
+@query()
+def entity_resolution_vectors(v: Views) -> DataFrame:
+    """All parts' names with their vectors, in order of key; those with an even key are known. The SQL of entity_resolution has no vectors."""
+    e = v.entities().withColumn("position", F.col("id").cast("int"))
+    known = e.where("position % 2 = 0")
+    return entities.resolve(e.where("position % 2 = 1").select("workspace_name", "name_norm", "embedding", "position"), known).select("name_norm", "entity_id", "how")
+
+
 # Recall
 
 _CAND = ", sm as (select qid, id, {cos} as sim, row_number() over (partition by qid order by 1 - {cos}, id) as rn from queries join live using (observer, observed) where embedding is not null), kr as (select *, row_number() over (partition by qid order by kw_raw desc, id) as rn from kw), c as (select qid, id from sm where rn <= 20 union select qid, id from kr where rn <= 20)".format(cos=COS)

@@ -1,5 +1,8 @@
 """Queries that do the whole job, beside those whose SQL takes a part."""
 
+import numpy as np
+
+from palimpsest.operators import entities
 from palimpsest.plans import registry
 from tests.conftest import SMALL
 
@@ -14,3 +17,35 @@ def test_every_fact_is_a_root(spark):
     assert set(chain.root) == docs and len(chain) == len(docs) and all((chain[c] != "").any() for c in ("premises", "messages", "unresolved", "dependents"))
     for name in ("premise_walk_all", "evidence_messages_all", "unresolved_premises_all", "dependents_all"):
         assert len({int(x) % 10 for x in run(spark, name).root}) > 1, name
+
+
+def test_resolve_in_order(spark):
+    """Names of one call see each other, in order; against a fold by brute force."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((4, 8))
+    vec = lambda: [float(x) for x in base[rng.integers(4)] + rng.standard_normal(8) * rng.choice([0.05, 0.3])]
+    known = [("w", f"k{i}", f"id{i}", vec()) for i in range(3)] + [("w", "k3", "id3", None), ("v", "k0", "idv", vec())]
+    names = [(w, f"n{i}", None if i == 5 else vec(), 100 - i) for w in "wv" for i in range(30)] + [("w", "k1", vec(), 50)]
+    schema = "workspace_name string, name_norm string, id string, embedding array<double>"
+    got = entities.resolve(spark.createDataFrame(names, "workspace_name string, name_norm string, embedding array<double>, position int"), spark.createDataFrame(known, schema)).collect()
+
+    have = [list(x) for x in known]
+    want = {}
+    fresh = {(r.workspace_name, r.name_norm): r.entity_id for r in got if r.how == "new"}
+    for w, name, x, _ in sorted(names, key=lambda r: r[3]):
+        same = [i for a, n, i, _ in have if (a, n) == (w, name)]
+        sims = [(-float(np.dot(x, e) / np.linalg.norm(x) / np.linalg.norm(e)), i) for a, _, i, e in have if a == w and e is not None] if x is not None else []
+        if same:
+            want[w, name] = (same[0], "exact")
+        elif sims and -min(sims)[0] >= 0.95:
+            want[w, name] = (min(sims)[1], "merged")
+        else:
+            want[w, name] = (fresh.get((w, name)), "new")
+            have.append([w, name, fresh.get((w, name)), x])
+    assert {(r.workspace_name, r.name_norm): (r.entity_id, r.how) for r in got} == want
+    assert sum(how == "merged" and i in fresh.values() for i, how in want.values()) > 5
+
+
+def test_entity_vectors_are_used(spark):
+    got = run(spark, "entity_resolution_vectors")
+    assert len(got) and got.entity_id.notna().all()
