@@ -270,6 +270,12 @@ def semantic_scores(v: Views) -> DataFrame:
     return recall.semantic_scores(v.queries(), v.facts(), now(), ids).select("qid", "id", r("sem").alias("sem"))
 
 
+@query(SQL["semantic_scores"].removesuffix(" and doc_id % 3 = 0"))
+def semantic_scores_all(v: Views) -> DataFrame:
+    ids = v.facts().select("observer", "observed", "id").join(v.queries().select("qid", "observer", "observed"), ["observer", "observed"]).select("qid", "id")
+    return recall.semantic_scores(v.queries(), v.facts(), now(), ids).select("qid", "id", r("sem").alias("sem"))
+
+
 @query("select vec_id, len(embedding)::int as n, round(embedding[1]::double, 5) as first from embeddings")
 def vector_codec(v: Views) -> DataFrame:
     back = vectors.parse_vector(vectors.vector_literal(F.col("embedding")))
@@ -630,6 +636,11 @@ def undrained_keys(v: Views) -> DataFrame:
     return work.undrained(v.queue(), v.queue().where("work_unit_key like '1%'").select("work_unit_key"))
 
 
+@query(f"{with_views('queue')} select distinct work_unit_key from queue where not processed")
+def undrained_keys_all(v: Views) -> DataFrame:
+    return work.undrained(v.queue(), v.queue().select("work_unit_key"))
+
+
 @query(f"{with_views('queue')} select id, processed or id % 3 = 0 as processed, (case when id % 3 = 0 then 1 else 0 end)::int as attempts from queue")
 def record_failures(v: Views) -> DataFrame:
     return work.record_failure(v.queue(), v.queue().where("id % 3 = 0").select("id", F.lit("x").alias("error")), 1).select("id", "processed", "attempts")
@@ -693,6 +704,40 @@ def eval_unknown_judgements(v: Views) -> DataFrame:
     return evaluate.unknown_judgements(_eval(v)[1], corpus).select("qid", "id", F.col("rel").cast("int").alias("rel"))
 
 
+# The same over all embeddings and labels for each question; the SQL of those above takes a fifth.
+
+_EVAL_ALL = _EVAL.replace(" where vec_id % 5 = qid % 5", "").replace("queries join labels on doc_id % 5 = qid % 5", "queries, labels")
+
+
+def _eval_all(v: Views) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    d = v.queries().crossJoin(v.table("embeddings")).withColumn("d", vectors.cosine_distance(F.col("embedding"), F.col("query_vector")))
+    ranking = d.select("qid", F.col("vec_id").alias("id"), F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id")).alias("rank"))
+    judged = v.queries().select("qid").crossJoin(v.table("labels")).select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
+    return ranking, judged
+
+
+@query(SQL["eval_ndcg"].replace(_EVAL, _EVAL_ALL))
+def eval_ndcg_all(v: Views) -> DataFrame:
+    return evaluate.ndcg(*_eval_all(v), 10).select("qid", r("ndcg").alias("ndcg"))
+
+
+@query(SQL["eval_mrr"].replace(_EVAL, _EVAL_ALL))
+def eval_mrr_all(v: Views) -> DataFrame:
+    return evaluate.reciprocal_rank(*_eval_all(v)).select("qid", r("rr").alias("rr"))
+
+
+@query(SQL["eval_recall_k"].replace(_EVAL, _EVAL_ALL))
+def eval_recall_k_all(v: Views) -> DataFrame:
+    return evaluate.recall_at(*_eval_all(v), 10).select("qid", r("recall").alias("recall"))
+
+
+@query(SQL["eval_precision_k"].replace(_EVAL, _EVAL_ALL))
+def eval_precision_k_all(v: Views) -> DataFrame:
+    return evaluate.precision_at(*_eval_all(v), 10).select("qid", r("precision").alias("precision"))
+
+
 @query()
 def corpus_fingerprint(v: Views) -> DataFrame:
     return evaluate.fingerprint(v.facts(), "id", "content", "level")

@@ -49,3 +49,12 @@ def test_resolve_in_order(spark):
 def test_entity_vectors_are_used(spark):
     got = run(spark, "entity_resolution_vectors")
     assert len(got) and got.entity_id.notna().all()
+
+
+def test_every_label_and_key(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality > 0").count()
+    p = run(spark, "eval_recall_k_all")
+    ranking, judged = registry._eval_all(registry.Views(spark, SMALL))
+    assert judged.where("rel > 0").groupBy("qid").count().where(f"count <> {labels}").count() == 0 and len(p) > 0
+    assert {x[0] for x in run(spark, "undrained_keys_all").work_unit_key} > {"1"}
+    assert {int(x) % 3 for x in run(spark, "semantic_scores_all").id} == {0, 1, 2}
