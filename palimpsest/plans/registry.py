@@ -387,10 +387,10 @@ def entity_resolution(v: Views) -> DataFrame:
 
 @query()
 def entity_resolution_vectors(v: Views) -> DataFrame:
-    """All parts' names with their vectors, in order of key; those with an even key are known. The SQL of entity_resolution has no vectors."""
-    e = v.entities().withColumn("position", F.col("id").cast("int"))
-    known = e.where("position % 2 = 0")
-    return entities.resolve(e.where("position % 2 = 1").select("workspace_name", "name_norm", "embedding", "position"), known).select("name_norm", "entity_id", "how")
+    """The parts' names, each with the vector of its smallest key, in order of it; even keys are known. The SQL of entity_resolution has no vectors."""
+    k = F.col("id").cast("int")
+    e = v.entities().groupBy("workspace_name", "name_norm").agg(F.min(k).alias("position"), F.min_by("embedding", k).alias("embedding")).withColumn("id", F.col("position").cast("string"))
+    return entities.resolve(e.where("position % 2 = 1").unionByName(e.where("position % 2 = 0")), e.where("position % 2 = 0")).select("name_norm", "entity_id", "how")
 
 
 # Recall

@@ -48,7 +48,7 @@ def test_resolve_in_order(spark):
 
 def test_entity_vectors_are_used(spark):
     got = run(spark, "entity_resolution_vectors")
-    assert len(got) and got.entity_id.notna().all()
+    assert got.name_norm.is_unique and got.entity_id.notna().all() and set(got.how) >= {"exact", "new"}
 
 
 def test_every_label_and_key(spark):
