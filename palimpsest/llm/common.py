@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,22 +17,41 @@ _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only if
+    driver and executors are one process; a cluster's executors would write to disks that the others do not see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return _local_dir[0]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
-    """A table written once to the shared folder, which cuts lineage and survives lost executors."""
+    """A table written once to the shared folder, which cuts lineage and survives lost executors.
 
-    def __init__(self, df: DataFrame):
+    Its plan runs once, so the shuffle files of the write go at its end; a lost executor's are made anew before that.
+    conf holds for this write alone.
+    """
+
+    def __init__(self, df: DataFrame, conf: dict[str, str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        conf = {CLEANUP: "true"} | (conf or {})
+        before = {key: self.spark.conf.get(key, None) for key in conf}
+        for key, value in conf.items():
+            self.spark.conf.set(key, value)
+        try:
+            df.write.parquet(self.path)
+        finally:
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         self.schema = df.schema
 
     def df(self) -> DataFrame:
@@ -45,12 +64,20 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that shuffle files of finished stages are deleted on the executors now."""
-    for _ in range(2):  # the first pass frees the plans, the second what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+class Staging:
+    """Stages tables within a with-block and deletes them at its end; what the block returns must be staged by itself."""
+
+    def __enter__(self) -> Staging:
+        self.stages: list[Stage] = []
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.stages.append(Stage(df))
+        return self.stages[-1].df()
+
+    def __exit__(self, *_) -> None:
+        for s in self.stages:
+            s.drop()
 
 
 def packed(df: DataFrame, *keep: str) -> DataFrame:
@@ -88,26 +115,28 @@ def distributed_rank(df: DataFrame, part: Column, order: list[Column], name: str
     keyed = df.withColumn("_part", F.when(part.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), part.cast("string"))))
     keyed = keyed.withColumns({f"_o{i}": c for i, c in enumerate(order)}).withColumn("_tie", F.monotonically_increasing_id())
     keys = ["_part", *[f"_o{i}" for i in range(len(order))], "_tie"]
-    base = Stage(keyed)  # sampling for the ranges would otherwise compute the input twice
-    runs = base.df().repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys[1:])
-    runs = runs.withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType([*runs.schema.fields, T.StructField(name, T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.StringType()), T.StructField("_pid", T.IntegerType()), T.StructField(name, T.LongType())])
 
     def number(batches):
-        last, at = None, 0
+        last, at = None, -1
         for batch in batches:
-            out = []
-            for p in batch.column(batch.schema.get_field_index("_part")).to_pylist():
-                at = at + 1 if p == last else 0
-                last = p
-                out.append(at)
+            if not batch.num_rows:
+                continue
+            parts = batch.column(batch.schema.get_field_index("_part"))
+            # runs of one part, found by comparing neighbours; the first may go on from the batch before
+            begin = np.concatenate([[0], np.flatnonzero(pc.not_equal(parts.slice(1), parts.slice(0, len(parts) - 1)).to_numpy(zero_copy_only=False)) + 1])
+            sizes = np.diff(np.append(begin, len(parts)))
+            out = np.arange(len(parts)) - np.repeat(begin, sizes)
+            if parts[0].as_py() == last:
+                out[: sizes[0]] += at + 1
+            last, at = parts[-1].as_py(), int(out[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
 
-    numbered = Stage(runs.mapInArrow(number, schema))
-    base.drop()
+    with Staging() as stage:
+        base = stage(keyed)  # sampling for the ranges would otherwise compute the input twice
+        runs = base.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys[1:])
+        numbered = Stage(runs.withColumn("_pid", F.spark_partition_id()).mapInArrow(number, schema))
     counts = numbered.df().groupBy("_part", "_pid").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("_part").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
@@ -116,32 +145,38 @@ def distributed_rank(df: DataFrame, part: Column, order: list[Column], name: str
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, stage: Staging | None = None) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b): component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until no edge changes. Every step is a shuffle keyed on nodes with
-    a map-side minimum first, and its table is staged, so that a hub with many edges is pre-aggregated and no
-    list of a node's neighbours is ever built.
+    The result reads a staged table, which goes with `stage` if that is given.
+    Alternates large-star and small-star steps until no edge changes. A step takes each node's least neighbour, with a
+    map-side minimum first, and joins it to the node's edges. Edges and minima are staged before they are joined, so
+    that both sides are plain exchanges and a hub's edges can be split over tasks; no list of neighbours is ever built.
     """
+
+    def lowest(d: DataFrame) -> Stage:
+        return Stage(d.groupBy("u").agg(F.min("v").alias("m")))
+
     e = Stage(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         # large star: each node's larger neighbours point to the smallest of its closed neighbourhood
         both = e.df().union(e.df().select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = lowest(both)
+        large = Stage(both.where("v > u").join(low.df().select("u", F.least("u", "m").alias("m")), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low.drop()
         # small star: each node's smaller-or-equal neighbours point to its smallest
-        large = Stage(large.where("u <> v").distinct())
-        d = large.df()
-        low = d.groupBy("u").agg(F.min("v").alias("m"))
-        small = d.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = lowest(large.df())
+        small = large.df().join(low.df(), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.df().select("u", F.col("m").alias("v")))
         nxt = Stage(small.where("u <> v").distinct())
-        e.drop()
-        large.drop()
+        for s in (e, large, low):
+            s.drop()
         e = nxt
         row = e.df().agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark or row[0] == 0:
             break
         mark = tuple(row)
+    if stage:
+        stage.stages.append(e)
     d = e.df()
     return d.select(F.col("u").alias("node"), F.col("v").alias("component")).union(d.select("v", "v").distinct())
