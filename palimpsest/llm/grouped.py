@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,31 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Stage, partitions, trim
 
 
+class Wire:
+    """Columns of fixed width packed as bytes, a few rows a scan task instead of one a value, dealt by ranges of a hash."""
+
+    def __init__(self, *kinds: type):
+        self.kinds, self.width = kinds, sum(np.dtype(k).itemsize for k in kinds)
+
+    def deal(self, key: np.ndarray, ranges: int, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Range, number of values and packed columns of each range that 64-bit hashes fall in."""
+        r = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        o = np.argsort(r, kind="stable")
+        r, columns = r[o], [np.ascontiguousarray(c[o], k) for c, k in zip(columns, self.kinds)]
+        at = np.append(np.flatnonzero(np.diff(r, prepend=ranges)), len(r))
+        return r[at[:-1]].astype(np.int32), np.diff(at), [b"".join(c[s:e].tobytes() for c in columns) for s, e in zip(at[:-1], at[1:])]
+
+    def unpack(self, data: Sequence[bytes]) -> list[np.ndarray]:
+        parts = []
+        for d in data:
+            n, at, out = len(d) // self.width, 0, []
+            for k in self.kinds:
+                out.append(np.frombuffer(d, k, n, at))
+                at += n * np.dtype(k).itemsize
+            parts.append(out)
+        return [np.concatenate(x) for x in zip(*parts)]
+
+
 def in_blocks(rows: DataFrame, key: str, sizes: DataFrame | None, most: int) -> DataFrame:
     """Add _i, _j and _side, and repeat rows, so that each two rows of a key meet in exactly one group (key, _i, _j).
 

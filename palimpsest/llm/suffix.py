@@ -3,9 +3,10 @@
 The Burrows-Wheeler transform of whole documents, built by one symbol of each document a round, takes as many passes
 over all bytes as the longest document has bytes. So the documents are first cut into short contexts, in such a way that
 equal strings of `width` bytes always meet: each such string has a minimizer (its gram of least hash), and a run
-of strings with one minimizer makes a context. Contexts that are equal as a whole are settled by their hashes; the
-contexts of a minimizer that differ go, all of that minimizer together, into collections whose transform and common
-prefixes are built column by column, and there equal strings are neighbours.
+of strings with one minimizer makes a context. A collection of strings needs each different one once, so contexts that
+are equal as a whole are collapsed to that of the smallest document; the different contexts of a minimizer go, all of
+that minimizer together, into collections whose transform and common prefixes are built column by column, and there
+equal strings are neighbours.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import ExitStack
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, partitions, release
-from palimpsest.llm.grouped import in_blocks, large_keys
+from palimpsest.llm.common import Stage, Staging, partitions
+from palimpsest.llm.grouped import Wire, in_blocks, large_keys
 from palimpsest.llm.ngramjoin import BYTE, _mix, _powers_to
 
 GRAM = 20
@@ -28,19 +32,34 @@ PIECE = 1 << 20
 
 
 class Files:
-    """The transform (one byte a suffix) and the common prefixes (one byte, at most 255), as files that each round reads
-    from beginning to end and writes anew."""
+    """The transform (one byte a suffix), the common prefixes (one byte, at most 255), and each suffix's string and length,
+    as files that each round reads from beginning to end, in chunks, and writes anew."""
 
-    def __init__(self, folder: str):
-        self.folder, self.turn = folder, 0
+    KINDS = {"bwt": np.uint8, "lcp": np.uint8, "who": np.uint32, "left": np.uint8}
 
-    def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        self.turn ^= 1
-        for name, a in (("bwt", bwt), ("lcp", lcp)):
-            a.tofile(os.path.join(self.folder, f"{name}{self.turn}"))
+    def __init__(self, folder: str, chunk: int):
+        self.folder, self.chunk, self.turn = folder, chunk, 0
+        for name in self.KINDS:
+            for turn in (0, 1):
+                open(self._path(name, turn), "wb").close()
 
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(os.path.join(self.folder, f"{name}{self.turn}"), np.uint8) for name in ("bwt", "lcp"))
+    def _path(self, name: str, turn: int) -> str:
+        return os.path.join(self.folder, f"{name}{turn}")
+
+    def read(self) -> Iterator[list[np.ndarray]]:
+        with ExitStack() as held:
+            sources = [(held.enter_context(open(self._path(name, self.turn), "rb")), kind) for name, kind in self.KINDS.items()]
+            while len((now := [np.fromfile(f, kind, self.chunk) for f, kind in sources])[0]):
+                yield now
+
+    def rewrite(self, chunks: Iterator[list[np.ndarray]]) -> None:
+        with ExitStack() as held:
+            # a round's files are never shorter than those of the round before the last, so they are written over
+            targets = [held.enter_context(open(self._path(name, 1 - self.turn), "r+b")) for name in self.KINDS]
+            for arrays in chunks:
+                for f, a in zip(targets, arrays):
+                    a.tofile(f)
+        self.turn = 1 - self.turn
 
 
 def _range_min(lcp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -55,85 +74,166 @@ def _range_min(lcp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def column_wise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transform and common prefixes of all suffixes of the strings, and the row of each string's suffixes by length.
+class Scan:
+    """What one sequential pass over a transform finds for the suffixes that came last: where the next symbols' suffixes go.
+
+    A suffix goes where the last-to-first mapping of the symbol before the previous one points, and its common prefix
+    with a neighbour is one more than the least one between that symbol's neighbouring occurrences. Between chunks only
+    counts and minima of each symbol are kept.
+    """
+
+    def __init__(self, first: np.ndarray):
+        self.next = first.copy()  # of each symbol: the row of its next occurrence's suffix
+        self.seen = np.zeros(256, bool)
+        self.since = np.full(256, 255, np.uint8)  # least common prefix since the symbol's last occurrence
+        self.open = np.full(256, -1, np.int64)  # row of a new suffix whose next neighbour is not known yet
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.changed: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, bwt: np.ndarray, lcp: np.ndarray, new: np.ndarray, who: np.ndarray) -> None:
+        """A chunk; new: ascending places of the last suffixes in it, who: their strings."""
+        some = bwt[new] > 0
+        new, who = new[some], who[some]
+        n = len(bwt)
+        order = np.argsort(bwt, kind="stable")
+        count = np.bincount(bwt, minlength=256)
+        begin = np.cumsum(count) - count
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        from_start = np.minimum.accumulate(lcp)
+        to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+        fresh = np.zeros(n, bool)
+        fresh[new] = True
+        here = np.flatnonzero(count)
+        # the first occurrence here of a symbol whose last new suffix waits for its neighbour
+        head = order[begin[here]]
+        waits = (self.open[here] >= 0) & ~fresh[head]
+        if waits.any():
+            low = np.minimum(self.since[here], from_start[head])[waits]
+            self.changed.append((self.open[here[waits]] + 1, np.minimum(low, 254) + 1))
+        if len(new):
+            c, t = bwt[new], place[new]
+            rank = t - begin[c]
+            row = self.next[c] + rank
+            inside = rank > 0
+            prefix = np.zeros(len(new), np.uint8)
+            prefix[inside] = np.minimum(_range_min(lcp, order[t[inside] - 1] + 1, new[inside] + 1), 254) + 1
+            carried = ~inside & self.seen[c]
+            prefix[carried] = np.minimum(np.minimum(self.since[c[carried]], from_start[new[carried]]), 254) + 1
+            self.found.append((row, who, prefix))
+            last = rank == count[c] - 1
+            after = order[np.minimum(t + 1, n - 1)]
+            near = ~last & ~fresh[after]
+            self.changed.append((row[near] + 1, np.minimum(_range_min(lcp, new[near] + 1, after[near] + 1), 254) + 1))
+        self.open[here] = -1
+        if len(new):
+            self.open[c[last]] = row[last]
+        self.since = np.minimum(self.since, from_start[-1])
+        self.since[here] = to_end[order[begin[here] + count[here] - 1] + 1]
+        self.seen[here] = True
+        self.next += count
+
+    def result(self) -> tuple[np.ndarray, ...]:
+        """Rows, strings and prefixes of the next suffixes, and the rows and prefixes that they change, in order of rows."""
+        row, who, prefix = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
+        at, low = (np.concatenate(x) for x in zip(*self.changed)) if self.changed else (np.empty(0, np.int64), np.empty(0, np.uint8))
+        o, p = np.argsort(row), np.argsort(at)
+        return row[o], who[o], prefix[o], at[p], low[p]
+
+
+def column_wise(strings: list[bytes], folder: str, chunk: int = 1 << 16) -> Files:
+    """Transform and common prefixes (at most 255) of all suffixes of the strings, in files in the folder.
 
     Symbols are bytes plus 1 (so that byte 255 is not allowed; UTF-8 has none); 0 ends a string, and ends are ordered by
-    the strings' order. Returns bwt, lcp (at most 255), rows (longest length + 1, strings; -1 where a string is shorter).
-    Round j inserts the suffixes of length j: a suffix goes where the last-to-first mapping of the symbol before the
-    previous one points, and its common prefix with a neighbour is one more than the least one between that symbol's
-    neighbouring occurrences.
+    the strings' order. Round j inserts the symbol of each string before its suffix of length j. A round is one pass: it
+    reads the files chunk by chunk, puts the new rows in, writes the result, and scans it for the next round. Beside the
+    chunk it holds a few numbers a string. Strings have at most 255 bytes.
     """
     k = len(strings)
     lens = np.array([len(s) for s in strings], np.int64)
     longest = int(lens.max(initial=0))
-    table = np.zeros((longest + 1, k), np.uint8)  # row j: the symbol before the suffix of length j
+    table = np.zeros((longest + 2, k), np.uint8)  # row j: the symbol before the suffix of length j
     flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
     owner = np.repeat(np.arange(k), lens)
     if len(flat):
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         table[lens[owner] - 1 - offset, owner] = flat
-    with tempfile.TemporaryDirectory(dir=folder) as d:
-        files = Files(d)
-        files.write(table[0].copy(), np.zeros(k, np.uint8))
-        at, who = np.arange(k), np.arange(k)  # rows of the last suffixes, ascending, and their strings
-        for j in range(1, longest + 1):
-            bwt, lcp = files.read()
-            n = len(bwt)
-            more = bwt[at] > 0
-            at, who = at[more], who[more]
-            order = np.argsort(bwt, kind="stable")
-            ends = int((bwt == 0).sum())
-            new = np.zeros(n, bool)
-            new[at] = True
-            t = np.flatnonzero(new[order])
-            p = order[t]
-            who = who[np.searchsorted(at, p)]
-            c = bwt[p]
-            rows = k + t - ends
-            out_b, out_l = np.empty(n + len(t), np.uint8), np.empty(n + len(t), np.uint8)
-            old = np.ones(n + len(t), bool)
-            old[rows] = False
-            out_b[old], out_l[old] = bwt, lcp
-            out_b[rows] = table[j, who]
-            before = order[np.maximum(t - 1, 0)]
-            same = (t > 0) & (bwt[before] == c)
-            prefix = np.zeros(len(t), np.uint8)
-            prefix[same] = np.minimum(_range_min(lcp, before[same] + 1, p[same] + 1), 254) + 1
-            out_l[rows] = prefix
-            after = order[np.minimum(t + 1, n - 1)]
-            same = (t + 1 < n) & (bwt[after] == c) & ~new[after]
-            out_l[rows[same] + 1] = np.minimum(_range_min(lcp, p[same] + 1, after[same] + 1), 254) + 1
-            files.write(out_b, out_l)
-            at = rows
-        bwt, lcp = files.read()
-    order = np.argsort(bwt, kind="stable")
-    to = np.empty(len(bwt), np.int64)
-    to[order] = np.arange(len(bwt)) + k - int((bwt == 0).sum())
-    rows = np.full((longest + 1, k), -1, np.int64)
-    rows[0] = np.arange(k)
-    for j in range(1, longest + 1):
-        live = lens >= j
-        rows[j, live] = to[rows[j - 1, live]]
-    return bwt, lcp, rows
-
-
-def repeated_windows(strings: list[bytes], docs: np.ndarray, width: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    files = Files(folder, chunk)
+    row, who, prefix, at, low = np.arange(k), np.arange(k), np.zeros(k, np.uint8), np.empty(0, np.int64), np.empty(0, np.uint8)
+    total = np.zeros(256, np.int64)
+    for j in range(longest + 1):
+        symbol = table[j, who]
+        total += np.bincount(symbol, minlength=256)
+        scan = Scan(k + np.cumsum(total) - total - total[0])
+        new = (symbol, prefix, who.astype(np.uint32), np.full(len(who), j, np.uint8))
+        before = row - np.arange(len(row))  # how many old rows come before each new one
+
+        def merged() -> Iterator[list[np.ndarray]]:
+            done = lo = 0
+            old = files.read()
+            while True:
+                arrays = next(old, None)
+                size = 0 if arrays is None else len(arrays[0])
+                hi = len(row) if arrays is None else int(np.searchsorted(before, done + size))
+                if arrays is None:
+                    arrays = [np.empty(0, kind) for kind in Files.KINDS.values()]
+                for begin in range(lo, max(hi, lo + 1), chunk):  # many new rows at one place come in several chunks
+                    end = min(hi, begin + chunk)
+                    final = end == hi
+                    # old rows go out with the last of the new rows before them
+                    cut = size if final else int(before[end - 1]) - done
+                    part = [a[:cut] for a in arrays]
+                    arrays = [a[cut:] for a in arrays]
+                    base = done + begin  # the first row that goes out now
+                    place = row[begin:end] - base
+                    out, kept = [], np.ones(cut + end - begin, bool)
+                    kept[place] = False
+                    for a, b in zip(part, new):
+                        x = np.empty(len(kept), a.dtype)
+                        x[kept], x[place] = a, b[begin:end]
+                        out.append(x)
+                    done += cut
+                    size -= cut
+                    if len(kept):
+                        s, e = np.searchsorted(at, [base, base + len(kept)])
+                        out[1][at[s:e] - base] = low[s:e]
+                        scan.add(out[0], out[1], place, who[begin:end])
+                        yield out
+                if hi == len(row) and not size and done == rows_before:
+                    return
+                lo = hi
+
+        rows_before = int(total.sum()) - len(row)
+        files.rewrite(merged())
+        row, who, prefix, at, low = scan.result()
+    return files
+
+
+def repeated_windows(strings: list[bytes], docs: np.ndarray, width: int, folder: str | None = None, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the substrings of `width` bytes that a string of a smaller document holds too."""
-    _, lcp, rows = column_wise(strings, folder)
-    if len(rows) <= width:
+    lens = np.array([len(s) for s in strings], np.int64)
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge(lcp: np.ndarray, who: np.ndarray, left: np.ndarray) -> None:
+        """Whole groups of suffixes with equal beginnings."""
+        begin = np.flatnonzero(np.append(True, lcp[1:] < width))
+        low = np.repeat(np.minimum.reduceat(docs[who], begin), np.diff(np.append(begin, len(who))))
+        hit = (docs[who] > low) & (left >= width)
+        hits.append((who[hit].astype(np.int64), lens[who[hit]] - left[hit]))
+
+    with tempfile.TemporaryDirectory(dir=folder) as d:
+        rest = [np.empty(0, kind) for kind in (np.uint8, np.uint32, np.uint8)]
+        for _, *now in column_wise(strings, d, chunk).read():
+            rest = [np.concatenate(x) for x in zip(rest, now)]
+            if len(ends := np.flatnonzero(rest[0][1:] < width)):
+                at = int(ends[-1]) + 1  # the last group may go on
+                judge(*[x[:at] for x in rest])
+                rest = [x[at:] for x in rest]
+        if len(rest[0]):
+            judge(*rest)
+    if not hits:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    lens = np.array([len(s) for s in strings])
-    j, i = np.nonzero(rows[width:] >= 0)
-    j += width
-    row = rows[j, i]
-    least = np.full(len(lcp), np.iinfo(np.int64).max)
-    least[row] = docs[i]
-    begin = np.flatnonzero(lcp < width)
-    group = np.cumsum(lcp < width) - 1
-    low = np.minimum.reduceat(least, begin)[group[row]]
-    hit = docs[i] > low
-    return i[hit], (lens[i] - j)[hit]
+    return tuple(np.concatenate(x) for x in zip(*hits))
 
 
 def contexts(text: bytes, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,121 +265,168 @@ def contexts(text: bytes, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-KINDS = (np.uint32, np.uint64, np.int64, np.uint32, np.uint8)  # minimizer in its range, context's hash, document, start, size with the settled flag
-SETTLED = 128
-
+WIRE = Wire(np.uint32, np.uint64, np.int64, np.int64, np.uint32, np.uint8)  # minimizer in its range, context's hash, document and version, start, strings less one
 
-def _pack(cols: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(cols, KINDS))
 
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in KINDS), 0, []
-    for k in KINDS:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans united where they meet: first of each run (index), its start and its end. In order of document and start; ends ascend too."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    return at, start[at], end[np.append(at[1:], len(doc)) - 1]
 
 
 def _map_contexts(width: int, ranges: int, piece: int = 4 << 20):
-    def emit(parts: list[tuple]) -> pa.RecordBatch:
-        m, h, st, ln, doc = (np.concatenate(x) for x in zip(*parts))
-        o = np.lexsort((doc, h, m))
-        m, h, st, ln, doc = (x[o] for x in (m, h, st, ln, doc))
+    """Of each piece of the scan: contexts by range of minimizers (range, n, data), and spans that are settled already."""
+    names = ["range", "n", "data", "doc", "v", "st", "size"]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+
+    def emit(parts: list[tuple], docs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        m, h, st, ln = (np.concatenate(x) for x in zip(*parts))
+        k = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+        doc, v = (np.array(x, np.int64) for x in zip(*docs))
+        o = np.lexsort((doc[k], h, m))
+        m, h, st, ln, k = (x[o] for x in (m, h, st, ln, k))
         first = np.ones(len(m), bool)
         first[1:] = (m[1:] != m[:-1]) | (h[1:] != h[:-1])
-        # within the batch, an equal context of a smaller document settles one; only the smallest one's go on as open
-        ln = ln | np.where(doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1], SETTLED, 0)
-        r = ((m >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        o = np.lexsort((st, doc, r))
-        cols = [(m & np.uint64(0xFFFFFFFF))[o], h[o], doc[o], st[o], ln[o]]
-        r = r[o]
-        at = np.append(np.flatnonzero(np.diff(r, prepend=ranges)), len(r))
-        return pa.RecordBatch.from_arrays([pa.array(r[at[:-1]].astype(np.int32)), pa.array([_pack([c[s:e] for c in cols]) for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["range", "data"])
+        # an equal context of a smaller document settles one here and now; only those of the smallest go on
+        done = doc[k] > doc[k[np.flatnonzero(first)]][np.cumsum(first) - 1]
+        if done.any():
+            o = np.flatnonzero(done)
+            o = o[np.lexsort((st[o], k[o]))]
+            at, s, e = _runs(k[o], st[o], st[o] + ln[o] + width)
+            at = k[o][at]
+            blank = [pa.nulls(len(at), kind) for kind in kinds[:3]]
+            yield pa.RecordBatch.from_arrays([*blank, *map(pa.array, (doc[at], v[at], s, e - s))], names=names)
+        o = np.flatnonzero(~done)
+        m, h, st, ln, k = (x[o] for x in (m, h, st, ln, k))
+        r, n, data = WIRE.deal(m, ranges, (m & np.uint64(0xFFFFFFFF), h, doc[k], v[k], st, ln))
+        yield pa.RecordBatch.from_arrays([pa.array(r, kinds[0]), pa.array(n, kinds[1]), pa.array(data, kinds[2]), *[pa.nulls(len(r), kind) for kind in kinds[3:]]], names=names)
 
     def run(batches):
-        parts, size = [], 0
+        parts, docs, size, seen = [], [], 0, set()
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, v, t in zip(*(c.to_pylist() for c in b.columns)):
                 t = t.encode()
-                m, h, st, ln = contexts(t, width)
-                if len(m):
-                    parts.append((m, h, st, ln, np.full(len(m), d, np.int64)))
+                got = contexts(t, width) if (d, v) not in seen else ((),)
+                seen.add((d, v))
+                if len(got[0]):
+                    parts.append(got)
+                    docs.append((d, v))
                     size += len(t)
                 if size >= piece:
-                    yield emit(parts)
-                    parts, size = [], 0
+                    yield from emit(parts, docs)
+                    parts, docs, size, seen = [], [], 0, set()
         if parts:
-            yield emit(parts)
+            yield from emit(parts, docs)
 
     return run
 
 
+ASKED = "doc long, v long, st long, size long, gram long, h long"
+
+
+def _columns(r: int, data: list[bytes], width: int) -> list[np.ndarray]:
+    """Minimizer, hash, document, version, start and size in bytes of packed contexts of range r."""
+    m, h, doc, v, st, ln = WIRE.unpack(data)
+    return [(np.int64(r) << 32) | m.astype(np.int64), h.view(np.int64), doc, v, st.astype(np.int64), ln.astype(np.int64) + width]
+
+
+def _rows(doc, v, st, size, gram, h, open_=None) -> list[pa.RecordBatch]:
+    t = pa.table([pa.array(doc), pa.array(v), pa.array(st), pa.array(size), pa.array(gram, mask=None if open_ is None else ~open_), pa.array(h)], names=["doc", "v", "st", "size", "gram", "h"])
+    return t.to_batches(20_000)
+
+
 def _settle(width: int):
-    """Of each range: settled spans (gram null), and the contexts that must be compared (with gram and context hash)."""
+    """Of each range: spans of contexts that a smaller document holds as a whole (gram null), and the contexts that must be compared."""
 
-    def one(r: int, data: list[bytes]) -> pa.RecordBatch:
-        m, h, doc, st, ln = (np.concatenate(x) for x in zip(*map(_unpack, data)))
+    def one(r: int, data: list[bytes]) -> list[pa.RecordBatch]:
+        m, h, doc, v, st, size = _columns(r, data, width)
         o = np.lexsort((doc, h, m))
-        m, h, doc, st, ln = (x[o] for x in (m, h, doc, st, ln))
-        flag = ln >= SETTLED
-        ln = (ln & (SETTLED - 1)).astype(np.int64)
+        m, h, doc, v, st, size = (x[o] for x in (m, h, doc, v, st, size))
         new_m = np.ones(len(m), bool)
         new_m[1:] = m[1:] != m[:-1]
         new_h = new_m.copy()
         new_h[1:] |= h[1:] != h[:-1]
         at_m, at_h = np.flatnonzero(new_m), np.flatnonzero(new_h)
         gm, gh = np.cumsum(new_m) - 1, np.cumsum(new_h) - 1
-        done = flag | (doc > doc[at_h][gh])
+        done = doc > doc[at_h][gh]
         several = (np.add.reduceat(new_h.astype(np.int64), at_m) > 1) & (np.minimum.reduceat(doc, at_m) < np.maximum.reduceat(doc, at_m))
-        open_ = ~done & several[gm]
-        gram = (np.int64(r) << 32) | m.astype(np.int64)
-        take = done | open_
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[take]), pa.array(st[take].astype(np.int64)), pa.array((ln + width)[take]), pa.array(gram[take], mask=done[take]), pa.array(h.view(np.int64)[take])],
-            names=["doc", "st", "size", "gram", "h"],
-        )
+        take = done | several[gm]
+        return _rows(*(x[take] for x in (doc, v, st, size, m, h)), ~done[take])
 
     def run(batches):
         now, data = None, []
         for b in batches:
             for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if r != now and data:
-                    yield from pa.Table.from_batches([one(now, data)]).to_batches(20_000)
+                    yield from one(now, data)
                     data = []
                 now = r
                 data.append(d)
         if data:
-            yield from pa.Table.from_batches([one(now, data)]).to_batches(20_000)
+            yield from one(now, data)
+
+    return run
+
+
+def _settle_rows(width: int):
+    def run(batches):
+        for b in batches:
+            for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                gram, h, doc, v, st, size = _columns(r, [d], width)
+                yield from _rows(doc, v, st, size, gram, h)
 
     return run
 
 
-def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Texts and the rows about them, dealt by document, each text followed by its rows; no row repeats a text."""
-    extra = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "doc"]
-    both = texts.select("doc", "text", *extra).unionByName(rows.withColumn("text", F.lit(None).cast("string")))
-    return both.repartition(partitions(texts.sparkSession), "doc").sortWithinPartitions("doc", F.col("st").asc_nulls_first())
+def settled(mapped: DataFrame, width: int, n: int, most: int) -> DataFrame:
+    """Packed contexts judged: rows of ASKED, gram null where a smaller document holds the whole context.
+
+    A range of at most `most` contexts is sorted by one task. The others (a minimizer of a very common passage is among
+    theirs) are unpacked to rows, and what is asked of them are minima by key, joined to the rows: joins that can be split.
+    """
+    hot = [r[0] for r in mapped.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges
+    packed = mapped.select("range", "data").where("data is not null")
+    out = Stage(packed.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_settle(width), ASKED)).df()
+    if not hot:
+        return out
+    with Staging() as stage:
+        rows = stage(packed.where(F.col("range").isin(hot)).mapInArrow(_settle_rows(width), ASKED))
+        same = stage(rows.groupBy("gram", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+        several = stage(same.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo < hi").select("gram"))
+        judged = stage(rows.join(same.select("gram", "h", "lo"), ["gram", "h"]))
+        done = judged.where("doc > lo").select("doc", "v", "st", "size", F.lit(None).cast("long").alias("gram"), "h")
+        asked = judged.where("doc = lo").join(several, "gram", "left_semi").select("doc", "v", "st", "size", "gram", "h")
+        return out.union(Stage(done.union(asked)).df())
+
+
+def _with_text(texts: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
+    """Texts and the rows about them, dealt by document and version, the text before or after its rows; no row repeats a text."""
+    extra = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("doc", "v")]
+    both = texts.select("doc", "v", "text", *extra).unionByName(rows.withColumn("text", F.lit(None).cast("string")))
+    order = F.col("st").asc_nulls_first() if first else F.col("st").asc_nulls_last()
+    return both.repartition(partitions(texts.sparkSession), "doc", "v").sortWithinPartitions("doc", "v", order)
 
 
 def _cut_contexts(batches):
     now, text = None, b""
     for b in batches:
         out = []
-        for doc, t, st, size, gram, h in zip(*(c.to_pylist() for c in b.columns)):
+        for doc, v, t, st, size, gram, h in zip(*(c.to_pylist() for c in b.columns)):
             if st is None:
-                now, text = doc, (t or "").encode()
-            elif doc == now:
-                out.append((doc, st, gram, h, text[st : st + size]))
+                now, text = (doc, v), (t or "").encode()
+            elif (doc, v) == now:
+                out.append((doc, v, st, gram, h, text[st : st + size]))
         if out:
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["doc", "st", "gram", "h", "ctx"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["doc", "v", "st", "gram", "h", "ctx"])
 
 
 def _order(width: int, collection: int):
     def one(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
-        doc, st, gram, h = (t.column(c).to_numpy() for c in ("doc", "st", "gram", "h"))
+        doc, v, st, gram, h = (t.column(c).to_numpy() for c in ("doc", "v", "st", "gram", "h"))
         # occurrences of one context in one document are ordered once
         o = np.lexsort((doc, h, gram))
         first = np.ones(len(o), bool)
@@ -303,7 +450,7 @@ def _order(width: int, collection: int):
         n = count[string_of]
         row = np.repeat(np.arange(len(doc)), n)
         k = np.repeat(begin[string_of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(st[row] + run_off[k]), pa.array(run_len[k] + width - 1)], names=["doc", "st", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(v[row]), pa.array(st[row] + run_off[k]), pa.array(run_len[k] + width - 1)], names=["doc", "v", "st", "size"])
 
     def run(batches):
         wait: list[pa.RecordBatch] = []
@@ -326,81 +473,70 @@ def _order(width: int, collection: int):
 
 
 def _finish(batches):
-    """Apply each document's spans to its text."""
+    """Apply each document's spans, which come before its text, to the text; rows of one text come one after the other."""
     names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
-
-    def one(doc: int, texts: list[bytes], spans: list[tuple[int, int]]) -> list[tuple]:
-        merged: list[list[int]] = []
-        for s, e in spans:
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(e, merged[-1][1])
-            else:
-                merged.append([s, e])
-        out = []
-        for t in texts:
-            sha, at, gone = hashlib.sha256(), 0, 0
-            for s, e in merged:
-                sha.update(t[at:s])
-                gone += min(e, len(t)) - min(s, len(t))
-                at = e
-            sha.update(t[at:])
-            out.append((doc, len(t), gone, len(merged), sha.hexdigest(), [s for s, _ in merged], [e for _, e in merged]))
-        return out
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    now, texts, spans, rows = None, [], [], []
+    kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
+
+    def one(doc: int, t: bytes, merged: list[list[int]]) -> tuple:
+        sha, at, gone = hashlib.sha256(), 0, 0
+        for s, e in merged:
+            sha.update(t[at:s])
+            gone += e - s
+            at = e
+        sha.update(t[at:])
+        return doc, len(t), gone, len(merged), sha.hexdigest(), [s for s, _ in merged], [e for _, e in merged]
+
+    now, merged, rows = None, [], []
     for b in batches:
-        for doc, t, st, size in zip(*(c.to_pylist() for c in b.columns)):
-            if texts and doc != now:
-                rows += one(now, texts, spans)
-                texts, spans = [], []
-            now = doc
+        for doc, v, t, st, size in zip(*(c.to_pylist() for c in b.columns)):
+            if (doc, v) != now:
+                now, merged = (doc, v), []
             if st is None:
-                texts.append((t or "").encode())
+                rows.append(one(doc, (t or "").encode(), merged))
+            elif merged and st <= merged[-1][1]:
+                merged[-1][1] = max(st + size, merged[-1][1])
             else:
-                spans.append((st, st + size))
-        if len(rows) > 5000:
-            yield table(rows)
-            rows = []
-    if texts:
-        rows += one(now, texts, spans)
+                merged.append([st, st + size])
+            if len(rows) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows = []
     if rows:
-        yield table(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, block: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, block: int = 60_000, range_most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends.
 
     A byte of the UTF-8 text is removed if a string of `width` bytes covers it that also starts in a document with a
     smaller doc_id, judged on the texts as given. starts and ends are the maximal removed runs; kept_sha256 is of the
     remaining bytes. Matches never cross documents, and a document never matches itself.
     Null text is empty; texts shorter than width lose nothing. Rows with null ids neither lose nor take anything. Rows of one
-    doc_id must hold one text (repeated rows get the same result each). An empty table gives no row; other columns are
-    not read. Common strings are settled within a scan batch before anything is shuffled; minimizers with more than
-    `block` contexts to compare are dealt into pairs of blocks, so no group grows with the data. Equality of contexts
-    rests on 64-bit hashes next to equal minimizers.
+    doc_id are versions of one document: each loses by its own text what smaller ids hold, and none takes from another, so
+    that equal rows get equal results. An empty table gives no row; other columns are not read.
+    A context that the same piece of the scan holds for a smaller document is settled there and never shuffled, so a
+    common passage leaves a few rows a piece; ranges of minimizers with more than range_most contexts are judged by
+    joins that can be split, and minimizers with more than `block` contexts to compare are dealt into pairs of blocks,
+    so no group grows with the data. Whole contexts are held equal by 64-bit hashes next to equal minimizers; a text is
+    told from other versions of its id by a 64-bit hash.
     """
-    if not GRAM < width <= GRAM + SETTLED - 1:
-        raise ValueError("width must be above the gram's and at most 147 bytes")
+    if not GRAM < width <= (255 + GRAM) // 2:
+        raise ValueError(f"width must lie above {GRAM}, and contexts (up to 2 * width - {GRAM} bytes) must not exceed 255")
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    ranged = texts.where(F.octet_length("text") >= width).mapInArrow(_map_contexts(width, 8 * n), "range int, data binary")
-    ranged = ranged.repartition(n, "range").sortWithinPartitions("range")
-    judged = Stage(ranged.mapInArrow(_settle(width), "doc long, st long, size long, gram long, h long"))
-    release(spark)
-    asked = judged.df().where("gram is not null")
-    large = large_keys(asked, "gram", block)
-    cut = _with_text(texts, asked).select("doc", "text", "st", "size", "gram", "h").mapInArrow(_cut_contexts, "doc long, st long, gram long, h long, ctx binary")
-    keys = ["gram", "_i", "_j"]
-    dealt = in_blocks(cut, "gram", large, block).drop("_side").repartition(n, *keys).sortWithinPartitions(*keys)
-    ordered = Stage(dealt.mapInArrow(_order(width, collection), "doc long, st long, size long"))
-    release(spark)
-    spans = judged.df().where("gram is null").select("doc", "st", "size").union(ordered.df())
-    done = _with_text(texts, spans).select("doc", "text", "st", "size").mapInArrow(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
+    with Staging() as stage:
+        long_enough = texts.where(F.octet_length("text") >= width)
+        mapped = stage(long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long"))
+        judged = settled(mapped, width, n, range_most)
+        asked = judged.where("gram is not null")
+        large = large_keys(asked, "gram", block)
+        cut = _with_text(long_enough, asked, True).select("doc", "v", "text", "st", "size", "gram", "h").mapInArrow(_cut_contexts, "doc long, v long, st long, gram long, h long, ctx binary")
+        keys = ["gram", "_i", "_j"]
+        dealt = in_blocks(cut, "gram", large, block).drop("_side").repartition(n, *keys).sortWithinPartitions(*keys)
+        ordered = stage(dealt.mapInArrow(_order(width, collection), "doc long, v long, st long, size long"))
+        spans = [mapped.where("data is null"), judged.where("gram is null"), ordered]
+        spans = Stage(reduce(DataFrame.union, [d.select("doc", "v", "st", "size") for d in spans])).df()
+    done = _with_text(texts, spans, False).select("doc", "v", "text", "st", "size").mapInArrow(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
     out = done.withColumnRenamed("doc", "doc_id")
     lone = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
