@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, connected_components, release, trim
+from palimpsest.llm.common import Stage, Staging, connected_components, distributed_rank, trim
 from palimpsest.llm.grouped import in_blocks, large_keys, per_group
 
 BITS = 1024
 LEAST_CELLS = 64
+SINGLE = 32
 ROUNDS = 3  # of joining nearest components, before a dense key is compared within its task
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,36 +66,41 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
 
 
-def bands(n: int, most: int) -> list[tuple[int, int]]:
+def bands(n: int, most: int | None) -> list[tuple[int, int]]:
     """(band, cells) in which a set of n tokens is entered. Bands are [2^b, 2^(b+1)); a set that can be similar to one
-    of the next band is entered there too. A band's cells exceed the largest difference it allows."""
+    of the next band is entered there too. A band's cells exceed the largest difference it allows; 0 stands for a cell
+    a token, in bands of sets up to SINGLE tokens."""
     b = n.bit_length() - 1
     out = [b] + [b + 1] * (4 * n >= 3 * (1 << (b + 1)))
-    return [(x, 4 << (x + 1)) if (2 << x) <= most else (x, max(LEAST_CELLS, (2 << (x + 1)) // 7 + 1)) for x in out]
+    return [(x, 0) if (2 << x) <= SINGLE else (x, max(LEAST_CELLS, (2 << (x + 1)) // 7 + 1)) for x in out]
 
 
-def cell_keys(h: np.ndarray, most: int = 40) -> np.ndarray:
-    """A set's join keys: the values of its cells that are not empty, in each of its bands.
+def cell_keys(h: np.ndarray, most: int | None = 40, rest: bool = False) -> np.ndarray:
+    """A set's join keys: the values of its cells that are not empty, in each of its bands; with rest, those beyond `most`.
 
-    Bands of sets up to `most` tokens have four cells a token and enter every cell: some token shared by two similar
-    sets is alone with tokens of its own set. Larger bands enter `most` fixed cells of the sketch. There at least a third
-    of all cells agree and hold tokens, even for a pair just at the threshold 0.75, so that all `most` keys of such a
-    pair disagree with a chance of (2 / 3) ** most, under 1e-7; similar pairs above it are surer.
+    In bands of sets up to SINGLE tokens each token is a key, so that similar sets always share one. Larger bands enter
+    the first `most` cells of the sketch (None: all). Of all cells at least a third agree and hold tokens, even
+    for a pair just at the threshold 0.75, so that all of `most` keys of such a pair disagree with a chance of
+    (2 / 3) ** most, and for a pair above it with less; of all cells together with a chance below 1e-10.
     """
     keys = []
     if not len(h):
         return np.empty(0, np.int64)
     for band, cells in bands(len(h), most):
+        tag = np.uint64(band << 40)
+        if not cells:
+            if not rest:
+                keys.append(_mix(_mix(h) + _mix(tag + np.uint64(1))))
+            continue
         cell = ((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-        order = np.argsort(cell, kind="stable")
-        at = np.flatnonzero(np.diff(cell[order], prepend=cells))
-        values = np.bitwise_xor.reduceat(_mix(h[order]), at)
-        cell = cell[order][at]
-        if (2 << band) > most:
-            chosen = cell < most  # tokens are hashed, so the first cells are as good as any
+        # tokens are hashed and sorted, so cells come in order, and the first ones are as good as any
+        at = np.flatnonzero(np.diff(cell, prepend=cells))
+        values, cell = np.bitwise_xor.reduceat(_mix(h), at), cell[at]
+        if most is not None:
+            chosen = (cell < most) != rest
             cell, values = cell[chosen], values[chosen]
-        keys.append(_mix(values + _mix(cell + np.uint64(band << 40))))
-    return np.concatenate(keys).view(np.int64)
+        keys.append(_mix(values + _mix(cell + tag)))
+    return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
@@ -102,42 +108,40 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (fingerprint of the whole set), bits, keys for (doc_id, text)."""
+def sketches(docs: DataFrame, most: int | None) -> DataFrame:
+    """doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (doc_id, v, text)."""
 
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 out = []
-                for t in b.column(1).slice(s, 500).to_pylist():
+                for t in b.column(2).slice(s, 500).to_pylist():
                     h = shingle_hashes(t)
                     m = _mix(h + np.uint64(1))
-                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h)))
+                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most)))
                 n, d1, d2, bits, keys = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s, 500), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "d1", "d2", "bits", "keys"],
+                    [b.column(0).slice(s, 500), b.column(1).slice(s, 500), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "v", "n", "d1", "d2", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
-def set_table(ids: DataFrame, docs: DataFrame) -> Stage:
-    """(doc_id, h): the shingle sets of the listed documents; the other texts stay out."""
+def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, h): the shingle sets of the listed (rep, doc_id, v); the other texts stay out."""
 
     def sets(batches):
         for b in batches:
             for s in range(0, b.num_rows, 500):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 500), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).slice(s, 500).to_pylist()], pa.binary())], names=["doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 500), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).slice(s, 500).to_pylist()], pa.binary())], names=["rep", "h"])
         trim()
 
-    return Stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary").dropDuplicates(["doc_id"]))
+    return texts.join(ids, ["doc_id", "v"]).select("rep", "text").mapInArrow(sets, "rep long, h binary").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar, by comparing the sets."""
-    have = set_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
-    left, right = (have.df().select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+def verified(pairs: DataFrame, who: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar, by comparing the sets; who: (rep, doc_id, v)."""
 
     def compare(batches):
         for b in batches:
@@ -151,13 +155,15 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
         trim()
 
-    out = Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"))
-    have.drop()
-    return out.df()
+    with Staging() as stage:
+        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(who, "rep")
+        have = stage(set_table(ids, texts))
+        left, right = (have.select(F.col("rep").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+        return Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")).df()
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
+def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int | None = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id; and text_hash, keeper.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles;
     component_id is the smallest doc_id reachable by links. Sets are compared by 64-bit hashes of their shingles.
@@ -167,58 +173,82 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, id_
     each document with its nearest one; a key that had many comes again with the components known then. What is still dense
     after ROUNDS rounds is compared, sets against sets, within the key's task, and only connecting links leave it. Keys
     with more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or
-    compared, and no step emits more than a few rows for each document of a key.
+    compared, and no step emits more than a few rows for each document of a key. Sets of more than SINGLE tokens enter
+    `most` cells a band as keys, by which a pair just at the threshold is missed with a chance under 1e-7, a surer one
+    with less; most=None enters all cells that the pigeonhole bound asks for (under 1e-10).
     Null or empty texts, and texts without words, have no shingle and their own component. Null ids have a null component.
-    Rows of one doc_id are one document (the set of one of its rows is used). An empty table gives no row.
+    Rows of one doc_id may hold different texts: each row is judged by its own, and the id alone links nothing.
+    text_hash (xxhash64 of the text) tells them apart; keeper marks the rows of each component's first (doc_id,
+    text_hash), all rows without shingles, and those without an id. An empty table gives no row.
     """
     if percent < 75:
         raise ValueError("the bands are laid out for 75 percent and more")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = Stage(sketches(texts))
-    real = base.df().where("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    kept = F.min_by(F.struct("n", "bits", "keys"), "doc_id")
-    reps = Stage(real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), kept.alias("s")).select("rep", "s.*"))
-    light = reps.df().select("rep", F.explode("keys").alias("key"))
-    shared = Stage(light.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1"))
-    keyed = Stage(light.join(shared.df().select("key", "lead"), "key"))
-    votes = keyed.df().where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
+    with Staging() as stage:
+        base = stage(sketches(texts, most))
+        real = base.where("n > 0 and doc_id is not null")
+        first = F.min(F.struct("doc_id", "v")).alias("first")
+        classes = stage(real.groupBy("n", "d1", "d2").agg(first))
+        reps = stage(numbered(real.groupBy("n", "d1", "d2").agg(first, F.min_by(F.struct("bits", "keys"), F.struct("doc_id", "v")).alias("s")).select("n", "d1", "d2", "first.*", "s.*")))
+        who = reps.select("rep", "doc_id", "v")
+        light = reps.select("rep", F.explode("keys").alias("key"))
+        shared = stage(light.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
+        keyed = stage(light.join(shared, "key"))
+        comp = settle_links(stage, keyed, reps.select("rep", "n", "bits"), who, texts, percent, block)
+        final = reps.select("rep", "n", "d1", "d2", "doc_id").join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        heads = stage(final.select("c", "rep", "n", "d1", "d2"))
+        named = heads.join(reps.select(F.col("rep").alias("c"), F.col("doc_id").alias("_c"), F.col("v").alias("_v")), "c").select("n", "d1", "d2", "_c", "_v")
+        out = Stage(real.select("doc_id", "v", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", "v", "n", "_c", ((F.col("doc_id") == F.col("_c")) & (F.col("v") == F.col("_v"))).alias("keeper")).union(
+            base.where("n = 0 or doc_id is null").select("doc_id", "v", "n", F.col("doc_id").alias("_c"), F.lit(True).alias("keeper"))
+        ))
+    return out.df().select("doc_id", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"), F.col("v").alias("text_hash"), "keeper")
+
+
+def numbered(reps: DataFrame) -> DataFrame:
+    """Add rep, a number for each class in order of its first (doc_id, v): the id, or a rank where ids repeat."""
+    if reps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return reps.withColumn("rep", F.col("doc_id"))
+    return distributed_rank(reps, F.lit(0), [F.col("doc_id"), F.col("v")], "rep")
+
+
+def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, who: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """(rep, component) of the documents that link with others, from (key, lead, rep); see similar_documents."""
+    votes = keyed.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("lead"))).alias("v")).select((-F.col("v")["col2"]).alias("a"), F.col("rep").alias("b"))
-    sized = reps.df().select("rep", "n", "bits")
     star = best.join(sized.selectExpr("rep a", "n na", "bits ba"), "a").join(sized.selectExpr("rep b", "n nb", "bits bb"), "b")
-    star = Stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
-    first = verified(star.df(), texts, percent)
-    edges = first
-    spark = texts.sparkSession
-    left = keyed.df().select("key", "rep")
+    star = stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
+    known = stage(connected_components(verified(star, who, texts, percent), stage))
+    left = keyed.select("key", "rep")
     for step in range(ROUNDS + 1):
-        known = Stage(connected_components(edges))
-        comp = left.join(known.df().withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        comp = Stage(comp)
-        mixed = comp.df().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = Stage(comp.df().join(mixed, "key", "left_semi"))
-        held = in_blocks(members.df().join(sized, "rep"), "key", large_keys(members.df(), "key", block), block)
-        asked = Stage(per_group(held, "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long, dense boolean"))
+        comp = stage(left.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+        mixed = stage(comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+        members = stage(comp.join(mixed, "key", "left_semi"))
+        held = in_blocks(members.join(sized, "rep"), "key", large_keys(members, "key", block), block)
+        asked = stage(per_group(held, "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long, dense boolean"))
+        pair = [F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")]
+        dense = stage(asked.where("dense").select("key").distinct())
+        last = dense.isEmpty()
         if step < ROUNDS:
-            pairs = Stage(asked.df().select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-            found = verified(pairs.df(), texts, percent)
+            found = verified(stage(asked.select(*pair).distinct()), who, texts, percent)
         else:
-            many = asked.df().where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
-            sets = set_table(many.select(F.col("rep").alias("doc_id")).distinct(), texts)
-            full = many.join(sets.df().withColumnRenamed("doc_id", "rep"), "rep")
-            few = Stage(asked.df().where("not dense").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-            found = verified(few.df(), texts, percent).union(Stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()).df())
-        edges = edges.union(found)
-        dense = Stage(asked.df().where("dense").select("key").distinct())
-        left = comp.df().select("key", "rep").join(dense.df(), "key", "left_semi")
-        release(spark)
-        if dense.df().isEmpty():
+            many = asked.where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
+            full = many.join(stage(set_table(many.select("rep").distinct().join(who, "rep"), texts)), "rep")
+            found = verified(stage(asked.where("not dense").select(*pair).distinct()), who, texts, percent)
+            found = found.union(stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()))
+        known = joined_components(stage, known, found)
+        if last:
             break
-    comp = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("_c"))
-    out = real.select("doc_id", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "n", "_c")
-    rest = base.df().where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("_c"))
-    return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"))
+        left = members.select("key", "rep").join(dense, "key", "left_semi")
+    return known.select(F.col("node").alias("rep"), "component")
+
+
+def joined_components(stage: Staging, known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) when links (a, b) are added: only the new links between components are worked through."""
+    of = known.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    ends = links.join(of.withColumnsRenamed({"n": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "c": "cb"}), "b", "left")
+    moved = stage(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), stage))
+    old = known.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stage(old.union(moved.join(known.select("node"), "node", "left_anti")))
 
 
 def _bound(na, nb, percent: int):
