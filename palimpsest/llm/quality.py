@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import packed, trim, unpacked
+from palimpsest.llm.common import Staging, packed, trim, unpacked
 
 HALF, EMBED, FILTERS, HIDDEN = 4, 8, 32, 16  # a filter sees two halves of HALF bytes; filters step by HALF bytes
 STEP, CHUNK = 112, 128  # halves between chunks, and in a chunk
@@ -90,76 +90,96 @@ def document_logits(m: Model, texts: list[bytes], group: int = 1 << 18) -> np.nd
     return sums / counts
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Model:
-    """Fit by Adam on chunks (rows of CHUNK_BYTES bytes, the first `lengths` of each valid) with the texts' labels."""
-    m, r = new_model(seed), np.random.default_rng(seed)
-    if not len(chunks):
-        return m
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 1500, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Model:
+    """Fit by Adam on whole texts: a text's logit is the mean over all its chunks, as in scoring.
+
+    A step takes texts in random order until they have `batch` chunks; each text weighs the same, however long.
+    """
+    m = new_model(seed)
+    if texts:
+        lens = np.array([len(t) for t in texts], np.int64)
+        counts = np.maximum(1, -(-lens // STEP_BYTES))
+        flat = np.frombuffer(b"".join(texts) + bytes(CHUNK_BYTES), np.uint8)
+        starts = np.cumsum(lens) - lens
+        _descend(m, flat, starts, lens, counts, np.asarray(labels, np.float32), steps, batch, rate, np.random.default_rng(seed))
+    return m
+
+
+def gradients(m: Model, x: np.ndarray, ok: np.ndarray, doc: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Summed cross entropy of texts and its gradients. x: chunks (rows of CHUNK_BYTES bytes), ok: their frames that hold
+    bytes, doc: the text of each chunk, counts: chunks of each text."""
+    k = len(x)
+    e = m.embed[x].reshape(k, CHUNK, HALF * EMBED)
+    win = np.concatenate([e[:, :-1], e[:, 1:]], 2)
+    z = np.maximum(win @ m.conv + m.bias, 0) * ok[:, :, None]
+    where = z.argmax(1)
+    pooled = np.take_along_axis(z, where[:, None], 1)[:, 0]
+    h = np.maximum(pooled @ m.hidden + m.hidden_bias, 0)
+    logit = np.bincount(doc, h @ m.out + m.out_bias[0], len(counts)) / counts
+    loss = float((np.logaddexp(0, logit) - labels * logit).sum())
+    d = (((1 / (1 + np.exp(-logit)) - labels) / counts)[doc]).astype(m.out.dtype)
+    dh = d[:, None] * m.out * (h > 0)
+    dp = (dh @ m.hidden.T) * (pooled > 0)
+    rows = np.arange(k)[:, None]
+    hit = win[rows, where]  # chunks x FILTERS x frame width
+    dwin = dp[:, :, None] * m.conv.T[None]
+    dembed = np.zeros_like(m.embed)
+    byte_at = where[:, :, None] * HALF + np.arange(2 * HALF)
+    np.add.at(dembed, x[rows[:, :, None], byte_at].ravel(), dwin.reshape(-1, EMBED))
+    return loss, [dembed, np.einsum("bf,bfn->nf", dp, hit, optimize=True), dp.sum(0), pooled.T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True)]
+
+
+def _descend(m: Model, flat, starts, lens, counts, labels, steps: int, batch: int, rate: float, r: np.random.Generator) -> None:
     params = m.arrays()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    frames = CHUNK - 1
-    valid = np.arange(frames)[None] * HALF < lengths[:, None]
+    usual = max(1.0, batch / counts.mean())  # texts in a step
+    queue = np.empty(0, np.int64)
+    span = np.arange(CHUNK_BYTES)
+    frames = np.arange(CHUNK - 1) * HALF
     for t in range(1, steps + 1):
-        pick = r.integers(0, len(chunks), batch)
-        x, y, ok = chunks[pick], labels[pick], valid[pick]
-        e = m.embed[x].reshape(batch, CHUNK, HALF * EMBED)
-        win = np.concatenate([e[:, :-1], e[:, 1:]], 2)
-        z = np.maximum(win @ m.conv + m.bias, 0) * ok[:, :, None]
-        where = z.argmax(1)
-        pooled = np.take_along_axis(z, where[:, None], 1)[:, 0]
-        h = np.maximum(pooled @ m.hidden + m.hidden_bias, 0)
-        p = 1 / (1 + np.exp(-(h @ m.out + m.out_bias[0])))
-        d = ((p - y) / batch).astype(np.float32)
-        dh = d[:, None] * m.out * (h > 0)
-        dp = (dh @ m.hidden.T) * (pooled > 0)
-        rows = np.arange(batch)[:, None]
-        hit = win[rows, where]  # batch x FILTERS x frame width
-        dconv = np.einsum("bf,bfn->nf", dp, hit, optimize=True)
-        dwin = dp[:, :, None] * m.conv.T[None]
-        dembed = np.zeros_like(m.embed)
-        byte_at = where[:, :, None] * HALF + np.arange(2 * HALF)
-        np.add.at(dembed, x[rows[:, :, None], byte_at].ravel(), dwin.reshape(-1, EMBED))
-        grads = [dembed, dconv, dp.sum(0), pooled.T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True)]
+        while counts[queue].sum() < batch:
+            queue = np.concatenate([queue, r.permutation(len(lens))])
+        n = int(np.searchsorted(np.cumsum(counts[queue]), batch)) + 1
+        pick, queue = queue[:n], queue[n:]
+        doc = np.repeat(np.arange(n), counts[pick])
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(counts[pick]) - counts[pick], counts[pick])) * STEP_BYTES
+        left = lens[pick][doc] - at
+        x = np.where(span < left[:, None], flat[np.minimum((starts[pick][doc] + at)[:, None] + span, len(flat) - 1)], np.uint8(0))
+        _, grads = gradients(m, x, frames < left[:, None], doc, counts[pick], labels[pick])
         lr = rate * min(1.0, 2 * (1 - t / (steps + 1)))
         for q, g, a, b in zip(params, grads, first, second):
+            g = g / usual
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             q -= (lr * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return m
-
-
-def cut_chunks(text: bytes, most: int) -> list[bytes]:
-    """At most `most` of a text's chunks, evenly spread from its first to its last."""
-    n = max(1, -(-len(text) // STEP_BYTES))
-    at = sorted({round(i * (n - 1) / max(1, most - 1)) for i in range(min(n, most))})
-    return [text[i * STEP_BYTES : i * STEP_BYTES + CHUNK_BYTES] for i in at]
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, chunks_per_doc: int = 3, label_col: str = "quality") -> Model:
-    """Train on at most `sample` labelled rows outside the held-out fold, those with the smallest hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, sample_bytes: int = 48 << 20, label_col: str = "quality") -> Model:
+    """Train on whole texts of at most `sample` labelled documents outside the held-out fold, in order of a hash of doc_id,
+    as many as hold sample_bytes bytes together; that is all the driver gets.
 
-    That bound is the only one: it limits what the driver gets to sample * chunks_per_doc chunks of CHUNK_BYTES bytes.
+    Null ids, labels and texts are no examples; of a doc_id labelled twice the larger label counts, and of one with
+    several texts the least. Without examples the network stays as initialised (one fixed seed).
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).alias("_y"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-
-    def cut(batches):
-        for b in batches:
-            out = [(d, i, c, y) for d, t, y in zip(*(b.column(k).to_pylist() for k in range(3))) for i, c in enumerate(cut_chunks(t.encode(), chunks_per_doc))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.int32()))], names=["d", "i", "c", "y"])
-
-    rows = joined.select(F.col("doc_id").cast("string"), "text", F.col("_y").cast("int")).mapInArrow(cut, "d string, i int, c binary, y int").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(r["d"].encode()), r["d"], r["i"], r["c"]))
-    x = np.zeros((len(rows), CHUNK_BYTES), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, : len(r["c"])] = np.frombuffer(r["c"], np.uint8)
-    return train(x, np.array([len(r["c"]) for r in rows]), np.array([r["y"] for r in rows], np.float32))
+    with Staging() as stage:
+        texts = stage(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")).withColumn("o", F.xxhash64("doc_id")))
+        sizes = sorted((r.o, str(r.doc_id), r.n) for r in texts.select("o", "doc_id", F.octet_length("text").alias("n")).collect())
+        total, last = 0, None
+        for o, _, n in sizes:
+            total += n
+            if total > sample_bytes:
+                break
+            last = o
+        rows = texts.where(F.col("o") <= last).select(F.col("doc_id").cast("string").alias("d"), "text", "y").toArrow().to_pylist() if last is not None else []
+    rows.sort(key=lambda r: (zlib.crc32(r["d"].encode()), r["d"]))
+    return train([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
