@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import trim
-from palimpsest.llm.tokens import Encoder, kept
+from palimpsest.llm.common import partitions, trim
+from palimpsest.llm.tokens import CACHE, Encoder, kept
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,71 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     return src.mapInArrow(run, f"id {kind}, n_tokens long, n_loss long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(), block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_conversations(turns: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(2048, 8, 1536), block: int = 2048, cache: int = CACHE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", answers: str = "assistant") -> DataFrame:
+    """Pack conversations whole into sequences; the ids of turns whose role is `answers` bear loss.
+
+    One row per example: conv_id, part, n_tokens, n_loss, sequence_id, offset. A turn's ids are those of its text and
+    end_id. A conversation within the limits is one example; a longer one is parted between turns as late as the limits
+    allow, and a turn that exceeds them alone is cut. Null texts are empty, null roles bear no loss, turns of one number
+    come in order of role and text, rows without a conv_id are conversations of one turn each, repeated rows are turns
+    of their own, an empty table gives no row, other columns are not read. One shuffle brings a conversation's turns
+    together; a task holds one turn and one block of counts.
+    """
+    kind = turns.schema[id_col].dataType.simpleString()
+    names = ["conv_id", "part", "n_tokens", "n_loss", "sequence_id", "offset"]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        enc = kept(Encoder, path, cache)
+        serial = TaskContext.get().partitionId() << 40
+        wait: list[tuple] = []  # (conv_id, part, tokens, loss)
+        now, part, tokens, loss = None, 0, 0, 0
+        id_type = None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal serial
+            out = []
+            for content in pack_block(np.array([w[2] for w in wait]), np.array([w[3] for w in wait]), limits)[0]:
+                at = 0
+                for i, _, k in content:
+                    out.append((*wait[i], serial, at))
+                    at += k
+                serial += 1
+            wait.clear()
+            cols = list(zip(*out)) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=names)
+
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for c, text, answer in zip(*(x.to_pylist() for x in b.columns)):
+                if c != now or c is None:
+                    if tokens:
+                        wait.append((now, part, tokens, loss))
+                    now, part, tokens, loss = c, 0, 0, 0
+                left = len(enc.ids(text)) // 4 + 1
+                most = min(limits.tokens, limits.loss_tokens) if answer else limits.tokens
+                while left:
+                    k = min(left, most)
+                    if tokens and (tokens + k > limits.tokens or loss + k * answer > limits.loss_tokens):
+                        wait.append((now, part, tokens, loss))
+                        part, tokens, loss = part + 1, 0, 0
+                    tokens, loss, left = tokens + k, loss + k * answer, left - k
+                if len(wait) >= block:
+                    yield flush()
+        if tokens:
+            wait.append((now, part, tokens, loss))
+        if id_type is not None:
+            yield flush()
+        trim()
+
+    src = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    # rows without an id have no conversation to meet, so they are spread
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0))
+    dealt = src.withColumn("_s", spread).repartition(partitions(turns.sparkSession), "conv_id", "_s").sortWithinPartitions("conv_id", "_s", "turn", "role", "text")
+    flag = F.coalesce(F.col("role") == answers, F.lit(False))
+    return dealt.select("conv_id", "text", flag.alias("answer")).mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(), block: int = 2048, cache: int = CACHE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the token ids of every whole text, each ended by end_id, into sequences; one row per piece.
 
     Columns: doc_id, start (of the piece among its document's ids), length, ids_crc32 (of the ids as little-endian
@@ -132,14 +196,15 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, limits: Limits =
     Whole stretches of as many ids as a sequence may hold are sequences of their own; the tails are packed by pack_block in blocks of
     rows, dividing some to fill gaps. Sequence ids are unique in the result, not consecutive. Null and empty texts have
     the end id alone; repeated rows are packed once each; null ids stay; an empty table gives no row; other columns are
-    not read. No shuffle: a task holds one block of tails. Rerunning a task numbers its sequences as before.
+    not read. In plain documents all ids bear loss but a first one, so that limits.loss_tokens binds only below
+    limits.tokens; pack_conversations takes loss from roles. No shuffle: a task holds one block of tails and `cache` pre-tokens. Rerunning a task numbers its sequences as before.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     size = min(limits.tokens, limits.loss_tokens)  # all ids but a document's first bear loss
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc = kept(Encoder, path)
+        enc = kept(Encoder, path, cache)
         end = int(end_id).to_bytes(4, "little")
         serial = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

@@ -2,8 +2,8 @@
 
 The library's own pre-tokenisation is reproduced for texts whose characters all lie in a fixed Latin range, where
 both sides classify every character alike (the tests compare them character by character); each other text is
-given to the library whole. Vocabulary strings that the library encodes alone as one token are found once per
-Python worker; a pre-token among them counts 1 without merging. The rest go to the library, one call for each
+given to the library whole. Vocabulary strings that the library encodes alone as one token are proven once, on the
+driver, before any text is read, and handed to the tasks; a pre-token among them counts 1 without merging. The rest go to the library, one call for each
 different pre-token, kept in a bounded cache.
 """
 
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import array
 import json
+import os
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,10 +41,10 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def specials(path: str) -> re.Pattern | None:
-    """A pattern for the added tokens' strings, which the library cuts out of a text before anything else."""
+def special_strings(path: str) -> list[str]:
+    """The added tokens' strings, which the library cuts out of a text before anything else; longer ones first."""
     added = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
-    return re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    return sorted(added, key=len, reverse=True)
 
 
 def whole_tokens(path: str, end: str = "</w>") -> set[str]:
@@ -66,12 +68,27 @@ def _byte_char(b: int) -> str:
     return chr(b) if b in shown else chr(256 + sorted(set(range(256)) - set(shown)).index(b))
 
 
-class Counter(dict):
+class Texts(dict):
+    """A cache of pre-tokens, with what is known of the file's special strings."""
+
+    def __init__(self, path: str, most: int):
+        super().__init__()
+        strings = special_strings(path)
+        self.tok, self.most = tokenizer(path), most
+        self.special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        self.mark = os.path.commonprefix(strings)  # found faster than the pattern
+
+    def has_special(self, text: str) -> bool:
+        return self.special is not None and self.mark in text and self.special.search(text) is not None
+
+
+class Counter(Texts):
     """Pre-token -> number of tokens."""
 
-    def __init__(self, path: str):
-        super().__init__(dict.fromkeys(whole_tokens(path), 1))
-        self.tok, self.special, self.most = tokenizer(path), specials(path), len(self) + CACHE
+    def __init__(self, path: str, most: int, whole: Iterable[str]):
+        super().__init__(path, most)
+        self.update(dict.fromkeys(whole, 1))
+        self.most += len(self)
 
     def __missing__(self, word: str) -> int:
         n = len(self.tok.encode(word, add_special_tokens=False).ids)
@@ -82,7 +99,7 @@ class Counter(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special and "<" in text and self.special.search(text):
+        if self.has_special(text):
             return sum(i % 2 or self.count(x) for i, x in enumerate(self.special.split(text)))
         if OUTSIDE.search(text):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
@@ -91,13 +108,9 @@ class Counter(dict):
         return sum(map(self.__getitem__, WORDS.findall(text.lower())))
 
 
-class Encoder(dict):
+class Encoder(Texts):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tok, self.special = tokenizer(path), specials(path)
-
     def raw(self, text: str) -> bytes:
         ids = array.array("I", self.tok.encode(text, add_special_tokens=False).ids)
         if sys.byteorder == "big":
@@ -106,36 +119,40 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.raw(piece)
-        if len(self) < CACHE:
+        if len(self) < self.most:
             self[piece] = ids
         return ids
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special and "<" in text and self.special.search(text) or OUTSIDE.search(text):
+        if self.has_special(text) or OUTSIDE.search(text):
             return self.raw(text)
         return b"".join(map(self.__getitem__, PIECES.findall(text)))
 
 
-def kept(kind, path: str):
-    """One counter or encoder for each file and Python worker."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+def kept(kind, path: str, most: int, *more):
+    """One counter or encoder for each file and Python worker; a smaller bound makes a new one."""
+    if (kind, path) not in _loaded or _loaded[kind, path][0] != most:
+        _loaded[kind, path] = most, kind(path, most, *more)
+    return _loaded[kind, path][1]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, cache: int = CACHE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have 0 bytes and 0 tokens; special strings inside texts count as the library counts them.
     Repeated rows give repeated rows, null ids stay, other columns are not read, an empty table gives an empty table.
-    No shuffle: each scan task streams its batches and holds one batch and the bounded cache.
+    No shuffle: each scan task streams its batches and holds one batch, the proven strings (broadcast; as many as the
+    vocabulary has at most) and a cache of `cache` pre-tokens.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    if ("whole", path) not in _loaded:
+        _loaded["whole", path] = sorted(whole_tokens(path))
+    whole = docs.sparkSession.sparkContext.broadcast(_loaded["whole", path])
 
     def run(batches):
-        c = kept(Counter, path)
+        c = kept(Counter, path, cache, whole.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.count(t) for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -13,7 +13,7 @@ TEXTS = ["", None, " ", "Hello  WORLD's tale, 42 times!", "naïve Été Σς 你
 
 
 def test_every_base_character():
-    c, e = tokens.Counter(WORD), tokens.Encoder(BYTE)
+    c, e = tokens.Counter(WORD, tokens.CACHE, tokens.whole_tokens(WORD)), tokens.Encoder(BYTE, tokens.CACHE)
     base = [chr(i) for i in range(0x250)] + [chr(i) for i in range(0x2010, 0x205F)] + ["€", "́", "Σ", "你"]
     for ch in base:
         for s in (f"a{ch}a", f"1{ch}1", f" {ch} ", f"!{ch}'", ch):
