@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage
+from palimpsest.llm.common import Stage, Staging, partitions
 
 LEAF = 256
 
@@ -98,7 +98,8 @@ class Tree:
                     c = c[line >= np.partition(line, -k)[-k] - slack[i]]
                 if not len(c):
                     continue
-                s = np.concatenate([best_s[i], (x64[b + c] * q[i]).sum(1)])  # one order of addition for every pair
+                # components are added one after the other, the same for every pair
+                s = np.concatenate([best_s[i], np.cumsum(x64[b + c] * q[i], 1)[:, -1]])
                 ids = np.concatenate([best_i[i], self.ids[b + c]])
                 top = np.lexsort((ids, -s))[:k]
                 best_s[i], best_i[i] = s[top], ids[top]
@@ -152,8 +153,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     """For each query row its k vectors of largest inner product: query_id, rank (from 1), vec_id, score.
 
     Rows are dealt evenly into shards of about shard_rows; each shard's tree is one row of a staged index table. Query
-    rows are dealt into blocks of block_rows, and each block meets each tree once; the shards' k best are merged by a
-    window that keeps k rows a query. factor trades recall for time (1: exact); the index and the search leave out
+    rows are dealt into blocks of block_rows, and each block meets each tree once: blocks are dealt to the shards, and a
+    task loads a tree and streams its blocks. So the work, and what is shuffled, is queries times shards, as it must be
+    where any shard may hold a neighbour. The shards' k best are merged by a window that keeps k rows a query. factor trades recall for time (1: exact); the index and the search leave out
     no row otherwise. A query's own id is no answer to it. Vectors null, empty, zero, or with null or non-finite
     components take no part, nor do null ids; vectors of another length than the query's are not its candidates. Equal
     scores are ordered by id; repeated candidate rows count each, repeated query rows are answered each. Fewer than k
@@ -165,24 +167,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     total, most = points.agg(F.count("*"), F.max(square)).first()
     wanted = asked.count()
     shards, blocks = max(1, math.ceil(total / shard_rows)), max(1, math.ceil(wanted / block_rows))
+    n = partitions(vectors.sparkSession)
+    slices = max(1, min(blocks, math.ceil(2 * n / shards)))  # copies of a tree, so that few shards too fill all tasks
     most = float(most or 0.0)
-    trees = Stage(_blocks(points, shards, "shard", lambda ids, x: Tree(ids, x.astype(np.float64 if x.dtype == np.float64 else np.float32), most * (1 + 1e-12)).dump()))
-    asked = _blocks(asked, blocks, "block", _dump_queries).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = asked.join(trees.df(), ["shard", "dim"])
 
     def run(batches):
+        now, tree = None, None
         for b in batches:
-            for block, data, tree in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for *key, block, data in zip(*(c.to_pylist() for c in b.columns)):
+                if block < 0:
+                    now, tree = key, Tree.load(data)
+                    continue
+                if key != now:  # no vector of the shard is as long as these queries
+                    continue
                 z = np.load(io.BytesIO(data))
-                found = Tree.load(tree).search(z["ids"], z["x"], k, factor)
+                found = tree.search(z["ids"], z["x"], k, factor)
                 sizes = [len(i) for i, _ in found]
-                if not sum(sizes):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat((np.int64(block) << 32) + np.arange(len(sizes)), sizes)), pa.array(np.repeat(z["ids"], sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                    names=["_q", "query_id", "vec_id", "score"],
-                )
-
-    got = pairs.select("block", "block_data", "shard_data").mapInArrow(run, "_q long, query_id long, vec_id long, score double")
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat((np.int64(block) << 32) + np.arange(len(sizes)), sizes)), pa.array(np.repeat(z["ids"], sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
+                        names=["_q", "query_id", "vec_id", "score"],
+                    )
+
+    with Staging() as stage:
+        trees = stage(_blocks(points, shards, "shard", lambda ids, x: Tree(ids, x.astype(np.float64 if x.dtype == np.float64 else np.float32), most * (1 + 1e-12)).dump()))
+        asked = stage(_blocks(asked, blocks, "block", _dump_queries))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        trees = trees.withColumn("slice", every(slices)).select("shard", "slice", "dim", F.lit(-1).alias("block"), F.col("shard_data").alias("data"))
+        asked = asked.withColumn("shard", every(shards)).select("shard", (F.col("block") % slices).alias("slice"), "dim", "block", F.col("block_data").alias("data"))
+        dealt = trees.union(asked).repartition(n, "shard", "slice").sortWithinPartitions("shard", "slice", "dim", "block")
+        # rows of a tree or a block are large, so few of them make a batch
+        got = Stage(dealt.mapInArrow(run, "_q long, query_id long, vec_id long, score double"), {"spark.sql.execution.arrow.maxRecordsPerBatch": "32"}).df()
     got = got.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id")))
     return got.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
