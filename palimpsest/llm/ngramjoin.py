@@ -87,7 +87,7 @@ def cell_keys(h: np.ndarray, most: int | None = 40, rest: bool = False) -> np.nd
     if not len(h):
         return np.empty(0, np.int64)
     for band, cells in bands(len(h), most):
-        tag = np.uint64(band << 40)
+        tag = np.array([band << 40], np.uint64)
         if not cells:
             if not rest:
                 keys.append(_mix(_mix(h) + _mix(tag + np.uint64(1))))
