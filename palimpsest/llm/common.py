@@ -37,10 +37,10 @@ class Stage:
     """A table written once to the shared folder, which cuts lineage and survives lost executors.
 
     Its plan runs once, so the shuffle files of the write go at its end; a lost executor's are made anew before that.
-    conf holds for this write alone.
+    conf holds for this write alone, options are the writer's.
     """
 
-    def __init__(self, df: DataFrame, conf: dict[str, str] | None = None):
+    def __init__(self, df: DataFrame, conf: dict[str, str] | None = None, **options: str | int):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex}"
         conf = {CLEANUP: "true"} | (conf or {})
@@ -48,7 +48,7 @@ class Stage:
         for key, value in conf.items():
             self.spark.conf.set(key, value)
         try:
-            df.write.parquet(self.path)
+            df.write.options(**options).parquet(self.path)
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
@@ -71,8 +71,8 @@ class Staging:
         self.stages: list[Stage] = []
         return self
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.stages.append(Stage(df))
+    def __call__(self, df: DataFrame, conf: dict[str, str] | None = None, **options: str | int) -> DataFrame:
+        self.stages.append(Stage(df, conf, **options))
         return self.stages[-1].df()
 
     def __exit__(self, *_) -> None:
@@ -100,6 +100,19 @@ def trim() -> None:
         pass
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, v, text of the rows with an id: v tells apart the texts that share an id (their xxhash64), and is 0 for all others."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    hashed = F.xxhash64("text")
+    several = Stage(texts.groupBy("doc").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("lo < hi").select("doc", F.lit(1).alias("_s"))).df()
+    if several.isEmpty():
+        return texts.select("doc", F.lit(0).cast("long").alias("v"), "text")
+    return texts.join(several, "doc", "left").select("doc", F.when(F.col("_s") == 1, hashed).otherwise(F.lit(0)).cast("long").alias("v"), "text")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

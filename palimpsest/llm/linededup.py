@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import Stage, Staging, packed, unpacked
+from palimpsest.llm.common import ARROW_ROWS, Stage, Staging, packed, trim, unpacked
 
 BLANK = " \t\x0b\f\r\xa0"
 
@@ -165,6 +165,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
                 version += [v] * len(own)
                 key += own
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(key, pa.int64())], names=["doc", "v", "h"])
+        trim()
 
     def align(batches):
         last, earlier = None, None
@@ -179,11 +180,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
                     out.append((a, b, vb, gone))
             a, b, vb, gone = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (a, b, vb)], pa.array(gone, pa.list_(pa.int32()))], names=["a", "b", "vb", "gone"])
+        trim()
 
     with Staging() as stage:
         shape = stage(shape.select("doc", "v", F.col("l.pos").alias("pos"), F.col("l.h").alias("h"), F.col("l.w").alias("w")).where(F.size("h") > 0).dropDuplicates(["doc", "v"]))
         # staged, so that both sides of each join are plain exchanges and a very common key's rows can be split
-        seen = stage(shape.select("doc", "v", "h", "w").mapInArrow(keys, "doc long, v long, h long"))
+        seen = stage(shape.select("doc", "v", "h", "w").mapInArrow(keys, "doc long, v long, h long"), {ARROW_ROWS: "2000"})
         owner = stage(seen.groupBy("h").agg(F.min(F.struct("doc", "v")).alias("a"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", F.col("a.doc").alias("a"), F.col("a.v").alias("va")))
         pairs = stage(seen.join(owner, "h").where("doc > a").select("a", "va", F.col("doc").alias("b"), F.col("v").alias("vb")).distinct())
         first = shape.select(F.col("doc").alias("a"), F.col("v").alias("va"), F.col("h").alias("ha"))
@@ -191,10 +193,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", te
         # the later documents' lists come first: they have few partners, and an owner's list is then never shuffled for each of its pairs
         cuts = pairs.join(later, ["b", "vb"]).join(first, ["a", "va"]).select("a", "va", "ha", "b", "vb", "hb", "w", "pos").mapInArrow(align, "a long, b long, vb long, gone array<int>")
         # a document has few partners (at most its lines), so its list is bounded by the document
-        cuts = Stage(cuts.select("a", "b", "vb", F.explode("gone").alias("p")).groupBy("b", "vb").agg(F.min("a").alias("_from"), F.collect_set("p").alias("_gone"))).df()
+        cuts = cuts.select("a", "b", "vb", F.explode("gone").alias("p")).groupBy("b", "vb").agg(F.min("a").alias("_from"), F.collect_set("p").alias("_gone"))
+        cuts = Stage(cuts, {ARROW_ROWS: "500"}).df()  # rows of a pair hold two documents' lists
     part = packed(src, id_col, text_col)
     ids = part.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_v": F.xxhash64(text_col)})
-    joined = ids.join(cuts.withColumnsRenamed({"b": "_id", "vb": "_v"}), ["_id", "_v"], "left")
+    # a merge join at every size: the deletions grow with the texts
+    joined = ids.join(cuts.withColumnsRenamed({"b": "_id", "vb": "_v"}).hint("merge"), ["_id", "_v"], "left")
     schema = T.StructType([*part.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_from", T.LongType())])
 
     def cut(batches):
