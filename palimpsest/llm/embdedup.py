@@ -106,10 +106,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, width: float = 1.5, m
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         comp = connected_components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")), stage)
         known = distinct.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        known = Stage(known.select("_label", "_v", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("_links"), F.coalesce("component", "rep").alias("_comp"))).df()
-    own = rows.where(part).join(known, ["_label", "_v"]).select("vec_id", "_links", "_comp")
-    other = rows.where(~F.coalesce(part, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("_links"), F.col("vec_id").alias("_comp"))
-    return own.union(other).select("vec_id", F.col("_links").alias("n_links"), F.col("_comp").alias("component_id"), (F.col("vec_id") == F.col("_comp")).alias("kept"))
+        known = known.select("_label", "_v", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("_links"), F.coalesce("component", "rep").alias("_comp"))
+        own = rows.where(part).join(known, ["_label", "_v"]).select("vec_id", "_links", "_comp")
+        other = rows.where(~F.coalesce(part, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("_links"), F.col("vec_id").alias("_comp"))
+        out = Stage(own.union(other))
+    return out.df().select("vec_id", F.col("_links").alias("n_links"), F.col("_comp").alias("component_id"), (F.col("vec_id") == F.col("_comp")).alias("kept"))
 
 
 def _hash_rows(k: int, tables: int, width: float, seed: int, real: type):

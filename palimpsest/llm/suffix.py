@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, Staging, partitions
+from palimpsest.llm.common import ARROW_ROWS, Stage, Staging, partitions, trim, versions
 from palimpsest.llm.grouped import Wire, in_blocks, large_keys
 from palimpsest.llm.ngramjoin import BYTE, _mix, _powers_to
 
@@ -319,10 +319,13 @@ def _map_contexts(width: int, ranges: int, piece: int = 4 << 20):
                     parts, docs, size, seen = [], [], 0, set()
         if parts:
             yield from emit(parts, docs)
+        trim()
 
     return run
 
 
+#: Packed rows are large, so few of them make a batch, and a file's groups of rows are small.
+SMALL = {ARROW_ROWS: "200", "spark.sql.parquet.columnarReaderBatchSize": "200"}
 ASKED = "doc long, v long, st long, size long, gram long, h long"
 
 
@@ -366,6 +369,7 @@ def _settle(width: int):
                 data.append(d)
         if data:
             yield from one(now, data)
+        trim()
 
     return run
 
@@ -380,7 +384,7 @@ def _settle_rows(width: int):
     return run
 
 
-def settled(mapped: DataFrame, width: int, n: int, most: int) -> DataFrame:
+def settled(stage: Staging, mapped: DataFrame, width: int, n: int, most: int) -> DataFrame:
     """Packed contexts judged: rows of ASKED, gram null where a smaller document holds the whole context.
 
     A range of at most `most` contexts is sorted by one task. The others (a minimizer of a very common passage is among
@@ -388,17 +392,16 @@ def settled(mapped: DataFrame, width: int, n: int, most: int) -> DataFrame:
     """
     hot = [r[0] for r in mapped.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges
     packed = mapped.select("range", "data").where("data is not null")
-    out = Stage(packed.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_settle(width), ASKED)).df()
+    out = stage(packed.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_settle(width), ASKED), SMALL)
     if not hot:
         return out
-    with Staging() as stage:
-        rows = stage(packed.where(F.col("range").isin(hot)).mapInArrow(_settle_rows(width), ASKED))
-        same = stage(rows.groupBy("gram", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
-        several = stage(same.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo < hi").select("gram"))
-        judged = stage(rows.join(same.select("gram", "h", "lo"), ["gram", "h"]))
-        done = judged.where("doc > lo").select("doc", "v", "st", "size", F.lit(None).cast("long").alias("gram"), "h")
-        asked = judged.where("doc = lo").join(several, "gram", "left_semi").select("doc", "v", "st", "size", "gram", "h")
-        return out.union(Stage(done.union(asked)).df())
+    rows = stage(packed.where(F.col("range").isin(hot)).mapInArrow(_settle_rows(width), ASKED))
+    same = stage(rows.groupBy("gram", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    several = stage(same.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo < hi").select("gram"))
+    judged = stage(rows.join(same.select("gram", "h", "lo"), ["gram", "h"]))
+    done = judged.where("doc > lo").select("doc", "v", "st", "size", F.lit(None).cast("long").alias("gram"), "h")
+    asked = judged.where("doc = lo").join(several, "gram", "left_semi").select("doc", "v", "st", "size", "gram", "h")
+    return out.union(stage(done.union(asked)))
 
 
 def _with_text(texts: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
@@ -468,6 +471,7 @@ def _order(width: int, collection: int):
                 wait = t.slice(at).to_batches()
         if wait and (out := one(wait)) is not None:
             yield out
+        trim()
 
     return run
 
@@ -523,11 +527,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, b
         raise ValueError(f"width must lie above {GRAM}, and contexts (up to 2 * width - {GRAM} bytes) must not exceed 255")
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
+    texts = versions(docs, id_col, text_col)
     with Staging() as stage:
         long_enough = texts.where(F.octet_length("text") >= width)
-        mapped = stage(long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long"))
-        judged = settled(mapped, width, n, range_most)
+        mapped = long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long")
+        mapped = stage(mapped, {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
+        judged = settled(stage, mapped, width, n, range_most)
         asked = judged.where("gram is not null")
         large = large_keys(asked, "gram", block)
         cut = _with_text(long_enough, asked, True).select("doc", "v", "text", "st", "size", "gram", "h").mapInArrow(_cut_contexts, "doc long, v long, st long, gram long, h long, ctx binary")
@@ -535,9 +540,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, b
         dealt = in_blocks(cut, "gram", large, block).drop("_side").repartition(n, *keys).sortWithinPartitions(*keys)
         ordered = stage(dealt.mapInArrow(_order(width, collection), "doc long, v long, st long, size long"))
         spans = [mapped.where("data is null"), judged.where("gram is null"), ordered]
-        spans = Stage(reduce(DataFrame.union, [d.select("doc", "v", "st", "size") for d in spans])).df()
-    done = _with_text(texts, spans, False).select("doc", "v", "text", "st", "size").mapInArrow(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
-    out = done.withColumnRenamed("doc", "doc_id")
+        spans = reduce(DataFrame.union, [d.select("doc", "v", "st", "size") for d in spans])
+        done = _with_text(texts, spans, False).select("doc", "v", "text", "st", "size").mapInArrow(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+        out = Stage(done).df().withColumnRenamed("doc", "doc_id")
     lone = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends"),
