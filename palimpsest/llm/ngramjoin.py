@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Stage, Staging, connected_components, distributed_rank, trim
+from palimpsest.llm.common import ARROW_ROWS, Stage, Staging, connected_components, distributed_rank, trim
 from palimpsest.llm.grouped import in_blocks, large_keys, per_group
 
 BITS = 1024
@@ -108,28 +108,28 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
-def sketches(docs: DataFrame, most: int | None) -> DataFrame:
-    """doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (doc_id, v, text)."""
+def sketches(texts: DataFrame, most: int | None) -> DataFrame:
+    """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text)."""
 
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 out = []
-                for t in b.column(2).slice(s, 500).to_pylist():
+                for t in b.column(3).slice(s, 500).to_pylist():
                     h = shingle_hashes(t)
                     m = _mix(h + np.uint64(1))
                     out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most)))
                 n, d1, d2, bits, keys = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s, 500), b.column(1).slice(s, 500), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "v", "n", "d1", "d2", "bits", "keys"],
+                    [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["node", "doc_id", "v", "n", "d1", "d2", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    return texts.mapInArrow(run, "node long, doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
 def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, h): the shingle sets of the listed (rep, doc_id, v); the other texts stay out."""
+    """(rep, h): the shingle sets of the listed nodes (rep); the other texts stay out."""
 
     def sets(batches):
         for b in batches:
@@ -137,11 +137,11 @@ def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, 500), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).slice(s, 500).to_pylist()], pa.binary())], names=["rep", "h"])
         trim()
 
-    return texts.join(ids, ["doc_id", "v"]).select("rep", "text").mapInArrow(sets, "rep long, h binary").dropDuplicates(["rep"])
+    return texts.select(F.col("node").alias("rep"), "text").join(ids, "rep", "left_semi").mapInArrow(sets, "rep long, h binary").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, who: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar, by comparing the sets; who: (rep, doc_id, v)."""
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar, by comparing the sets."""
 
     def compare(batches):
         for b in batches:
@@ -156,10 +156,9 @@ def verified(pairs: DataFrame, who: DataFrame, texts: DataFrame, percent: int) -
         trim()
 
     with Staging() as stage:
-        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(who, "rep")
-        have = stage(set_table(ids, texts))
+        have = stage(set_table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), texts))
         left, right = (have.select(F.col("rep").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
-        return Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")).df()
+        return Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), {ARROW_ROWS: "1000"}).df()
 
 
 def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int | None = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,41 +182,44 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
     """
     if percent < 75:
         raise ValueError("the bands are laid out for 75 percent and more")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
     with Staging() as stage:
+        texts, ranked = nodes(stage, docs, id_col, text_col)
         base = stage(sketches(texts, most))
         real = base.where("n > 0 and doc_id is not null")
-        first = F.min(F.struct("doc_id", "v")).alias("first")
-        classes = stage(real.groupBy("n", "d1", "d2").agg(first))
-        reps = stage(numbered(real.groupBy("n", "d1", "d2").agg(first, F.min_by(F.struct("bits", "keys"), F.struct("doc_id", "v")).alias("s")).select("n", "d1", "d2", "first.*", "s.*")))
-        who = reps.select("rep", "doc_id", "v")
+        classes = real.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
+        reps = stage(real.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"), F.min_by(F.struct("bits", "keys"), "node").alias("s")).select("rep", "n", "s.*"))
         light = reps.select("rep", F.explode("keys").alias("key"))
         shared = stage(light.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
         keyed = stage(light.join(shared, "key"))
-        comp = settle_links(stage, keyed, reps.select("rep", "n", "bits"), who, texts, percent, block)
-        final = reps.select("rep", "n", "d1", "d2", "doc_id").join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        heads = stage(final.select("c", "rep", "n", "d1", "d2"))
-        named = heads.join(reps.select(F.col("rep").alias("c"), F.col("doc_id").alias("_c"), F.col("v").alias("_v")), "c").select("n", "d1", "d2", "_c", "_v")
-        out = Stage(real.select("doc_id", "v", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", "v", "n", "_c", ((F.col("doc_id") == F.col("_c")) & (F.col("v") == F.col("_v"))).alias("keeper")).union(
-            base.where("n = 0 or doc_id is null").select("doc_id", "v", "n", F.col("doc_id").alias("_c"), F.lit(True).alias("keeper"))
-        ))
-    return out.df().select("doc_id", F.col("n").alias("n_shingles"), F.col("_c").alias("component_id"), F.col("v").alias("text_hash"), "keeper")
+        comp = settle_links(stage, keyed, reps.select("rep", "n", "bits"), texts, percent, block)
+        member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
+        found = real.select("node", "doc_id", "v", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "v", "n", "c", (F.col("node") == F.col("c")).alias("keeper"))
+        if ranked is not None:
+            found = found.join(ranked.select(F.col("node").alias("c"), F.col("doc_id").alias("_c")), "c").select("doc_id", "v", "n", F.col("_c").alias("c"), "keeper")
+        rest = base.where("n = 0 or doc_id is null").select("doc_id", "v", "n", F.col("doc_id").alias("c"), F.lit(True).alias("keeper"))
+        out = Stage(found.union(rest))
+    return out.df().select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("v").alias("text_hash"), "keeper")
+
 
+def nodes(stage: Staging, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(node, doc_id, v, text), and what doc_id a node has if that is not the node itself.
 
-def numbered(reps: DataFrame) -> DataFrame:
-    """Add rep, a number for each class in order of its first (doc_id, v): the id, or a rank where ids repeat."""
-    if reps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return reps.withColumn("rep", F.col("doc_id"))
-    return distributed_rank(reps, F.lit(0), [F.col("doc_id"), F.col("v")], "rep")
+    A node is a doc_id with one text. Where ids come with several texts, nodes are ranks in order of (doc_id, v)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("text"))
+    several = texts.where("doc_id is not null").groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
+    if several.isEmpty():
+        return texts.select(F.col("doc_id").alias("node"), "doc_id", "v", "text"), None
+    known = stage(distributed_rank(texts.where("doc_id is not null").select("doc_id", "v").distinct(), F.lit(0), [F.col("doc_id"), F.col("v")], "node"))
+    return stage(texts.join(known, ["doc_id", "v"], "left").select("node", "doc_id", "v", "text")), known
 
 
-def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, who: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """(rep, component) of the documents that link with others, from (key, lead, rep); see similar_documents."""
     votes = keyed.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("lead"))).alias("v")).select((-F.col("v")["col2"]).alias("a"), F.col("rep").alias("b"))
     star = best.join(sized.selectExpr("rep a", "n na", "bits ba"), "a").join(sized.selectExpr("rep b", "n nb", "bits bb"), "b")
     star = stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
-    known = stage(connected_components(verified(star, who, texts, percent), stage))
+    known = stage(connected_components(verified(star, texts, percent), stage))
     left = keyed.select("key", "rep")
     for step in range(ROUNDS + 1):
         comp = stage(left.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
@@ -229,11 +231,11 @@ def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, who: DataFr
         dense = stage(asked.where("dense").select("key").distinct())
         last = dense.isEmpty()
         if step < ROUNDS:
-            found = verified(stage(asked.select(*pair).distinct()), who, texts, percent)
+            found = verified(stage(asked.select(*pair).distinct()), texts, percent)
         else:
             many = asked.where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
-            full = many.join(stage(set_table(many.select("rep").distinct().join(who, "rep"), texts)), "rep")
-            found = verified(stage(asked.where("not dense").select(*pair).distinct()), who, texts, percent)
+            full = many.join(stage(set_table(many.select("rep").distinct(), texts)), "rep")
+            found = verified(stage(asked.where("not dense").select(*pair).distinct()), texts, percent)
             found = found.union(stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()))
         known = joined_components(stage, known, found)
         if last:

@@ -71,7 +71,45 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, pack_conversations)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+# Rows that take part in comparisons of vectors.
+_USABLE = """vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 SQL = {
+    "op1_vptree_search": f"""
+with u as (select vec_id, embedding::double[] as v from embeddings where {_USABLE}),
+p as (select q.vec_id as query_id, u.vec_id, list_inner_product(q.v, u.v) as score from u q join u on q.vec_id <> u.vec_id and len(q.v) = len(u.v) where q.vec_id % 20 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 20
+""",
+    "op4_sharding": """
+with recursive crc(i, c, k) as (select i, i::bigint, 0 from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8),
+tab as (select list(c order by i) as t from crc where k = 8),
+d as (select doc_id, coalesce(text, '') as text from documents),
+b as (select doc_id, octet_length(encode(text)) + 1 as size, hex(encode(text)) as h from d),
+y as (select doc_id, size, [('0x' || substr(h, 2 * i - 1, 2))::bigint for i in range(1, size)] as bytes from b),
+z as (select doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295::bigint) as crc from y, tab),
+u as (select *, [-1.0 / ln((('0x' || substr(md5(j || '|' || coalesce('k' || doc_id, 'n')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double) for j in range(0, 9)] as s from z),
+v as (select *, list_max(s[1:8]) as top, list_max(s) as top9 from u),
+o as (select doc_id, size::bigint as size, crc::bigint as text_crc32, len(s[1:8]) - list_position(list_reverse(s[1:8]), top) as shard, len(s) - list_position(list_reverse(s), top9) as grown_shard from v)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id, size, text_crc32) - 1 as slot, grown_shard::int as grown_shard from o
+""",
+    "op6_embedding_dedup": f"""
+with recursive u as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and {_USABLE}),
+n as (select *, sqrt(list_inner_product(v, v)) as size from u),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+r as (select a, a as b from l union select r.a, l.b from r join l on r.b = l.a),
+k as (select a, min(b) as component_id from r group by a), m as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, vec_id)::bigint as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join k on k.a = vec_id left join m on m.a = vec_id
+""",
+    "op7_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+t as (select doc_id, len(s) as n, unnest(s) as t from s),
+p as (select a.doc_id as a, b.doc_id as b from t a join t b on a.t = b.t and a.doc_id <> b.doc_id group by all having 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r as (select a, a as b from p union select r.a, p.b from r join p on r.b = p.a),
+k as (select a, min(b) as component_id from r group by a)
+select doc_id, len(s)::bigint as n_shingles, coalesce(component_id, doc_id)::bigint as component_id from s left join k on k.a = doc_id
+""",
     "op8_mixing": rf"""
 with d as (select doc_id, source, {_WORDS}::bigint as size from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
@@ -86,5 +124,17 @@ r as (select d.doc_id, d.size, d.source, g.source_size, g.target, g.off, case wh
  row_number() over (partition by d.source order by d.size, d.doc_id) - 1 as k from d join g on d.source is not distinct from g.source)
 select doc_id, size, source, source_size, target, copies, copies * size as taken from (
 select *, least(floor((k + 1) * rate + off) - floor(k * rate + off), 3)::bigint as copies from r)
+""",
+    "op10_suffix_dedup": r"""
+with d as (select doc_id, encode(coalesce(text, '')) as raw, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+s as (select doc_id, i, substr(h, 2 * i - 1, 100) as w from (select doc_id, h, unnest(range(1, n - 48)) as i from d where n >= 50)),
+f as (select w, min(doc_id) as first from s group by w having min(doc_id) < max(doc_id)),
+x as (select doc_id, i from s join f using (w) where doc_id > first),
+g as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 when lag(i) over (partition by doc_id order by i) is null then 1 else 0 end as new from x),
+o as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from g),
+e as (select doc_id, run, min(i) as b, max(i) + 49 as e from o group by 1, 2),
+k as (select doc_id, sum(e - b + 1) as n_removed, count(*) as n_spans, list({'b': b, 'e': e} order by b) as l from e group by 1),
+z as (select d.doc_id, n, n_removed, n_spans, case when l is null then h else array_to_string([substr(h, (case when j = 1 then 1 else 2 * l[j - 1].e + 1 end)::bigint, (case when j > len(l) then 2 * n else 2 * l[j].b - 2 end - case when j = 1 then 0 else 2 * l[j - 1].e end)::bigint) for j in range(1, len(l) + 2)], '') end as kept from d left join k on d.doc_id = k.doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from z
 """,
 }
