@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import content_hash, normalize
-from palimpsest.functions.vectors import cosine_distance
+from palimpsest.functions.vectors import cosine_distance, norm
 from palimpsest.operators.entities import unlink
 from palimpsest.operators.tables import live_facts
 from palimpsest.schemas import PAIR
@@ -57,10 +57,13 @@ def exact_matches(drafts: DataFrame, facts: DataFrame, now: Column) -> DataFrame
 
 
 def near_matches(drafts: DataFrame, facts: DataFrame, now: Column, most: float = NEAR_DISTANCE) -> DataFrame:
-    """Stage three for given drafts: draft_id, id, distance of the nearest live fact in scope, if at most `most` (inclusive)."""
-    d = drafts.withColumn("scope_session", scope_session()).where("embedding is not null").select("draft_id", *SCOPE, F.col("embedding").alias("_q"))
-    f = live_facts(facts, now).withColumn("scope_session", scope_session()).where("embedding is not null").select(*SCOPE, "id", "embedding")
-    d = d.join(f, SCOPE).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_q")))
+    """Stage three for given drafts: draft_id, id, distance of the nearest live fact in scope, if at most `most` (inclusive).
+
+    Exact, so a draft meets every vector of its scope; both sides are plain exchanges on the scope, so that a large one
+    can be split, and only minima leave a task."""
+    d = drafts.withColumn("scope_session", scope_session()).where("embedding is not null").select("draft_id", *SCOPE, F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
+    f = live_facts(facts, now).withColumn("scope_session", scope_session()).where("embedding is not null").select(*SCOPE, "id", "embedding", norm(F.col("embedding")).alias("_n"))
+    d = d.join(f, SCOPE).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn")))
     best = d.groupBy("draft_id").agg(F.min(F.struct("distance", "id")).alias("m"))
     return best.select("draft_id", "m.id", "m.distance").where(F.col("distance") <= most)
 
@@ -98,27 +101,58 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
         t = (analyzed or "").split()
         return len(t) + distinct_weight * len(set(t))
 
-    def distance(a, b) -> float:
-        a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
-        n = np.sqrt((a * a).sum() * (b * b).sum())
-        return float(1 - (a * b).sum() / n) if n else 1.0
+    class Scope:
+        """Rows in order of creation, found by hash, by text and by vector."""
+
+        def __init__(self):
+            self.rows, self.by, self.at, self.held, self.norms = [], {"content_hash": {}, "content_norm": {}}, [], None, None
+
+        def add(self, row: dict) -> None:
+            for name, index in self.by.items():
+                index.setdefault(row[name], []).append(len(self.rows))
+            v = row["embedding"]
+            if v is not None and len(v):
+                n = len(self.at)
+                if self.held is None:
+                    self.held, self.norms = np.zeros((64, len(v))), np.zeros(64)
+                elif n == len(self.held):
+                    self.held, self.norms = np.concatenate([self.held, np.zeros_like(self.held)]), np.concatenate([self.norms, np.zeros_like(self.norms)])
+                self.held[n] = v
+                self.norms[n] = np.sqrt((self.held[n] ** 2).sum())
+                self.at.append(len(self.rows))
+            self.rows.append(row)
+
+        def same(self, name: str, value) -> dict | None:
+            return next((self.rows[i] for i in self.by[name].get(value, ()) if self.rows[i]["alive"]), None)
+
+        def nearest(self, v) -> tuple[float, dict] | None:
+            """Distance 1 where a vector is zero; ties to the smaller id."""
+            if not self.at:
+                return None
+            n, q = len(self.at), np.asarray(v, np.float64)
+            size = self.norms[:n] * np.sqrt((q * q).sum())
+            far = 1 - np.divide(self.held[:n] @ q, size, out=np.zeros(n), where=size > 0)
+            far[[not self.rows[i]["alive"] for i in self.at]] = np.inf
+            low = far.min()
+            if low == np.inf:
+                return None
+            ties = np.flatnonzero(far <= low + 1e-12)  # products of a matrix may differ in the last digit from single ones
+            dots = [float((self.held[i] * q).sum()) for i in ties]
+            exact = [(1 - d / size[i] if size[i] else 1.0, self.rows[self.at[i]]["id"], i) for d, i in zip(dots, ties)]
+            d, _, i = min(exact)
+            return d, self.rows[self.at[i]]
 
     def fold(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(r, changed="none", alive=True) for r in old.sort_values(["created_at", "id"], na_position="last").to_dict("records")]
-        out = []
-        for x in rows:
-            x["embedding"] = None if _missing(x["embedding"]) else x["embedding"]
+        held, out = Scope(), []
+        for r in old.sort_values(["created_at", "id"], na_position="last").to_dict("records"):
+            held.add(r | {"changed": "none", "alive": True, "embedding": None if _missing(r["embedding"]) else r["embedding"]})
         for r in new.sort_values(["position", "draft_id"]).to_dict("records"):
-            live = [x for x in rows if x["alive"]]
-            hit, stage, sim = next((x for x in live if x["content_hash"] == r["content_hash"]), None), 1, None
+            hit, stage, sim, replace = held.same("content_hash", r["content_hash"]), 1, None, False
             if hit is None:
-                hit, stage = next((x for x in live if x["content_norm"] == r["content_norm"]), None), 2
-            replace = False
-            if hit is None and not _missing(r["embedding"]):
-                near = min(((distance(x["embedding"], r["embedding"]), x["id"], i) for i, x in enumerate(live) if x["embedding"] is not None), default=None)
-                if near and near[0] <= most:
-                    hit, stage, sim = live[near[2]], 3, max(0.0, min(1.0, 1 - near[0]))
-                    replace = score(r["content_analyzed"]) >= score(hit["content_analyzed"])
+                hit, stage = held.same("content_norm", r["content_norm"]), 2
+            if hit is None and not _missing(r["embedding"]) and (near := held.nearest(r["embedding"])) and near[0] <= most:
+                hit, stage, sim = near[1], 3, max(0.0, min(1.0, 1 - near[0]))
+                replace = score(r["content_analyzed"]) >= score(hit["content_analyzed"])
             if hit is not None and not replace:
                 hit["times_derived"] += 1
                 hit["last_reinforced_at"] = r["now"]
@@ -126,13 +160,15 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
                 out.append((r["draft_id"], "REINFORCED", stage, hit["id"], None, sim))
                 continue
             fresh = {c: r.get(c) for c in cols} | {"id": r["draft_id"], "times_derived": 1, "last_reinforced_at": r["now"], "created_at": r["now"], "changed": "insert", "alive": True}
+            fresh["embedding"] = None if _missing(fresh["embedding"]) else fresh["embedding"]
             if replace:
                 fresh["times_derived"] = hit["times_derived"] + 1
                 hit["alive"], hit["changed"] = False, "delete"
                 out.append((r["draft_id"], "REPLACED", 3, fresh["id"], hit["id"], sim))
             else:
                 out.append((r["draft_id"], "INSERTED", 0, fresh["id"], None, None))
-            rows.append(fresh)
+            held.add(fresh)
+        rows = held.rows
         scope = dict(zip(SCOPE, key))
         made = [scope | {"record": "fact"} | {c: x[c] for c in [*cols, "changed"]} for x in rows]
         made += [scope | {"record": "outcome", "draft_id": a, "kind": b, "stage": c, "id": i, "replaced_id": e, "similarity": s} for a, b, c, i, e, s in out]
@@ -195,8 +231,8 @@ def archive_candidates(facts: DataFrame, now: Column, before: Column) -> DataFra
 
 
 def set_vectors(facts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Fill in (id, embedding) and mark synced."""
-    v = vectors.select("id", F.col("embedding").alias("_v"))
+    """Fill in (id, embedding) and mark synced. Of an id given several times the least vector counts; null ones set nothing."""
+    v = vectors.where("embedding is not null").groupBy("id").agg(F.min("embedding").alias("_v"))
     out = facts.join(v, "id", "left")
     return out.withColumns({"embedding": F.coalesce("_v", "embedding"), "sync_state": F.when(F.col("_v").isNotNull(), F.lit("synced")).otherwise(F.col("sync_state"))}).select(*facts.columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.signals import clamp01, count_weight
 from palimpsest.functions.text import entity_norm, strip
-from palimpsest.functions.vectors import cosine_distance, similarity
+from palimpsest.functions.vectors import cosine_distance, norm, similarity
 from palimpsest.schemas import PAIR
 
 MERGE_AT = 0.95
@@ -21,8 +21,8 @@ def link_counts(links: DataFrame, facts: DataFrame) -> DataFrame:
 
 def match_entities(queries: DataFrame, entities: DataFrame, links: DataFrame, facts: DataFrame, top_k: int = 10) -> DataFrame:
     """For each query (qid, pair, query_vector) the entities of its pair nearest to it: entity_id, name_norm, sim, link_count."""
-    held = link_counts(links, facts).join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), "name_norm", "embedding"), ["workspace_name", "entity_id"])
-    near = queries.select("qid", *PAIR, "query_vector").join(held, list(PAIR)).withColumn("distance", cosine_distance(F.col("embedding"), F.col("query_vector")))
+    held = link_counts(links, facts).join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), "name_norm", "embedding", norm(F.col("embedding")).alias("_n")), ["workspace_name", "entity_id"])
+    near = queries.select("qid", *PAIR, "query_vector", norm(F.col("query_vector")).alias("_qn")).join(held, list(PAIR)).withColumn("distance", cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn")))
     first = Window.partitionBy("qid").orderBy("distance", "entity_id")
     return near.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= top_k).select("qid", *PAIR, "entity_id", "name_norm", similarity(F.col("distance")).alias("sim"), "link_count")
 
@@ -74,7 +74,7 @@ def named(names: DataFrame) -> DataFrame:
     return rows.withColumn("name_display", first).dropDuplicates(["workspace_name", "conclusion_id", "name_norm"]).drop("name")
 
 
-def resolve(names: DataFrame, entities: DataFrame, block: int = 512) -> DataFrame:
+def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Where each distinct (workspace_name, name_norm, embedding) goes: entity_id, how ('exact', 'merged' or 'new').
 
     An equal name wins; else the nearest entity of the workspace with a similarity of 0.95 or more, ties to the smaller
@@ -91,8 +91,8 @@ def resolve(names: DataFrame, entities: DataFrame, block: int = 512) -> DataFram
     exact = first.join(entities.groupBy("workspace_name", "name_norm").agg(F.min("id").alias("entity_id")), ["workspace_name", "name_norm"], "left")
     have = exact.where("entity_id is not null").select("workspace_name", "name_norm", "entity_id", F.lit("exact").alias("how"))
     rest = exact.where("entity_id is null").drop("entity_id")
-    near = rest.where("embedding is not null").join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), F.col("embedding").alias("_e")), "workspace_name")
-    near = near.withColumn("sim", similarity(cosine_distance(F.col("_e"), F.col("embedding")))).where(F.col("sim") >= MERGE_AT)
+    near = rest.where("embedding is not null").withColumn("_qn", norm(F.col("embedding"))).join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), F.col("embedding").alias("_e"), norm(F.col("embedding")).alias("_n")), "workspace_name")
+    near = near.withColumn("sim", similarity(cosine_distance(F.col("_e"), F.col("embedding"), F.col("_n"), F.col("_qn")))).where(F.col("sim") >= MERGE_AT)
     best = near.groupBy("workspace_name", "name_norm").agg(F.min(F.struct((-F.col("sim")).alias("far"), F.col("entity_id").alias("id"))).alias("best"))
     fresh = F.substring(F.sha2(F.concat_ws(":", "workspace_name", "name_norm"), 256), 1, 21)
     rest = rest.join(best, ["workspace_name", "name_norm"], "left")
@@ -140,8 +140,8 @@ def with_vectors(entities: DataFrame, embed, column: str = "name_norm") -> DataF
 
 def nearest_entity(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, entity_id, sim): the nearest entity of the query's workspace."""
-    d = queries.select("qid", "workspace_name", "query_vector").join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), "embedding"), "workspace_name")
-    d = d.withColumn("_d", cosine_distance(F.col("embedding"), F.col("query_vector")))
+    d = queries.select("qid", "workspace_name", "query_vector", norm(F.col("query_vector")).alias("_qn")).join(entities.where("embedding is not null").select("workspace_name", F.col("id").alias("entity_id"), "embedding", norm(F.col("embedding")).alias("_n")), "workspace_name")
+    d = d.withColumn("_d", cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn")))
     return d.groupBy("qid").agg(F.min_by("entity_id", F.struct("_d", "entity_id")).alias("entity_id"), similarity(F.min("_d")).alias("sim"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +58,36 @@ def unknown_judgements(judgements: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def fingerprint(corpus: DataFrame, *columns: str) -> DataFrame:
-    """One row (fingerprint, n): SHA-256 over the rows' own digests in order of id, so row order and partitioning don't matter.
+    """One row (fingerprint, n): SHA-256 over the rows' own digests in their order, so row order and partitioning don't matter.
 
-    Rows are digested where they are; only 32 bytes a row reach the final, ordered digest, in digest ranges first."""
+    Rows are digested where they are (null is a zero character). Their digests are grouped by the first hexadecimal
+    digits, as many as make about as many groups as a group has rows, and the groups' digests are digested in order: of
+    n rows no task holds more than about the square root of n digests, copies aside."""
     row = corpus.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256).alias("d"))
-    part = row.groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
+    digits = max(1, math.ceil(math.log(max(1, corpus.count()), 256)))
+    # equal rows are counted first, so that copies take no more room than one
+    part = row.groupBy("d").agg(F.count("*").alias("n")).groupBy(F.substring("d", 1, digits).alias("p"))
+    part = part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "n"))), lambda x: F.concat(x["d"], F.lit(":"), x["n"].cast("string"))), ","), 256).alias("d"), F.sum("n").alias("n"))
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
+def set_fingerprint(corpus: DataFrame, queries: DataFrame, judgements: DataFrame) -> DataFrame:
+    """One row (fingerprint): SHA-256 of an evaluation set as sources.evalset.read_set gives it, texts and judgements included.
+
+    Documents and queries count in order of `position`, judgements in order of their ids. Fixed format: a unit separator
+    between the values of a record and a record separator after it, lists as [a, b], judgements as id=rel and a comma.
+    A set is judged by people, so it is small, and its text comes together in one task."""
+    unit, record = "\x1f", "\x1e"
+    words = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    document = F.concat_ws(unit, "id", "content", "level", words(F.col("entities")), F.col("times_derived").cast("string"), F.col("days_ago").cast("string"), words(F.col("source_ids")), F.coalesce(F.col("confidence").cast("string"), F.lit("null")))
+    judged = judgements.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "rel"))), lambda x: F.concat(x["id"], F.lit("="), x["rel"].cast("string"), F.lit(","))).alias("j"))
+    asked = queries.join(judged, "qid", "left")
+    question = F.concat_ws(unit, "qid", "query", F.array_join(F.coalesce("j", F.array().cast("array<string>")), ""))
+    rows = corpus.select(F.lit(0).alias("part"), "position", document.alias("text")).union(asked.select(F.lit(1), "position", question))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "position", "text"))), lambda x: F.concat(x["text"], F.lit(record))), "")
+    return rows.agg(F.sha2(joined, 256).alias("fingerprint"))
+
+
 def latency_percentile(samples: DataFrame, q: float, column: str = "ms", accuracy: int = 10_000) -> DataFrame:
     """The sample at index round(q * (n - 1)) of the sorted ones, exactly, as column value.
 

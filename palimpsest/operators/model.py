@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,20 +88,60 @@ def refresh_cards(pairs: DataFrame, facts: DataFrame, propose: Extract, now: Col
     return lines.withColumn("lines", card_lines(F.col("lines")))
 
 
-def answer(question: str, backend, tools: dict[str, Callable[[dict], str]], level: str = "medium", now: dt.datetime | None = None, max_chars: int = 8000) -> dict:
+FOUND, ADVICE = "Results of the searches so far, newest first:", "The searches were cut short. Answer from these results alone, and say so if they do not suffice."
+
+
+class _Meter:
+    """Token counts and cuts by an encoding (encode, decode); without one, four characters count as a token."""
+
+    def __init__(self, encoding=None):
+        self.encoding = encoding
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode(text)) if self.encoding else -(-len(text) // 4)
+
+    def cut(self, text: str, most: int) -> str:
+        if self.count(text) <= most:
+            return text
+        return self.encoding.decode(self.encoding.encode(text)[:most]) if self.encoding else text[: 4 * most]
+
+
+def newest_within(turns: list[dict], most: int, meter: _Meter) -> list[dict]:
+    """The longest run of last turns whose texts have at most `most` tokens together."""
+    left = most
+    for i in reversed(range(len(turns))):
+        left -= meter.count(turns[i].get("text", ""))
+        if left < 0:
+            return turns[i + 1 :]
+    return turns
+
+
+def answer(question: str, backend, tools: dict[str, Callable[[dict], str]], level: str = "medium", now: dt.datetime | None = None, max_chars: int = 8000, history: list[dict] = (), encoding=None) -> dict:
     """Ask a chat back end, running the tools it calls, for as many rounds as the level allows; the last round has no tools.
 
     The back end returns {"text": ...} or {"tool_calls": [{"name", "arguments"}]}. A tool's error becomes its output, and an
-    output is cut to max_chars. Returns text, rounds and the calls made.
+    output is cut to max_chars. history (turns {"role", "text"}, oldest first) loses its oldest turns beyond HISTORY_TOKENS,
+    and the question is cut to QUESTION_TOKENS. If the last round brings no text, the back end is asked once more with what
+    the tools returned, newest first and cut to FINDING_TOKENS together with its frame, which is never cut itself.
+    Returns text, rounds and the calls made.
     """
-    turns: list[dict] = [{"role": "user", "text": question}]
+    meter = _Meter(encoding)
+    start = [*newest_within(list(history), HISTORY_TOKENS, meter), {"role": "user", "text": meter.cut(question, QUESTION_TOKENS)}]
+    turns: list[dict] = list(start)
     calls: list[dict] = []
+    notes: list[str] = []
+    ask = lambda turns, offered: backend.complete({"turns": turns, "tools": offered, "now": now.isoformat() if now else None})
     for i in range(ROUNDS[level] + 1):
         offered = sorted(tools) if i < ROUNDS[level] else []
-        reply = backend.complete({"turns": turns, "tools": offered, "now": now.isoformat() if now else None})
+        reply = ask(turns, offered)
         wanted = reply.get("tool_calls") or []
         if not wanted or not offered:
-            return {"text": reply.get("text", ""), "rounds": i + 1, "calls": calls}
+            text = reply.get("text") or ""
+            if text.strip() or not notes:
+                return {"text": text, "rounds": i + 1, "calls": calls}
+            room = FINDING_TOKENS - meter.count(FOUND) - meter.count(ADVICE)
+            found = "\n\n".join([FOUND, meter.cut("\n\n".join(reversed(notes)), room), ADVICE])
+            return {"text": ask([*start, {"role": "user", "text": found}], []).get("text") or "", "rounds": i + 2, "calls": calls}
         turns.append({"role": "assistant_tool_use", "uses": [{"name": c["name"], "arguments": c.get("arguments", {})} for c in wanted]})
         results = []
         for c in wanted:
@@ -109,6 +150,7 @@ def answer(question: str, backend, tools: dict[str, Callable[[dict], str]], leve
             except Exception as e:  # the model may mend its call
                 text, failed = f"{type(e).__name__}: {e}"[:max_chars], True
             calls.append({"name": c["name"], "failed": failed})
+            notes.append(f"{c['name']} {json.dumps(c.get('arguments', {}), ensure_ascii=False)}: {'error: ' if failed else ''}{text}")
             results.append({"name": c["name"], "content": text, "is_error": failed})
         turns.append({"role": "tool_results", "results": results})
     raise AssertionError("unreachable")

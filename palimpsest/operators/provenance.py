@@ -62,11 +62,15 @@ def dependents(roots: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
 def reasoning_chain(roots: DataFrame, facts: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
     """One row a root: its premises, messages, unresolved ids and dependents, as sorted arrays."""
     ids = roots.select(F.col("id").alias("root")).distinct()
-    p = premises(roots, facts).groupBy("root").agg(F.array_sort(F.collect_set("premise")).alias("premises"))
-    m = evidence(roots, facts, messages).groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("messages"))
+    own = roots.select("workspace_name", F.col("id").alias("root")).distinct().withColumns({"premise": F.lit(None).cast("string"), "id": F.col("root")})
+    # one walk gives the premises and, with the roots themselves, the facts whose messages count
+    walk = premises(roots, facts).select("workspace_name", "root", "premise", F.col("premise").alias("id")).unionByName(own)
+    rows = walk.join(facts.select("workspace_name", "id", F.explode_outer("message_ids").alias("_m")), ["workspace_name", "id"], "left")
+    rows = rows.join(messages.select("workspace_name", F.col("id").alias("_m"), F.col("id").alias("_known")), ["workspace_name", "_m"], "left")
+    chain = rows.groupBy("root").agg(F.array_sort(F.collect_set("premise")).alias("premises"), F.array_sort(F.collect_set("_known")).alias("messages"))
     u = unresolved(roots, facts).groupBy("root").agg(F.array_sort(F.collect_set("missing")).alias("unresolved"))
     d = dependents(roots, facts, now).groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("dependents"))
-    out = ids.join(p, "root", "left").join(m, "root", "left").join(u, "root", "left").join(d, "root", "left")
+    out = ids.join(chain, "root", "left").join(u, "root", "left").join(d, "root", "left")
     return out.select("root", *[F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)).alias(c) for c in ("premises", "messages", "unresolved", "dependents")])
 
 

@@ -7,28 +7,78 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import signals
 from palimpsest.functions.text import analyzed_tokens
-from palimpsest.functions.vectors import cosine_distance, similarity
+from palimpsest.functions.vectors import code_distance, cosine_distance, norm, sign_code, similarity
 from palimpsest.operators import entities as ent
 from palimpsest.operators.tables import live_facts
 from palimpsest.schemas import PAIR
 from palimpsest.settings import RecallSettings
 
 
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; they are counted first. A larger one is joined as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def asked_pairs(queries: DataFrame) -> DataFrame:
+    return queries.select(*PAIR).distinct()
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, pair, term): the distinct terms of each query."""
+    return queries.select("qid", *PAIR, F.explode(F.array_distinct("query_tokens")).alias("term"))
+
+
 def semantic(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Column | None = None) -> DataFrame:
-    """(qid, id, distance, sem): each query's k nearest live facts of its pair, ties to smaller ids."""
+    """(qid, id, distance, sem): each query's k nearest live facts of its pair, ties to smaller ids.
+
+    Exact: a query meets every vector of its pair, and the window keeps k rows a query in every task before any is
+    shuffled. Both sides of the join are plain exchanges on the pair, so that a large one can be split; semantic_by_size
+    answers large pairs approximately.
+    """
+    rows = live_facts(facts, now).where("embedding is not null")
+    rows = (rows if where is None else rows.where(where)).select(*PAIR, "id", "embedding", norm(F.col("embedding")).alias("_n"))
+    d = queries.select("qid", *PAIR, "query_vector", norm(F.col("query_vector")).alias("_qn")).join(rows, list(PAIR))
+    d = d.select("qid", "id", cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn")).alias("distance"))
+    near = d.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("_rn") <= k)
+    return near.select("qid", "id", "distance", similarity(F.col("distance")).alias("sem"))
+
+
+def semantic_by_code(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Column | None = None, oversample: int = 20, bits: int = 256) -> DataFrame:
+    """semantic, approximately: facts are first ranked by codes of a few bytes, and the k * oversample best by their vectors.
+
+    facts may carry `embedding_code` (vectors.sign_code, made when the vector is set), so that a search reads vectors of
+    candidates only; without that column codes are made on the way. The first ranking keeps its best rows in every
+    task, runs on integers in generated code, and its cost a row does not depend on the vectors' length.
+    """
     rows = live_facts(facts, now).where("embedding is not null")
     rows = rows if where is None else rows.where(where)
-    d = queries.select("qid", *PAIR, "query_vector").join(rows.select(*PAIR, "id", "embedding"), list(PAIR))
+    code = F.col("embedding_code") if "embedding_code" in facts.columns else sign_code(F.col("embedding"), bits)
+    coded = rows.select(*PAIR, "id", code.alias("_c"))
+    asked = queries.select("qid", *PAIR, sign_code(F.col("query_vector"), bits).alias("_qc"))
+    first = asked.join(coded, list(PAIR)).select("qid", *PAIR, "id", code_distance(F.col("_c"), F.col("_qc"), bits).alias("_d"))
+    first = first.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("_d", "id"))).where(F.col("_rn") <= k * oversample)
+    d = first.select("qid", *PAIR, "id").join(rows.select(*PAIR, "id", "embedding"), [*PAIR, "id"]).join(queries.select("qid", "query_vector"), "qid")
     d = d.select("qid", "id", cosine_distance(F.col("embedding"), F.col("query_vector")).alias("distance"))
     near = d.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("_rn") <= k)
     return near.select("qid", "id", "distance", similarity(F.col("distance")).alias("sem"))
 
 
+def semantic_by_size(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Column | None = None, exact_below: int = 50_000) -> DataFrame:
+    """semantic for pairs with fewer than exact_below live vectors, semantic_by_code for the larger ones."""
+    sizes = live_facts(facts, now).where("embedding is not null").join(small(asked_pairs(queries)), list(PAIR), "left_semi").groupBy(*PAIR).agg(F.count("*").alias("_n"))
+    large = small(sizes.where(F.col("_n") >= exact_below).select(*PAIR))
+    exact = semantic(queries.join(large, list(PAIR), "left_anti"), facts, now, k, where)
+    return exact.unionByName(semantic_by_code(queries.join(large, list(PAIR), "left_semi"), facts, now, k, where))
+
+
 def semantic_scores(queries: DataFrame, facts: DataFrame, now: Column, ids: DataFrame) -> DataFrame:
     """(qid, id, sem) of given (qid, id), unfiltered."""
-    rows = live_facts(facts, now).where("embedding is not null").select(*PAIR, "id", "embedding")
-    d = ids.join(queries.select("qid", *PAIR, "query_vector"), "qid").join(rows, [*PAIR, "id"])
-    return d.select("qid", "id", similarity(cosine_distance(F.col("embedding"), F.col("query_vector"))).alias("sem"))
+    rows = live_facts(facts, now).where("embedding is not null").select(*PAIR, "id", "embedding", norm(F.col("embedding")).alias("_n"))
+    d = ids.join(queries.select("qid", *PAIR, "query_vector", norm(F.col("query_vector")).alias("_qn")), "qid").join(rows, [*PAIR, "id"])
+    return d.select("qid", "id", similarity(cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn"))).alias("sem"))
 
 
 def corpus_stats(facts: DataFrame, now: Column) -> DataFrame:
@@ -37,25 +87,34 @@ def corpus_stats(facts: DataFrame, now: Column) -> DataFrame:
     return live_facts(facts, now).groupBy(*PAIR).agg(F.count("*").alias("n_docs"), F.avg(F.when(size > 0, size)).alias("mean_length"))
 
 
-def postings(facts: DataFrame, now: Column) -> DataFrame:
-    """(pair, id, term, tf, length) of live facts."""
-    rows = live_facts(facts, now).select(*PAIR, "id", analyzed_tokens(F.col("content_analyzed")).alias("_t"))
-    return rows.select(*PAIR, "id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(*PAIR, "id", "length", "term").agg(F.count("*").alias("tf"))
+def postings(facts: DataFrame, now: Column, queries: DataFrame | None = None) -> DataFrame:
+    """(pair, id, term, tf, length) of live facts; with queries only of their pairs and terms.
+
+    Other pairs' facts are dropped before they are split into tokens, other terms before they are grouped; the tokens of
+    a fact lie in one task, so that what is shuffled is one row a fact and term asked for.
+    """
+    rows = live_facts(facts, now).select(*PAIR, "id", "content_analyzed")
+    if queries is not None:
+        rows = rows.join(small(asked_pairs(queries)), list(PAIR), "left_semi")
+    rows = rows.select(*PAIR, "id", analyzed_tokens(F.col("content_analyzed")).alias("_t")).select(*PAIR, "id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    if queries is not None:
+        rows = rows.join(small(asked_terms(queries).select(*PAIR, "term").distinct()), [*PAIR, "term"], "left_semi")
+    return rows.groupBy(*PAIR, "id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(queries: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     """(qid, term, df): one row for each distinct term of a query, 0 if no fact of the pair has it."""
-    terms = queries.select("qid", *PAIR, F.explode(F.array_distinct("query_tokens")).alias("term"))
-    df = postings(facts, now).groupBy(*PAIR, "term").agg(F.count("*").alias("df"))
-    return terms.join(df, [*PAIR, "term"], "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    df = postings(facts, now, queries).groupBy(*PAIR, "term").agg(F.count("*").alias("df"))
+    return asked_terms(queries).join(df, [*PAIR, "term"], "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def keyword_scores(queries: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     """(qid, id, kw_raw): BM25 of every live fact of the pair that has a term of the query."""
-    terms = queries.select("qid", *PAIR, F.explode(F.array_distinct("query_tokens")).alias("term"))
-    post = postings(facts, now).join(terms.select(*PAIR, "term").distinct(), [*PAIR, "term"], "left_semi")
+    terms = asked_terms(queries)
+    post = postings(facts, now, queries)
     df = post.groupBy(*PAIR, "term").agg(F.count("*").alias("df"))
-    hits = terms.join(post, [*PAIR, "term"]).join(df, [*PAIR, "term"]).join(corpus_stats(facts, now), list(PAIR))
+    stats = corpus_stats(facts.join(small(asked_pairs(queries)), list(PAIR), "left_semi"), now)
+    hits = post.join(terms.join(df, [*PAIR, "term"]).join(stats, list(PAIR)), [*PAIR, "term"])
     part = signals.bm25_term(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.coalesce("mean_length", F.lit(0.0)))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("kw_raw"))
 
@@ -69,17 +128,20 @@ def keyword(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Co
     return scores.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, links: DataFrame, now: Column, settings: RecallSettings = RecallSettings(), limit: int = 10, where: Column | None = None) -> DataFrame:
+def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, links: DataFrame, now: Column, settings: RecallSettings = RecallSettings(), limit: int = 10, where: Column | None = None, vector_search=semantic) -> DataFrame:
     """Ranked facts of every query, with the signals that explain each score.
 
     queries: qid, pair, query_tokens (all tokens, repeats too), query_vector. A fact is a candidate if it is among
     the k nearest by vector or the k best by BM25 (k = min(1000, limit * oversample)); each candidate gets both scores
     whichever path found it. Rows: qid, rank, id, sem, kw, ent, reinf, rec, lvl, score, matched_entities,
     candidates_considered. Missing signals are 0; ties go to smaller ids. The pair is an equality in every join.
+    Facts of other pairs are dropped before anything else is done with facts. vector_search finds the k nearest by vector:
+    semantic (exact), semantic_by_code or semantic_by_size.
     """
     k = settings.candidates(limit)
+    facts = facts.join(small(asked_pairs(queries)), list(PAIR), "left_semi")
     kw_all = keyword_scores(queries, facts, now)
-    near = semantic(queries, facts, now, k, where)
+    near = vector_search(queries, facts, now, k, where)
     allowed = kw_all if where is None else kw_all.join(facts.where(where).select("id"), "id", "left_semi")
     best = allowed.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("kw_raw"), "id"))).where(F.col("_rn") <= k)
     ids = near.select("qid", "id").union(best.select("qid", "id")).distinct()

@@ -80,17 +80,24 @@ def search_messages(messages: DataFrame, where: Column, page: int = 0, size: int
     return page_of(messages.where(where), [F.col("session_name"), F.col("seq_in_session")], page, size)
 
 
-def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
-    """New messages (with `position` in their batch) numbered on from each session's last; ids follow in the same order."""
+def append_messages(messages: DataFrame, new: DataFrame, groups: int = 4096) -> DataFrame:
+    """New messages (with `position` in their batch) numbered on from each session's last.
+
+    Ids follow the largest one without gaps: by group of the sessions (a hash of their keys, `groups` at most), session
+    and position. A group's sessions are numbered in one task, and only the groups' sizes meet in one place.
+    """
     key = ["workspace_name", "session_name"]
+    group = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", *key)), 1, 8), 16, 10).cast("long"), F.lit(groups))
     last = messages.groupBy(*key).agg(F.max("seq_in_session").alias("_last"))
-    numbered = new.join(last, key, "left").withColumn("seq_in_session", F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+    numbered = new.join(last, key, "left").withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("position")))
+    sizes = numbered.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_g", group)
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups_before = sizes.groupBy("_g").agg(F.sum("_n").alias("_n")).select("_g", earlier(Window.orderBy("_g")).alias("_base"))
+    before = sizes.withColumn("_before", earlier(Window.partitionBy("_g").orderBy(*key))).join(groups_before, "_g").drop("_n", "_g")
     top = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    sizes = numbered.groupBy(*key).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
     out = numbered.join(before, key).join(F.broadcast(top))
-    out = out.withColumn("id", F.col("_top") + F.coalesce("_before", F.lit(0)) + F.col("seq_in_session") - F.coalesce("_last", F.lit(0)))
-    return messages.unionByName(out.drop("_top", "_before", "_last", "position"), allowMissingColumns=True)
+    out = out.withColumns({"id": F.col("_top") + F.col("_base") + F.col("_before") + F.col("_at"), "seq_in_session": F.coalesce("_last", F.lit(0)) + F.col("_at")})
+    return messages.unionByName(out.drop("_top", "_base", "_before", "_last", "_at", "position"), allowMissingColumns=True)
 
 
 def next_sequences(messages: DataFrame, wanted: DataFrame) -> DataFrame:

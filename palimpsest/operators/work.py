@@ -59,11 +59,17 @@ def mark_processed(queue: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def record_failure(queue: DataFrame, failed: DataFrame, quarantine_at: int = 5) -> DataFrame:
-    """One more attempt for (id, error); at quarantine_at attempts an item counts as processed and keeps its error."""
-    q = queue.join(failed.select("id", F.col("error").alias("_e")), "id", "left")
-    hit = F.col("_e").isNotNull()
-    attempts = F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts"))
-    return q.withColumns({"last_error": F.when(hit, F.col("_e")).otherwise(F.col("last_error")), "processed": F.col("processed") | (hit & (attempts >= quarantine_at)), "attempts": attempts}).select(*queue.columns)
+    """Failures (id, error) counted as attempts; at quarantine_at attempts an item counts as processed and keeps its error.
+
+    An id given several times failed several times; of its errors the last by `at` stays, or the greatest where failed
+    has no such column. A null error counts and leaves the error as it was.
+    """
+    last = F.max_by("error", "at") if "at" in failed.columns else F.max("error")
+    per = failed.groupBy("id").agg(F.count("*").alias("_n"), last.alias("_e"))
+    n = F.coalesce("_n", F.lit(0))
+    attempts = (F.col("attempts") + n).cast(queue.schema["attempts"].dataType)
+    out = queue.join(per, "id", "left")
+    return out.withColumns({"last_error": F.coalesce("_e", "last_error"), "processed": F.col("processed") | ((n > 0) & (attempts >= quarantine_at)), "attempts": attempts}).select(*queue.columns)
 
 
 def trim_processed(queue: DataFrame, before: Column) -> DataFrame:

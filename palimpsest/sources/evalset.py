@@ -16,15 +16,15 @@ GOLDEN = (
 
 
 def read_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(corpus, queries, judgements), with the defaults of missing fields filled in."""
+    """(corpus, queries, judgements), with the defaults of missing fields filled in, and the places of documents and queries in the file."""
     raw = spark.read.schema(SET).json(path, multiLine=True)
-    c = raw.select(F.explode("corpus").alias("c")).select("c.*")
+    c = raw.select(F.posexplode("corpus").alias("position", "c")).select("position", "c.*")
     corpus = c.select(
-        "id", "content", F.coalesce("level", F.lit("explicit")).alias("level"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("timesDerived", F.lit(1)).alias("times_derived"),
+        "position", "id", "content", F.coalesce("level", F.lit("explicit")).alias("level"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("timesDerived", F.lit(1)).alias("times_derived"),
         F.coalesce("daysAgo", F.lit(0)).alias("days_ago"), F.coalesce("sourceIds", F.array().cast("array<string>")).alias("source_ids"), "confidence",
     )
-    q = raw.select(F.explode("queries").alias("q"))
-    queries = q.select(F.col("q.id").alias("qid"), F.col("q.query").alias("query"))
+    q = raw.select(F.posexplode("queries").alias("position", "q"))
+    queries = q.select("position", F.col("q.id").alias("qid"), F.col("q.query").alias("query"))
     judgements = q.select(F.col("q.id").alias("qid"), F.explode("q.judgements").alias("id", "rel"))
     return corpus, queries, judgements
 
