@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import signals, text, vectors
@@ -119,7 +119,8 @@ def next_sequences(v: Views) -> DataFrame:
     return tables.next_sequences(m, m.select("workspace_name", "session_name").distinct().withColumn("n", F.lit(5))).select("session_name", "first", "last")
 
 
-@query(f"""{with_views('messages')}, n as (select session_name, max(seq_in_session) as top from messages group by 1), s as (select *, sum(2) over (order by session_name) - 2 as b from n)
+@query(f"""{with_views('messages')}, n as (select session_name, max(seq_in_session) as top from messages group by 1), 
+ s as (select *, sum(2) over (order by ('0x' || substr(md5('w:' || session_name), 1, 8))::bigint % 4096, session_name) - 2 as b from n)
  select (select max(id) from messages)::bigint + s.b::bigint + k as id, s.session_name, (s.top + k)::bigint as seq_in_session from s, (values (1), (2)) t(k)""")
 def append_messages(v: Views) -> DataFrame:
     m = v.messages()
@@ -229,7 +230,14 @@ def tokens_bigram(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.analyzed(F.col("html")).alias("tokens"))
 
 
-@query()
+# an apostrophe or point between letters, and a point or comma between digits, are marked on both sides, twice since matches do not overlap
+_JOIN = "chr(57344)"
+_MARKED = "lower(coalesce(content, ''))"
+for _side, _marks in ((r"\p{L}", "''’."), (r"\p{N}", ".,")) * 2:
+    _MARKED = f"regexp_replace({_MARKED}, '({_side})([{_marks}])({_side})', '\\1' || {_JOIN} || '\\2' || {_JOIN} || '\\3', 'g')"
+
+
+@query(f"""{with_views('facts')} select id, replace(array_to_string(regexp_extract_all({_MARKED}, '(?:[\\p{{L}}\\p{{N}}_]|' || {_JOIN} || '[''’.,]' || {_JOIN} || ')+'), ' '), {_JOIN}, '') as tokens from facts""")
 def tokens_english(v: Views) -> DataFrame:
     return v.facts().select("id", text.analyzed(F.col("content"), text.tokens_english).alias("tokens"))
 
@@ -264,14 +272,22 @@ def knn_cosine(v: Views) -> DataFrame:
     return recall.semantic(v.queries(), v.facts(), now(), 10).select("qid", "id", r("sem").alias("sem"))
 
 
-@query(f"{with_views('facts', 'live', 'queries')} select qid, id, round(greatest(0, least(1, {COS})), 6) as sem from queries join live using (observer, observed) where embedding is not null and doc_id % 3 = 0")
-def semantic_scores(v: Views) -> DataFrame:
-    ids = v.facts().where("doc_id % 3 = 0").select("observer", "observed", "id").join(v.queries().select("qid", "observer", "observed"), ["observer", "observed"]).select("qid", "id")
-    return recall.semantic_scores(v.queries(), v.facts(), now(), ids).select("qid", "id", r("sem").alias("sem"))
+@query()
+def knn_by_code(v: Views) -> DataFrame:
+    """Approximate; a test holds it against knn_cosine."""
+    return recall.semantic_by_code(v.queries(), v.facts(), now(), 10).select("qid", "id", r("sem").alias("sem"))
+
+
+@query(f"""{with_views('facts', 'live', 'queries')}, d as (select qid, id, case when doc_id % 5 = 0 then 1.0 else 1 - {COS} end as d from queries join live using (observer, observed) where embedding is not null)
+ select qid, id, round(greatest(0, least(1, 1 - d)), 6) as sem from (select *, row_number() over (partition by qid order by d, id) as rn from d) where rn <= 10""")
+def knn_zero_vectors(v: Views) -> DataFrame:
+    """A zero vector is at distance 1 from all others, and no query fails because of it."""
+    zero = F.when(F.col("doc_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    return recall.semantic(v.queries(), v.facts().withColumn("embedding", zero), now(), 10).select("qid", "id", r("sem").alias("sem"))
 
 
-@query(SQL["semantic_scores"].removesuffix(" and doc_id % 3 = 0"))
-def semantic_scores_all(v: Views) -> DataFrame:
+@query(f"{with_views('facts', 'live', 'queries')} select qid, id, round(greatest(0, least(1, {COS})), 6) as sem from queries join live using (observer, observed) where embedding is not null")
+def semantic_scores(v: Views) -> DataFrame:
     ids = v.facts().select("observer", "observed", "id").join(v.queries().select("qid", "observer", "observed"), ["observer", "observed"]).select("qid", "id")
     return recall.semantic_scores(v.queries(), v.facts(), now(), ids).select("qid", "id", r("sem").alias("sem"))
 
@@ -451,6 +467,14 @@ def archive_candidates(v: Views) -> DataFrame:
     return dedup.archive_candidates(v.facts(), now(), F.expr("timestamp '2025-10-01'")).select("id")
 
 
+@query(f"{with_views('facts')} select id, case when doc_id % 3 = 0 then 'synced' else sync_state end as sync_state, case when doc_id % 3 = 0 then 1.0 else embedding[1]::double end as first from facts")
+def set_vectors_repeated(v: Views) -> DataFrame:
+    """Vectors for a third of the facts, each given twice; the least counts."""
+    ids = v.facts().where("doc_id % 3 = 0").select("id")
+    vectors = ids.select("id", F.array(F.lit(2.0), F.lit(1.0)).cast("array<float>").alias("embedding")).union(ids.select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")))
+    return dedup.set_vectors(v.facts(), vectors).select("id", "sync_state", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
 @query(f"{with_views('facts')} select id as conclusion_id, 'delete' as event from facts where doc_id % 3 = 0 and deleted_at is null")
 def soft_delete_events(v: Views) -> DataFrame:
     return dedup.set_deleted(v.facts(), v.facts().where("doc_id % 3 = 0").select("id"), now(), "api")[1].select("conclusion_id", "event")
@@ -475,44 +499,10 @@ def reinforce(v: Views) -> DataFrame:
 # Provenance
 
 _WALK = f"""{with_views('facts', recursive=True)}, e as (select distinct id, unnest(source_ids) as premise from facts),
- w as (select id as root, premise, 1 as depth from e where id::int % 10 = 9 and premise <> id and premise in (select id from facts where deleted_at is null)
+ w as (select id as root, premise, 1 as depth from e where premise <> id and premise in (select id from facts where deleted_at is null)
   union select root, e.premise, depth + 1 from w join e on e.id = w.premise where depth < 4 and e.premise <> root and e.premise in (select id from facts where deleted_at is null)),
  p as (select root, premise, min(depth)::int as depth from w group by all)"""
-
-
-def _roots(v: Views) -> DataFrame:
-    return v.facts().where("doc_id % 10 = 9").select("workspace_name", "id")
-
-
-@query(f"{_WALK} select root, premise, depth from p")
-def premise_walk(v: Views) -> DataFrame:
-    return provenance.premises(_roots(v), v.facts()).select("root", "premise", "depth")
-
-
-@query(f"{_WALK}, {CTE['messages']}, m as (select root, unnest(message_ids) as id from p join facts on facts.id = premise union select id, unnest(message_ids) from facts where doc_id % 10 = 9) select root, id, session_name from m join messages using (id)")
-def evidence_messages(v: Views) -> DataFrame:
-    return provenance.evidence(_roots(v), v.facts(), v.messages()).select("root", "id", "session_name")
-
-
-@query(f"{_WALK} select id as root, premise as missing from e where id::int % 10 = 9 and premise not in (select id from facts where deleted_at is null)")
-def unresolved_premises(v: Views) -> DataFrame:
-    return provenance.unresolved(_roots(v), v.facts())
-
-
-@query(f"{FL} select distinct p as root, id from (select id, unnest(source_ids) as p from live) where p::int % 10 = 9")
-def dependents(v: Views) -> DataFrame:
-    return provenance.dependents(_roots(v), v.facts(), now())
-
-
-@query(f"{_WALK} select id as root, coalesce(array_to_string((select list_sort(list(premise)) from p where p.root = facts.id), '|'), '') as premises from facts where doc_id % 10 = 9")
-def reasoning_chain(v: Views) -> DataFrame:
-    return provenance.reasoning_chain(_roots(v), v.facts(), v.messages(), now()).select("root", F.array_join("premises", "|").alias("premises"))
-
-
-# The same over every fact as a root; the SQL of the five above takes a tenth of the roots.
-
-_WALK_ALL = _WALK.replace("id::int % 10 = 9 and ", "")
-_CHAIN = f"""{_WALK_ALL}, {CTE['messages']}, {CTE['live']}, m as (select root, unnest(message_ids) as id from p join facts on facts.id = premise union select id, unnest(message_ids) from facts),
+_CHAIN = f"""{_WALK}, {CTE['messages']}, {CTE['live']}, m as (select root, unnest(message_ids) as id from p join facts on facts.id = premise union select id, unnest(message_ids) from facts),
  u as (select id as root, premise as missing from e where premise not in (select id from facts where deleted_at is null)), d as (select distinct p as root, id from (select id, unnest(source_ids) as p from live)),
  pl as (select root, array_to_string(list_sort(list(premise)), '|') as premises from p group by 1), ml as (select root, array_to_string(list_sort(list(distinct id)), '|') as messages from m join messages using (id) group by 1),
  ul as (select root, array_to_string(list_sort(list(missing)), '|') as unresolved from u group by 1), dl as (select root, array_to_string(list_sort(list(id)), '|') as dependents from d group by 1)"""
@@ -522,28 +512,28 @@ def _every(v: Views) -> DataFrame:
     return v.facts().select("workspace_name", "id")
 
 
-@query(f"{_WALK_ALL} select root, premise, depth from p")
-def premise_walk_all(v: Views) -> DataFrame:
+@query(f"{_WALK} select root, premise, depth from p")
+def premise_walk(v: Views) -> DataFrame:
     return provenance.premises(_every(v), v.facts()).select("root", "premise", "depth")
 
 
 @query(f"{_CHAIN} select root, id, session_name from m join messages using (id)")
-def evidence_messages_all(v: Views) -> DataFrame:
+def evidence_messages(v: Views) -> DataFrame:
     return provenance.evidence(_every(v), v.facts(), v.messages()).select("root", "id", "session_name")
 
 
 @query(f"{_CHAIN} select root, missing from u")
-def unresolved_premises_all(v: Views) -> DataFrame:
+def unresolved_premises(v: Views) -> DataFrame:
     return provenance.unresolved(_every(v), v.facts())
 
 
 @query(f"{_CHAIN} select root, id from d where root in (select id from facts)")
-def dependents_all(v: Views) -> DataFrame:
+def dependents(v: Views) -> DataFrame:
     return provenance.dependents(_every(v), v.facts(), now())
 
 
 @query(f"{_CHAIN} select id as root, coalesce(premises, '') as premises, coalesce(messages, '') as messages, coalesce(unresolved, '') as unresolved, coalesce(dependents, '') as dependents from facts left join pl on pl.root = id left join ml on ml.root = id left join ul on ul.root = id left join dl on dl.root = id")
-def reasoning_chain_all(v: Views) -> DataFrame:
+def reasoning_chain(v: Views) -> DataFrame:
     lists = ("premises", "messages", "unresolved", "dependents")
     return provenance.reasoning_chain(_every(v), v.facts(), v.messages(), now()).select("root", *[F.array_join(F.col(c).cast("array<string>"), "|").alias(c) for c in lists])
 
@@ -631,13 +621,8 @@ def workspaces_with_work(v: Views) -> DataFrame:
     return tables.workspaces_with_work(v.queue(), 2)
 
 
-@query(f"{with_views('queue')} select distinct work_unit_key from queue where not processed and work_unit_key like '1%'")
-def undrained_keys(v: Views) -> DataFrame:
-    return work.undrained(v.queue(), v.queue().where("work_unit_key like '1%'").select("work_unit_key"))
-
-
 @query(f"{with_views('queue')} select distinct work_unit_key from queue where not processed")
-def undrained_keys_all(v: Views) -> DataFrame:
+def undrained_keys(v: Views) -> DataFrame:
     return work.undrained(v.queue(), v.queue().select("work_unit_key"))
 
 
@@ -646,6 +631,13 @@ def record_failures(v: Views) -> DataFrame:
     return work.record_failure(v.queue(), v.queue().where("id % 3 = 0").select("id", F.lit("x").alias("error")), 1).select("id", "processed", "attempts")
 
 
+@query(f"{with_views('queue')} select id, processed or id % 15 = 0 as processed, (case when id % 15 = 0 then 2 when id % 3 = 0 then 1 else 0 end)::int as attempts, case when id % 15 = 0 then 'y' when id % 3 = 0 then 'x' end as last_error from queue")
+def record_failures_repeated(v: Views) -> DataFrame:
+    """Ids given twice failed twice."""
+    failed = v.queue().where("id % 3 = 0").select("id", F.lit("x").alias("error")).union(v.queue().where("id % 15 = 0").select("id", F.lit("y")))
+    return work.record_failure(v.queue(), failed, 2).select("id", "processed", "attempts", "last_error")
+
+
 @query(f"{with_views('queue', 'claims')} select work_unit_key, expires_at > {QUEUE_NOW} as held from claims where expires_at > {QUEUE_NOW} union select distinct work_unit_key, true from queue where work_unit_key not in (select work_unit_key from claims where expires_at > {QUEUE_NOW})")
 def claim_units(v: Views) -> DataFrame:
     swept = work.sweep_claims(v.claims(), _qnow())
@@ -661,19 +653,19 @@ def dreams_due(v: Views) -> DataFrame:
 
 # Evaluation: benchmark items as queries, ranked by vector; grades from labels
 
-_EVAL = f"""{with_views('queries')}, rk as (select qid, vec_id as id, row_number() over (partition by qid order by 1 - {COS}, vec_id) as rank from queries, embeddings where vec_id % 5 = qid % 5),
- jd as (select qid, doc_id as id, quality * (3 - toxic) as rel from queries join labels on doc_id % 5 = qid % 5), g as (select jd.qid, jd.id, rel, rank from jd left join rk using (qid, id)),
+_EVAL = f"""{with_views('queries')}, rk as (select qid, vec_id as id, row_number() over (partition by qid order by 1 - {COS}, vec_id) as rank from queries, embeddings),
+ jd as (select qid, doc_id as id, quality * (3 - toxic) as rel from queries, labels), g as (select jd.qid, jd.id, rel, rank from jd left join rk using (qid, id)),
  ideal as (select qid, rel, row_number() over (partition by qid order by rel desc, id) as rank from jd)"""
 
 
 def _eval(v: Views) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    q = v.queries().withColumn("k", F.col("qid") % 5)
-    e = v.table("embeddings").withColumn("k", F.col("vec_id") % 5)
-    d = q.join(e, "k").withColumn("d", vectors.cosine_distance(F.col("embedding"), F.col("query_vector")))
-    ranking = d.select("qid", F.col("vec_id").alias("id"), F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id")).alias("rank"))
-    judged = q.select("qid", "k").join(v.table("labels").withColumn("k", F.col("doc_id") % 5), "k").select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
+    """Every question asked of one pair that holds all embeddings, and judged by all labels."""
+    one = lambda d: d.withColumns(dict(zip(("workspace_name", "observer", "observed"), map(F.lit, "wab"))))
+    q = one(v.queries())
+    held = one(v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")).withColumns({"deleted_at": F.lit(None).cast("timestamp"), "expires_at": F.lit(None).cast("timestamp")})
+    near = recall.semantic(q, held, now(), 2**31 - 1)
+    ranking = near.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).alias("rank"))
+    judged = q.select("qid", "observer").join(one(v.table("labels")), "observer").select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
     return ranking, judged
 
 
@@ -704,41 +696,10 @@ def eval_unknown_judgements(v: Views) -> DataFrame:
     return evaluate.unknown_judgements(_eval(v)[1], corpus).select("qid", "id", F.col("rel").cast("int").alias("rel"))
 
 
-# The same over all embeddings and labels for each question; the SQL of those above takes a fifth.
-
-_EVAL_ALL = _EVAL.replace(" where vec_id % 5 = qid % 5", "").replace("queries join labels on doc_id % 5 = qid % 5", "queries, labels")
-
-
-def _eval_all(v: Views) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    d = v.queries().crossJoin(v.table("embeddings")).withColumn("d", vectors.cosine_distance(F.col("embedding"), F.col("query_vector")))
-    ranking = d.select("qid", F.col("vec_id").alias("id"), F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id")).alias("rank"))
-    judged = v.queries().select("qid").crossJoin(v.table("labels")).select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
-    return ranking, judged
-
-
-@query(SQL["eval_ndcg"].replace(_EVAL, _EVAL_ALL))
-def eval_ndcg_all(v: Views) -> DataFrame:
-    return evaluate.ndcg(*_eval_all(v), 10).select("qid", r("ndcg").alias("ndcg"))
-
-
-@query(SQL["eval_mrr"].replace(_EVAL, _EVAL_ALL))
-def eval_mrr_all(v: Views) -> DataFrame:
-    return evaluate.reciprocal_rank(*_eval_all(v)).select("qid", r("rr").alias("rr"))
-
-
-@query(SQL["eval_recall_k"].replace(_EVAL, _EVAL_ALL))
-def eval_recall_k_all(v: Views) -> DataFrame:
-    return evaluate.recall_at(*_eval_all(v), 10).select("qid", r("recall").alias("recall"))
-
-
-@query(SQL["eval_precision_k"].replace(_EVAL, _EVAL_ALL))
-def eval_precision_k_all(v: Views) -> DataFrame:
-    return evaluate.precision_at(*_eval_all(v), 10).select("qid", r("precision").alias("precision"))
-
-
-@query()
+@query(f"""{with_views('facts')}, h as (select sha256(concat_ws(chr(31), id, coalesce(content, chr(0)), level)) as d from facts),
+ k as (select greatest(1, ceil(ln(greatest(1, count(*))) / ln(256)))::int as digits, count(*) as n from h), c as (select d, count(*) as n from h group by d),
+ g as (select substr(d, 1, digits) as p, sha256(string_agg(d || ':' || c.n, ',' order by d)) as d from c, k group by 1)
+ select sha256(string_agg(d, '' order by p)) as fingerprint, any_value(k.n)::bigint as n from g, k""")
 def corpus_fingerprint(v: Views) -> DataFrame:
     return evaluate.fingerprint(v.facts(), "id", "content", "level")
 

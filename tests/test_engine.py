@@ -1,7 +1,9 @@
 """Formulas, null rules and branches that the query comparison does not reach."""
 
 import datetime as dt
+import hashlib
 import math
+import random
 import time
 
 import pandas as pd
@@ -100,15 +102,29 @@ def test_filter_errors(spark, raw):
         filters.fact_filter(raw)
 
 
-def test_filter_limits():
-    deep = {"id": "x"}
-    for _ in range(17):
-        deep = {"not": deep}
-    with pytest.raises(filters.FilterError):
-        filters.parse(deep)
-    with pytest.raises(filters.FilterError):
-        filters.parse({"OR": [{"id": str(i)} for i in range(257)]})
-    assert filters.conjunction(None, filters.ALL, filters.parse({"id": "x"})) == filters.Test("id", "eq", "x")
+def test_filter_limits(spark):
+    def nested(n):
+        f = {"id": "x"}
+        for _ in range(n):
+            f = {"not": f}
+        return f
+
+    filters.fact_filter(nested(16))
+    filters.fact_filter({"OR": [{"id": str(i)} for i in range(256)]})
+    with pytest.raises(filters.FilterError, match="nested"):
+        filters.fact_filter(nested(17))
+    with pytest.raises(filters.FilterError, match="predicates"):
+        filters.fact_filter({"OR": [{"id": str(i)} for i in range(257)]})
+    assert filters.all_of(None, {}, {"id": "x"}) == {"id": "x"} and filters.all_of(None, {}) == {}
+    assert filters.all_of({"id": "x"}, None, {"level": "y"}) == {"AND": [{"id": "x"}, {"level": "y"}]}
+
+
+def test_filter_values(spark):
+    df = spark.sql("select '7' id, 'true' session_name, timestamp'2026-01-01 00:00:00' created_at, 2 times_derived, 0.5D confidence")
+    holds = lambda raw: df.where(filters.fact_filter(raw)).count() == 1
+    assert holds({"id": 7, "session_name": True, "created_at": 1767225600, "times_derived": [1, 2], "confidence": {"LT": " 0.75"}})
+    assert holds({"created_at": {"gte": "2026-01-01T01:00:00+01:00", "exists": True}, "Or": [{"id": "x"}, {"id": {"starts_with": "7"}}]})
+    assert holds({"session_name": {"icontains": "TRU"}, "and": [{"AND": [{}]}]}) and not holds({"not": {}})
 
 
 def test_text(spark):
@@ -154,6 +170,93 @@ def test_dedup_in_order(spark):
     assert [(r.draft_id, r.id, r.stage) for r in hit] == [("n1", "o", 2)]
 
 
+def plain_fold(old, new, most, weight=1):
+    """The ordered write as one loop over everything, for one scope."""
+    score = lambda r: len(r["content_analyzed"].split()) + weight * len(set(r["content_analyzed"].split()))
+
+    def far(a, b):
+        dot, size = sum(x * y for x, y in zip(a, b)), math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))
+        return 1 - dot / size if size else 1.0
+
+    live, out = sorted((r.asDict() for r in old), key=lambda r: (r["created_at"], r["id"])), []
+    for r in sorted(new, key=lambda r: r["position"]):
+        hit = next(((x, 1) for x in live if x["content_hash"] == r["content_hash"]), None) or next(((x, 2) for x in live if x["content_norm"] == r["content_norm"]), None)
+        if hit is None and r["embedding"] is not None:
+            near = min(((far(x["embedding"], r["embedding"]), x["id"]) for x in live if x["embedding"] is not None), default=(9, ""))
+            hit = (next(x for x in live if x["id"] == near[1]), 3) if near[0] <= most else None
+        if hit and not (hit[1] == 3 and score(r) >= score(hit[0])):
+            out.append((r["draft_id"], "REINFORCED", hit[1], hit[0]["id"], None))
+            continue
+        out.append((r["draft_id"], "REPLACED", 3, r["draft_id"], hit[0]["id"]) if hit else (r["draft_id"], "INSERTED", 0, r["draft_id"], None))
+        live = [x for x in live if not hit or x is not hit[0]] + [dict(r, id=r["draft_id"])]
+    return out
+
+
+def test_dedup_against_a_loop(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    made = []
+    for i in range(140):
+        content = " ".join(rng.choices(words, k=rng.randrange(3, 7)))
+        vector = None if i % 17 == 0 else [0.0] * 4 if i % 19 == 0 else [rng.choice([0.0, 1.0, 1.1]) for _ in range(4)]
+        made.append((f"f{i:03}", rng.choice([content, content.upper()]), vector))
+
+    def table(rows):
+        base = facts(spark, [(i, c, "deductive", None, 1, 1) for i, c, _ in rows]).drop("embedding")
+        return base.join(spark.createDataFrame([(i, v) for i, _, v in rows], "id string, embedding array<float>"), "id")
+
+    old, new = table(made[:60]), table(made[60:]).withColumns({"draft_id": F.col("id"), "position": F.substring("id", 2, 3).cast("int")})
+    for most in (0.05, 0.3):
+        got, changed = dedup.upsert_in_order(new, old, F.expr(NOW), most)
+        columns = ["content_hash", "content_norm", "content_analyzed", "embedding"]
+        want = plain_fold(old.select("id", "created_at", *columns).collect(), [r.asDict() for r in new.select("draft_id", "position", F.expr(NOW).alias("created_at"), *columns).collect()], most)
+        assert sorted((r.draft_id, r.kind, r.stage, r.id, r.replaced_id) for r in got.collect()) == sorted(want)
+        assert {k for _, k, *_ in want} == {"INSERTED", "REINFORCED", "REPLACED"} and changed.where("changed = 'delete'").count() == sum(k == "REPLACED" for _, k, *_ in want)
+
+
+def test_repeated_ids_and_zero_vectors(spark):
+    q = spark.createDataFrame([(1, False, 0, None), (2, False, 3, "old"), (3, False, 0, None)], "id int, processed boolean, attempts int, last_error string")
+    failed = spark.createDataFrame([(1, "a", 1), (1, "b", 0), (2, None, 5), (2, "c", 4)], "id int, error string, at int")
+    assert sorted(map(tuple, work.record_failure(q, failed).collect())) == [(1, False, 2, "a"), (2, True, 5, "old"), (3, False, 0, None)]
+    f = facts(spark, [("a", "x", "explicit", "s", 1, 1), ("b", "y", "explicit", "s", 1, 1)])
+    v = spark.createDataFrame([("a", [2.0, 0.0]), ("a", [1.0, 5.0]), ("b", None)], "id string, embedding array<float>")
+    got = {r.id: r for r in dedup.set_vectors(f, v).collect()}
+    assert len(got) == 2 == dedup.set_vectors(f, v).count() and got["a"].embedding == [1.0, 5.0] and got["a"].sync_state == "synced"
+    d = lambda a, b: one(spark, vectors.cosine_distance(F.lit(a).cast("array<double>"), F.lit(b).cast("array<double>")).alias("d")).d
+    assert d([0.0, 0.0], [1.0, 0.0]) == 1.0 == d([0.0, 0.0], [0.0, 0.0]) and d(None, [1.0]) is None and d([2.0, 0.0], [3.0, 0.0]) == 0.0 and d([1.0], [1.0, 1.0]) == 1.0
+
+
+def test_answer_bounds():
+    words = type("Words", (), {"encode": staticmethod(str.split), "decode": staticmethod(" ".join)})()
+    silent = providers.Scripted(lambda r: {"tool_calls": [{"name": "t", "arguments": {"n": 1}}]} if r["tools"] else {"text": "" if len(r["turns"]) > 4 else "from findings"})
+    history = [{"role": "user", "text": "old " * 3000}, {"role": "assistant", "text": "mid " * 5000}, {"role": "user", "text": "new " * 2999}]
+    got = model.answer("ask " * 5000, silent, {"t": lambda a: "found " * 7000}, "minimal", max_chars=10**6, history=history, encoding=words)
+    first, last = silent.requests[0]["turns"][:3], silent.requests[-1]["turns"]
+    assert [t["text"][:3] for t in first] == ["mid", "new", "ask"] and len(first[2]["text"].split()) == 4000
+    found = last[-1]["text"]
+    assert got["text"] == "from findings" and len(found.split()) == 6000 and found.startswith(model.FOUND) and found.endswith(model.ADVICE)
+
+
+def test_append_messages(spark):
+    cols = "id bigint, workspace_name string, session_name string, seq_in_session bigint, content string"
+    old = spark.createDataFrame([(7, "w", "a", 1, "x"), (9, "w", "a", 2, "x")], cols)
+    new = spark.createDataFrame([("w", s, p, "n") for s in "abcdefgh" for p in range(3)] + [("v", "a", 0, "n")], "workspace_name string, session_name string, position int, content string")
+    got = [r for r in tables.append_messages(old, new, groups=3).collect() if r.content == "n"]
+    assert sorted(r.id for r in got) == list(range(10, 35))
+    per = {}
+    for r in sorted(got, key=lambda r: r.id):
+        per.setdefault((r.workspace_name, r.session_name), []).append((r.id, r.seq_in_session))
+    assert all([i for i, _ in x] == list(range(x[0][0], x[0][0] + len(x))) for x in per.values())
+    assert [s for _, s in per["w", "a"]] == [3, 4, 5] and [s for _, s in per["v", "a"]] == [1]
+
+
+def test_set_fingerprint(spark, tmp_path):
+    path = tmp_path / "set.json"
+    path.write_text('{"name": "n", "corpus": [{"id": "b", "content": "x", "entities": ["e", "f"], "confidence": 0.5}, {"id": "a", "content": "y", "daysAgo": 3}], "queries": [{"id": "q", "query": "z", "judgements": {"b": 1, "a": 3}}]}')
+    text = "b\x1fx\x1fexplicit\x1f[e, f]\x1f1\x1f0\x1f[]\x1f0.5\x1ea\x1fy\x1fexplicit\x1f[]\x1f1\x1f3\x1f[]\x1fnull\x1eq\x1fz\x1fa=3,b=1,\x1e"
+    assert evaluate.set_fingerprint(*evalset.read_set(spark, str(path))).first().fingerprint == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_provenance(spark):
     f = facts(spark, [(x, x, "deductive", None, 1, 1) for x in "abcdefg"])
     src = {"a": ["b", "x"], "b": ["c"], "c": ["d", "a"], "d": ["e"], "e": ["f"], "f": ["g"], "g": []}
@@ -248,6 +351,11 @@ def test_guard():
     deep = {"type": "object"}
     for _ in range(6):
         deep = {"type": "object", "properties": {"x": deep}}
+    some = {str(i): {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": "number", "enum": [1]}}} for i in range(40)}
+    assert guards.check_schema({"type": "object", "properties": some, "required": ["0"], "additionalProperties": {"anything": 1}})
+    for bad in ({"properties": {}}, {"type": ["string", "object"]}, {"type": "array", "items": [{"type": "string"}]}, {"type": "object", "properties": []}, {"type": "array", "items": {}}, "not json", "[]"):
+        with pytest.raises(ValueError):
+            guards.check_schema(bad)
     for bad in ({"$ref": "x"}, {"type": "null"}, deep, {"type": "object", "properties": {str(i): {"type": "string"} for i in range(41)}}, '{"description": "' + "가" * 6000 + '"}', ""):
         with pytest.raises(ValueError):
             guards.check_schema(bad)

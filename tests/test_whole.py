@@ -1,4 +1,4 @@
-"""Queries that do the whole job, beside those whose SQL takes a part."""
+"""Queries do the whole job, with no filter to keep the comparison cheap."""
 
 import numpy as np
 
@@ -11,11 +11,30 @@ def run(spark, name):
     return registry.QUERIES[name](spark, SMALL).toPandas()
 
 
+def test_search_by_code(spark):
+    """At least nine of ten neighbours of the exact search, with the same similarities; and a pair's size decides the way."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import recall
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 48))
+    pair = {"workspace_name": F.lit("w"), "observer": F.when(F.col("n") < 200, "few").otherwise("many"), "observed": F.lit("b"), "deleted_at": F.lit(None).cast("timestamp"), "expires_at": F.lit(None).cast("timestamp")}
+    facts = spark.createDataFrame([(f"{i}", i, [float(y) for y in v]) for i, v in enumerate(x)], "id string, n int, embedding array<float>").withColumns(pair)
+    asked = facts.where("n % 75 in (0, 1)").withColumns({"qid": F.col("n"), "query_vector": F.col("embedding")}).select("qid", "workspace_name", "observer", "observed", "query_vector")
+    now = F.expr("timestamp '2026-01-01'")
+    got = lambda f, **kw: {(r.qid, r.id): round(r.distance, 9) for r in f(asked, facts, now, 10, **kw).collect()}
+    exact, code, mixed = got(recall.semantic), got(recall.semantic_by_code), got(recall.semantic_by_size, exact_below=1000)
+    assert len(exact) == len(code) == len(mixed) == 800 and all(exact.get(k, d) == d for k, d in code.items())
+    few = {k for k in exact if k[0] < 200}
+    assert few <= set(mixed) and set(mixed) - few <= set(code) and len(set(exact) & set(code)) >= 0.9 * len(exact)
+
+
 def test_every_fact_is_a_root(spark):
     docs = set(spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("string(doc_id) as id").toPandas().id)
-    chain = run(spark, "reasoning_chain_all")
+    chain = run(spark, "reasoning_chain")
     assert set(chain.root) == docs and len(chain) == len(docs) and all((chain[c] != "").any() for c in ("premises", "messages", "unresolved", "dependents"))
-    for name in ("premise_walk_all", "evidence_messages_all", "unresolved_premises_all", "dependents_all"):
+    for name in ("premise_walk", "evidence_messages", "unresolved_premises", "dependents"):
         assert len({int(x) % 10 for x in run(spark, name).root}) > 1, name
 
 
@@ -53,8 +72,8 @@ def test_entity_vectors_are_used(spark):
 
 def test_every_label_and_key(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality > 0").count()
-    p = run(spark, "eval_recall_k_all")
-    ranking, judged = registry._eval_all(registry.Views(spark, SMALL))
+    p = run(spark, "eval_recall_k")
+    ranking, judged = registry._eval(registry.Views(spark, SMALL))
     assert judged.where("rel > 0").groupBy("qid").count().where(f"count <> {labels}").count() == 0 and len(p) > 0
-    assert {x[0] for x in run(spark, "undrained_keys_all").work_unit_key} > {"1"}
-    assert {int(x) % 3 for x in run(spark, "semantic_scores_all").id} == {0, 1, 2}
+    assert {x[0] for x in run(spark, "undrained_keys").work_unit_key} > {"1"}
+    assert {int(x) % 3 for x in run(spark, "semantic_scores").id} == {0, 1, 2}
