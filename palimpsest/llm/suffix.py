@@ -336,7 +336,8 @@ def _columns(r: int, data: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def _rows(doc, v, st, size, gram, h, open_=None) -> list[pa.RecordBatch]:
-    t = pa.table([pa.array(doc), pa.array(v), pa.array(st), pa.array(size), pa.array(gram, mask=None if open_ is None else ~open_), pa.array(h)], names=["doc", "v", "st", "size", "gram", "h"])
+    settled = None if open_ is None else ~open_
+    t = pa.table([pa.array(doc), pa.array(v), pa.array(st), pa.array(size), pa.array(gram, mask=settled), pa.array(h, mask=settled)], names=["doc", "v", "st", "size", "gram", "h"])
     return t.to_batches(20_000)
 
 
@@ -395,13 +396,14 @@ def settled(stage: Staging, mapped: DataFrame, width: int, n: int, most: int) ->
     out = stage(packed.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_settle(width), ASKED), SMALL)
     if not hot:
         return out
-    rows = stage(packed.where(F.col("range").isin(hot)).mapInArrow(_settle_rows(width), ASKED))
-    same = stage(rows.groupBy("gram", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
-    several = stage(same.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo < hi").select("gram"))
-    judged = stage(rows.join(same.select("gram", "h", "lo"), ["gram", "h"]))
-    done = judged.where("doc > lo").select("doc", "v", "st", "size", F.lit(None).cast("long").alias("gram"), "h")
-    asked = judged.where("doc = lo").join(several, "gram", "left_semi").select("doc", "v", "st", "size", "gram", "h")
-    return out.union(stage(done.union(asked)))
+    with Staging() as inner:
+        rows = inner(packed.where(F.col("range").isin(hot)).mapInArrow(_settle_rows(width), ASKED))
+        same = inner(rows.groupBy("gram", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+        several = inner(same.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo < hi").select("gram", F.lit(True).alias("several")))
+        judged = rows.join(same.select("gram", "h", "lo"), ["gram", "h"]).join(several, "gram", "left").where("doc > lo or several")
+        open_ = F.col("doc") == F.col("lo")
+        more = stage(judged.select("doc", "v", "st", "size", *[F.when(open_, F.col(c)).alias(c) for c in ("gram", "h")]))
+    return out.union(more)
 
 
 def _with_text(texts: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
@@ -530,16 +532,18 @@ def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, b
     texts = versions(docs, id_col, text_col)
     with Staging() as stage:
         long_enough = texts.where(F.octet_length("text") >= width)
-        mapped = long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long")
-        mapped = stage(mapped, {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
-        judged = settled(stage, mapped, width, n, range_most)
+        with Staging() as packed:  # the largest table, which goes as soon as it has been judged
+            mapped = long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long")
+            mapped = packed(mapped, {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
+            early = stage(mapped.where("data is null").select("doc", "v", "st", "size"))
+            judged = settled(stage, mapped, width, n, range_most)
         asked = judged.where("gram is not null")
         large = large_keys(asked, "gram", block)
         cut = _with_text(long_enough, asked, True).select("doc", "v", "text", "st", "size", "gram", "h").mapInArrow(_cut_contexts, "doc long, v long, st long, gram long, h long, ctx binary")
         keys = ["gram", "_i", "_j"]
         dealt = in_blocks(cut, "gram", large, block).drop("_side").repartition(n, *keys).sortWithinPartitions(*keys)
         ordered = stage(dealt.mapInArrow(_order(width, collection), "doc long, v long, st long, size long"))
-        spans = [mapped.where("data is null"), judged.where("gram is null"), ordered]
+        spans = [early, judged.where("gram is null"), ordered]
         spans = reduce(DataFrame.union, [d.select("doc", "v", "st", "size") for d in spans])
         done = _with_text(texts, spans, False).select("doc", "v", "text", "st", "size").mapInArrow(_finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
         out = Stage(done).df().withColumnRenamed("doc", "doc_id")
