@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import signals, text, vectors
 from palimpsest.operators import dedup, entities, evaluate, filters, provenance, recall, search, sessions, tables, work
 from palimpsest.plans.views import CTE, NOW, QUEUE_NOW, Views, now, with_views
+from palimpsest.settings import workspace_settings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -586,6 +587,23 @@ def context_budget(v: Views) -> DataFrame:
     return sessions.contexts(s, m, 400).select("session_name", "start_seq", F.size("messages").alias("n"), "message_tokens")
 
 
+@query(f"""{_BUDGET} select session_name, 'Recent:' || chr(10) || string_agg(strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' ' || peer_name || ': ' || content, chr(10) order by seq_in_session) as text
+ from x where rn <= 200 and (rn = 1 or s <= 400) group by 1""")
+def context_text(v: Views) -> DataFrame:
+    m = v.messages()
+    s = m.select("workspace_name", F.col("session_name").alias("name")).distinct().withColumn("summaries", F.lit(None).cast("map<string, struct<text: string, token_count: int, covers_through_seq: bigint>>"))
+    return sessions.render(sessions.contexts(s, m, 400)).select("session_name", "text")
+
+
+@query(f"""{with_views('windows')} select session_name, peer_name, {sql_stamp('joined_at')},
+ strftime(case when left_at is null and peer_name <> 'p0' and session_name in (select session_name from windows where peer_name = 'p0') then timestamp '2024-02-01' else left_at end, '%Y-%m-%d %H:%M:%S') as left_at from windows""")
+def roster_replaced(v: Views) -> DataFrame:
+    """The sessions of p0, of which p0 alone stays."""
+    w = sessions.membership_windows(v.membership_events())
+    out = sessions.replace_roster(w, w.where("peer_name = 'p0'"), F.expr("timestamp '2024-02-01 00:00:00'"))
+    return out.select("session_name", "peer_name", stamp("joined_at"), stamp("left_at"))
+
+
 @query(f"{_BUDGET} select id, s::bigint as running_tokens from x where s <= 300")
 def history_within(v: Views) -> DataFrame:
     return sessions.history_within(v.messages(), 300).select("id", "running_tokens")
@@ -651,6 +669,103 @@ def dreams_due(v: Views) -> DataFrame:
     return work.due_dreams(v.facts(), none, dreams, now(), 10).select("observer", "observed", "explicit_count")
 
 
+_DREAMS = f"""{with_views('facts')}, pr as (select distinct observer, observed, 'd' || observer || observed as id from facts where observer is not null and observed is not null),
+ dr as (select *, ('0x' || substr(md5(id), 1, 6))::int % 4 as k, ('0x' || substr(md5(id), 7, 6))::int % 5 as requeues from pr)"""
+
+
+def _dreams(v: Views) -> tuple[DataFrame, DataFrame]:
+    """A dream for each pair, in one of four states by a hash of its id, and its pair."""
+    pairs = v.facts().where("observer is not null and observed is not null").select("workspace_name", "observer", "observed").distinct()
+    digits = lambda at: F.conv(F.substring(F.md5("id"), at, 6), 16, 10).cast("int")
+    d = pairs.withColumn("id", F.concat(F.lit("d"), "observer", "observed"))
+    status = F.element_at(F.array(*map(F.lit, ("pending", "running", "done", "failed"))), digits(1) % 4 + 1)
+    d = d.withColumns({"status": status, "requeues": digits(7) % 5, "created_at": now(), "updated_at": now()})
+    return pairs, d
+
+
+@query(f"{_DREAMS} select observer, observed from dr where k >= 2")
+def dreams_started(v: Views) -> DataFrame:
+    pairs, d = _dreams(v)
+    flying = d.where("status in ('pending', 'running')")
+    return work.start_dreams(flying, pairs, now()).join(flying.select("id"), "id", "left_anti").select("observer", "observed")
+
+
+@query(f"{_DREAMS} select id, case when k >= 2 then ['done', 'failed'][k - 1] when requeues < 3 then 'pending' else 'failed' end as status, (requeues + case when k < 2 and requeues < 3 then 1 else 0 end)::int as requeues from dr")
+def dreams_swept(v: Views) -> DataFrame:
+    """All in-flight ones have lost their queue item."""
+    nothing = v.queue().where("false")
+    return work.sweep_dreams(_dreams(v)[1], nothing, F.expr(f"{NOW} + interval 1 hour")).select("id", "status", "requeues")
+
+
+@query(f"""{with_views('queue', 'claims')}, held as (select work_unit_key from claims where expires_at > {QUEUE_NOW}), u as (select workspace_name, work_unit_key, min(created_at) as oldest from queue where not processed and work_unit_key not in (select work_unit_key from held)
+ group by all having sum(token_count) >= 512 or min(created_at) <= {QUEUE_NOW} - interval 30 minute or max(created_at) <= {QUEUE_NOW} - interval 3 second)
+ select work_unit_key, row_number() over (partition by workspace_name order by oldest, work_unit_key)::int as turn from u""")
+def fair_turns(v: Views) -> DataFrame:
+    units = work.ready_units(v.queue(), v.claims(), _qnow()).join(v.queue().select("workspace_name", "work_unit_key").distinct(), "work_unit_key")
+    return work.fair_order(units).select("work_unit_key", "turn")
+
+
+@query(f"""{with_views('facts', 'links')}, gone as (select id from facts where session_name = 's3'), kept as (select * from links where conclusion_id not in (select id from gone))
+ select 'event' as part, id, 0::bigint as n from gone join facts using (id) where deleted_at is null union all select 'link', entity_id, count(*) from kept group by 2
+ union all select 'entity', p_partkey::varchar, 0 from part where p_partkey::varchar in (select entity_id from kept)""")
+def session_deleted(v: Views) -> DataFrame:
+    """The cascade of one session: events, links left by entity, and entities left."""
+    _, events, links, left = work.delete_session(("w", "s3"), v.facts(), v.links(), v.entities(), now())
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "id", F.col("n").cast("bigint").alias("n"))
+    out = part("event", events.select(F.col("conclusion_id").alias("id"), F.lit(0).alias("n")))
+    out = out.unionByName(part("link", links.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"))))
+    return out.unionByName(part("entity", left.select("id", F.lit(0).alias("n"))))
+
+
+@query(f"{with_views('entities')} select id from entities where embedding is null or id::int % 4 = 0 order by id limit 25")
+def entities_without_vectors(v: Views) -> DataFrame:
+    """The next 25 of them; every fourth has lost its vector."""
+    e = v.entities().withColumn("embedding", F.when(F.col("id").cast("int") % 4 != 0, F.col("embedding")))
+    return entities.missing_vectors(e, 25).select("id")
+
+
+@query(f"{with_views('facts')} select id from facts where level = 'explicit' and times_derived >= 4 and (content ilike '%the%' or session_name is null)")
+def filter_merged(v: Views) -> DataFrame:
+    raw = filters.all_of({"level": "explicit"}, None, {}, {"times_derived": {"gte": 4}, "OR": [{"content": {"icontains": "THE"}}, {"session_name": None}]})
+    return v.facts().where(filters.fact_filter(raw)).select("id")
+
+
+@query(f"{FL} select id from live where last_reinforced_at >= timestamp '2025-03-01' and last_reinforced_at < timestamp '2025-09-01'")
+def reinforced_window(v: Views) -> DataFrame:
+    when = lambda t: F.expr(f"timestamp '{t} 00:00:00'")
+    return tables.live_facts(v.facts(), now()).where(recall.reinforced_between(when("2025-03-01"), when("2025-09-01"))).select("id")
+
+
+@query(f"""{with_views('facts')} select id, case doc_id % 4 when 0 then 'IDENTITY: ' || id || '|INSTRUCTION: x' when 1 then 'RELATIONSHIP: ' || level else '' end as lines from facts""")
+def profile_lines(v: Views) -> DataFrame:
+    k = F.col("doc_id") % 4
+    lines = F.when(k == 0, F.array(F.concat(F.lit("  IDENTITY: "), "id"), F.lit("identity: no"), F.lit("INSTRUCTION: x\n"))).when(k == 1, F.array(F.lit("OTHER: y"), F.concat(F.lit("RELATIONSHIP: "), "level"))).when(k == 2, F.array(F.lit(" "))).otherwise(F.array().cast("array<string>"))
+    return v.facts().select("id", F.array_join(text.card_lines(lines), "|").alias("lines"))
+
+
+@query(f"""select event_id, strftime(case event_id % 3 when 0 then ts when 1 then date_trunc('day', ts) else {QUEUE_NOW} end, '%Y-%m-%d %H:%M:%S') as at from events""")
+def instants_parsed(v: Views) -> DataFrame:
+    k, ts = F.col("event_id") % 3, F.col("ts").cast("timestamp")
+    given = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.lit("some day"))
+    return v.table("events").select("event_id", F.date_format(text.parse_instant(given, _qnow()), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(f"{_SCOPED} select case when o.observed is null then 'INSERTED' else 'REINFORCED' end as kind, count(*)::bigint as n from new n left join (select distinct observed, content_hash from old) o using (observed, content_hash) group by 1")
+def outcomes_counted(v: Views) -> DataFrame:
+    new, old = _written(v)
+    hit = dedup.exact_matches(new, old, now()).select("draft_id", F.lit("REINFORCED").alias("kind"))
+    return dedup.outcome_counts(new.select("draft_id").join(hit, "draft_id", "left").select(F.coalesce("kind", F.lit("INSERTED")).alias("kind")))
+
+
+@query(f"""{_RECALL}, s as (select *, 0.2 * sem + 0.5 * kw + 0.1 * ent + 0.1 * reinf + 0.05 * rec + 0.05 * lvl as score from x)
+ select qid, rank::int as rank, id, round(score, 5) as score from (select *, row_number() over (partition by qid order by score desc, id) as rank from s where score >= 0.3) where rank <= 5""")
+def recall_overridden(v: Views) -> DataFrame:
+    """A workspace's own weights and threshold; an override out of range is ignored."""
+    weights = {"semantic": 0.2, "keyword": 0.5, "entity": 0.1, "reinforcement": 0.1, "recency": 0.05, "level": 0.05}
+    settings = workspace_settings({"weights": weights, "threshold": 0.3, "oversample": 99})
+    return recall.recall(v.queries(), v.facts(), v.entities(), v.links(), now(), settings, limit=5).select("qid", "rank", "id", r("score", 5).alias("score"))
+
+
 # Evaluation: benchmark items as queries, ranked by vector; grades from labels
 
 _EVAL = f"""{with_views('queries')}, rk as (select qid, vec_id as id, row_number() over (partition by qid order by 1 - {COS}, vec_id) as rank from queries, embeddings),
