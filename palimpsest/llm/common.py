@@ -101,6 +101,8 @@ def trim() -> None:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: For tables of packed rows, which are large: few of them make a batch.
+SMALL = {ARROW_ROWS: "200", "spark.sql.parquet.columnarReaderBatchSize": "200"}
 
 
 def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ARROW_ROWS, Stage, Staging, connected_components, distributed_rank, trim
-from palimpsest.llm.grouped import in_blocks, large_keys, per_group
+from palimpsest.llm.common import ARROW_ROWS, SMALL, Stage, Staging, connected_components, distributed_rank, partitions, trim
+from palimpsest.llm.grouped import Wire, in_blocks, large_keys, per_group
 
 BITS = 1024
 LEAST_CELLS = 64
@@ -66,7 +66,7 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
 
 
-def bands(n: int, most: int | None) -> list[tuple[int, int]]:
+def bands(n: int) -> list[tuple[int, int]]:
     """(band, cells) in which a set of n tokens is entered. Bands are [2^b, 2^(b+1)); a set that can be similar to one
     of the next band is entered there too. A band's cells exceed the largest difference it allows; 0 stands for a cell
     a token, in bands of sets up to SINGLE tokens."""
@@ -75,18 +75,17 @@ def bands(n: int, most: int | None) -> list[tuple[int, int]]:
     return [(x, 0) if (2 << x) <= SINGLE else (x, max(LEAST_CELLS, (2 << (x + 1)) // 7 + 1)) for x in out]
 
 
-def cell_keys(h: np.ndarray, most: int | None = 40, rest: bool = False) -> np.ndarray:
-    """A set's join keys: the values of its cells that are not empty, in each of its bands; with rest, those beyond `most`.
+def cell_keys(h: np.ndarray, most: int = 40, rest: bool = False) -> np.ndarray:
+    """A set's join keys: the values of its cells that are not empty, in each of its bands; the first `most`, or the rest.
 
-    In bands of sets up to SINGLE tokens each token is a key, so that similar sets always share one. Larger bands enter
-    the first `most` cells of the sketch (None: all). Of all cells at least a third agree and hold tokens, even
-    for a pair just at the threshold 0.75, so that all of `most` keys of such a pair disagree with a chance of
-    (2 / 3) ** most, and for a pair above it with less; of all cells together with a chance below 1e-10.
+    In bands of sets up to SINGLE tokens each token is a key, so that similar sets always share one. In larger bands a
+    band's cells outnumber the tokens by which similar sets can differ, so that some agree; agreeing ones are all empty
+    with a chance below 1e-10 (at least a third of all cells agree and hold tokens, as a rule).
     """
     keys = []
     if not len(h):
         return np.empty(0, np.int64)
-    for band, cells in bands(len(h), most):
+    for band, cells in bands(len(h)):
         tag = np.array([band << 40], np.uint64)
         if not cells:
             if not rest:
@@ -96,9 +95,8 @@ def cell_keys(h: np.ndarray, most: int | None = 40, rest: bool = False) -> np.nd
         # tokens are hashed and sorted, so cells come in order, and the first ones are as good as any
         at = np.flatnonzero(np.diff(cell, prepend=cells))
         values, cell = np.bitwise_xor.reduceat(_mix(h), at), cell[at]
-        if most is not None:
-            chosen = (cell < most) != rest
-            cell, values = cell[chosen], values[chosen]
+        chosen = (cell < most) != rest
+        cell, values = cell[chosen], values[chosen]
         keys.append(_mix(values + _mix(cell + tag)))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
@@ -108,8 +106,8 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8))
 
 
-def sketches(texts: DataFrame, most: int | None) -> DataFrame:
-    """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text)."""
+def sketches(texts: DataFrame, most: int) -> DataFrame:
+    """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text); and the other keys, packed."""
 
     def run(batches):
         for b in batches:
@@ -118,14 +116,14 @@ def sketches(texts: DataFrame, most: int | None) -> DataFrame:
                 for t in b.column(3).slice(s, 500).to_pylist():
                     h = shingle_hashes(t)
                     m = _mix(h + np.uint64(1))
-                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most)))
-                n, d1, d2, bits, keys = zip(*out)
+                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most), cell_keys(h, most, True).tobytes()))
+                n, d1, d2, bits, keys, more = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["node", "doc_id", "v", "n", "d1", "d2", "bits", "keys"],
+                    [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.binary())],
+                    names=["node", "doc_id", "v", "n", "d1", "d2", "bits", "keys", "more"],
                 )
 
-    return texts.mapInArrow(run, "node long, doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    return texts.mapInArrow(run, "node long, doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>, more binary")
 
 
 def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         return Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), {ARROW_ROWS: "1000"}).df()
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int | None = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int = 40, range_most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; and text_hash, keeper.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles;
@@ -172,9 +170,10 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
     each document with its nearest one; a key that had many comes again with the components known then. What is still dense
     after ROUNDS rounds is compared, sets against sets, within the key's task, and only connecting links leave it. Keys
     with more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or
-    compared, and no step emits more than a few rows for each document of a key. Sets of more than SINGLE tokens enter
-    `most` cells a band as keys, by which a pair just at the threshold is missed with a chance under 1e-7, a surer one
-    with less; most=None enters all cells that the pigeonhole bound asks for (under 1e-10).
+    compared, and no step emits more than a few rows for each document of a key. All this is done twice: with the first
+    `most` cells of each band as keys, which connect nearly all that links, and then with all other cells that the
+    pigeonhole bound asks for. The latter are packed; only those that hold several components by then become rows,
+    and ranges of more than range_most of them are judged by joins that can be split.
     Null or empty texts, and texts without words, have no shingle and their own component. Null ids have a null component.
     Rows of one doc_id may hold different texts: each row is judged by its own, and the id alone links nothing.
     text_hash (xxhash64 of the text) tells them apart; keeper marks the rows of each component's first (doc_id,
@@ -191,7 +190,10 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
         light = reps.select("rep", F.explode("keys").alias("key"))
         shared = stage(light.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
         keyed = stage(light.join(shared, "key"))
-        comp = settle_links(stage, keyed, reps.select("rep", "n", "bits"), texts, percent, block)
+        sized = reps.select("rep", "n", "bits")
+        comp = settle_keys(stage, keyed.select("key", "rep"), star_links(stage, keyed, sized, texts, percent), sized, texts, percent, block)
+        left = mixed_keys(stage, base.select(F.col("node").alias("rep"), "more"), reps.select("rep").join(comp, "rep", "left"), range_most)
+        comp = settle_keys(stage, left, comp, sized, texts, percent, block)
         member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
         found = real.select("node", "doc_id", "v", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "v", "n", "c", (F.col("node") == F.col("c")).alias("keeper"))
         if ranked is not None:
@@ -213,16 +215,19 @@ def nodes(stage: Staging, docs: DataFrame, id_col: str, text_col: str) -> tuple[
     return stage(texts.join(known, ["doc_id", "v"], "left").select("node", "doc_id", "v", "text")), known
 
 
-def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
-    """(rep, component) of the documents that link with others, from (key, lead, rep); see similar_documents."""
+def star_links(stage: Staging, keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, component) of the links between each document and the least one of most of its keys, from (key, lead, rep)."""
     votes = keyed.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("lead"))).alias("v")).select((-F.col("v")["col2"]).alias("a"), F.col("rep").alias("b"))
     star = best.join(sized.selectExpr("rep a", "n na", "bits ba"), "a").join(sized.selectExpr("rep b", "n nb", "bits bb"), "b")
     star = stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
-    known = stage(connected_components(verified(star, texts, percent), stage))
-    left = keyed.select("key", "rep")
+    return stage(connected_components(verified(star, texts, percent), stage).select(F.col("node").alias("rep"), "component"))
+
+
+def settle_keys(stage: Staging, left: DataFrame, known: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """(rep, component) with the links between documents that share a key (key, rep) added to those known; see similar_documents."""
     for step in range(ROUNDS + 1):
-        comp = stage(left.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+        comp = stage(left.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
         mixed = stage(comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
         members = stage(comp.join(mixed, "key", "left_semi"))
         held = in_blocks(members.join(sized, "rep"), "key", large_keys(members, "key", block), block)
@@ -241,16 +246,99 @@ def settle_links(stage: Staging, keyed: DataFrame, sized: DataFrame, texts: Data
         if last:
             break
         left = members.select("key", "rep").join(dense, "key", "left_semi")
-    return known.select(F.col("node").alias("rep"), "component")
+    return known
+
+
+WIRE = Wire(np.uint32, np.int64, np.int64)  # key in its range, document, component
+
+
+def _pack_keys(ranges: int, piece: int = 1 << 20):
+    names = ["range", "n", "data"]
+
+    def emit(parts: list[tuple]) -> pa.RecordBatch:
+        key = np.concatenate([k for k, *_ in parts])
+        sizes = [len(k) for k, *_ in parts]
+        rep, comp = (np.repeat(np.array(x, np.int64), sizes) for x in list(zip(*parts))[1:])
+        o = np.argsort(key)
+        r, n, data = WIRE.deal(key[o], ranges, (key[o] & np.uint64(0xFFFFFFFF), rep[o], comp[o]))
+        return pa.RecordBatch.from_arrays([pa.array(r), pa.array(n), pa.array(data, pa.binary())], names=names)
+
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            for rep, comp, more in zip(*(c.to_pylist() for c in b.columns)):
+                parts.append((np.frombuffer(more, np.uint64), rep, comp))
+                size += len(more) // 8
+                if size >= piece:
+                    yield emit(parts)
+                    parts, size = [], 0
+        if size:
+            yield emit(parts)
+        trim()
+
+    return run
+
+
+def _unpack_keys(r: int, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, rep, comp = WIRE.unpack(data)
+    return (np.int64(r) << 32) | key.astype(np.int64), rep, comp
+
+
+def _judge_keys(batches):
+    """Of each range: the rows of keys that hold several components."""
+
+    def one(r: int, data: list[bytes]) -> list[pa.RecordBatch]:
+        key, rep, comp = _unpack_keys(r, data)
+        o = np.argsort(key, kind="stable")
+        key, rep, comp = key[o], rep[o], comp[o]
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        several = np.minimum.reduceat(comp, at) < np.maximum.reduceat(comp, at)
+        take = np.repeat(several, np.diff(np.append(at, len(key))))
+        return pa.table([pa.array(key[take]), pa.array(rep[take])], names=["key", "rep"]).to_batches(20_000)
+
+    now, data = None, []
+    for b in batches:
+        for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if r != now and data:
+                yield from one(now, data)
+                data = []
+            now = r
+            data.append(d)
+    if data:
+        yield from one(now, data)
+    trim()
+
+
+def _key_rows(batches):
+    for b in batches:
+        for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield from pa.table(list(_unpack_keys(r, [d])), names=["key", "rep", "comp"]).to_batches(20_000)
+
+
+def mixed_keys(stage: Staging, packed: DataFrame, comp: DataFrame, most: int) -> DataFrame:
+    """(key, rep) of the packed keys (rep, more) that several components (rep, component; null: its own) share."""
+    n = partitions(packed.sparkSession)
+    held = packed.where(F.octet_length("more") > 0).join(comp, "rep").select("rep", F.coalesce("component", "rep").alias("comp"), "more")
+    with Staging() as inner:
+        dealt = inner(held.mapInArrow(_pack_keys(8 * n), "range int, n long, data binary"), {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
+        hot = [r[0] for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges
+        rows = dealt.select("range", "data")
+        out = stage(rows.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_judge_keys, "key long, rep long"), SMALL)
+        if hot:
+            each = inner(rows.where(F.col("range").isin(hot)).mapInArrow(_key_rows, "key long, rep long, comp long"))
+            several = inner(each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+            out = out.union(stage(each.join(several, "key", "left_semi").select("key", "rep")))
+    return out
 
 
 def joined_components(stage: Staging, known: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) when links (a, b) are added: only the new links between components are worked through."""
+    """Components (rep, component) when links (a, b) are added: only the new links between components are worked through."""
+    known = known.withColumnRenamed("rep", "node")
     of = known.select(F.col("node").alias("n"), F.col("component").alias("c"))
     ends = links.join(of.withColumnsRenamed({"n": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "c": "cb"}), "b", "left")
     moved = stage(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), stage))
     old = known.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return stage(old.union(moved.join(known.select("node"), "node", "left_anti")))
+    return stage(old.union(moved.join(known.select("node"), "node", "left_anti")).withColumnRenamed("node", "rep"))
 
 
 def _bound(na, nb, percent: int):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ARROW_ROWS, Stage, Staging, partitions, trim, versions
+from palimpsest.llm.common import ARROW_ROWS, SMALL, Stage, Staging, partitions, trim, versions
 from palimpsest.llm.grouped import Wire, in_blocks, large_keys
 from palimpsest.llm.ngramjoin import BYTE, _mix, _powers_to
 
@@ -324,8 +324,6 @@ def _map_contexts(width: int, ranges: int, piece: int = 4 << 20):
     return run
 
 
-#: Packed rows are large, so few of them make a batch, and a file's groups of rows are small.
-SMALL = {ARROW_ROWS: "200", "spark.sql.parquet.columnarReaderBatchSize": "200"}
 ASKED = "doc long, v long, st long, size long, gram long, h long"
 
 

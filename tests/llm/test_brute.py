@@ -187,8 +187,9 @@ def test_repeated_ids_in_suffix_dedup(write, range_most):
     assert (5, 9, 0, 0, hashlib.sha256(b"short one").hexdigest()) in got
 
 
-@pytest.mark.parametrize("most", [40, None])
-def test_repeated_ids_in_ngram_join(write, most):
+@pytest.mark.parametrize("most,range_most", [(40, 2_000_000), (0, 2_000_000), (0, 1)])
+def test_repeated_ids_in_ngram_join(write, most, range_most):
+    """Also with all links of larger sets left to the second pass, and that left to joins."""
     rng = random.Random(32)
     a, b, c = (words(rng, 60) for _ in range(3))
     near = a.split()
@@ -198,7 +199,7 @@ def test_repeated_ids_in_ngram_join(write, most):
     key = lambda d, t: (d, zlib.crc32((t or "").encode()))
     comp = components({key(d, t): shingles(t) for d, t in rows})
     want = sorted((d, len(shingles(t)), comp[key(d, t)][0]) for d, t in rows)
-    out = ngramjoin.similar_documents(write(rows, DOC), most=most).collect()
+    out = ngramjoin.similar_documents(write(rows, DOC), most=most, range_most=range_most).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
     groups = {comp[key(d, t)] for d, t in rows if shingles(t)}
     assert len({(r.doc_id, r.text_hash) for r in out if r.keeper and r.n_shingles}) == len(groups)
