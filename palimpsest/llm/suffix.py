@@ -508,7 +508,7 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, block: int = 60_000, range_most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, block: int = 60_000, range_most: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends.
 
     A byte of the UTF-8 text is removed if a string of `width` bytes covers it that also starts in a document with a
