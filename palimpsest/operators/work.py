@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.schemas import PAIR
@@ -89,12 +90,42 @@ def undrained(queue: DataFrame, keys: DataFrame) -> DataFrame:
 
 def fair_order(units: DataFrame) -> DataFrame:
     """Ready units (with workspace_name) dealt in turn over workspaces, oldest first within each."""
-    from pyspark.sql import Window
-
     turn = F.row_number().over(Window.partitionBy("workspace_name").orderBy("oldest", "work_unit_key"))
     return units.withColumn("turn", turn).orderBy("turn", "oldest", "work_unit_key")
 
 
+def taken_turns(units: DataFrame, slots: int) -> DataFrame:
+    """The units that a worker with `slots` free slots takes next, in turn over workspaces."""
+    return fair_order(units).limit(max(0, slots))
+
+
+def heartbeat_s(ttl_s: int) -> float:
+    """How often a worker extends its claims: three times within their life."""
+    return ttl_s / 3
+
+
+def worker_round(queue: DataFrame, claims: DataFrame, handle: Callable[[DataFrame], DataFrame], worker: str, now: Column, slots: int, ttl_s: int = 300, gates: Gates = Gates(), batch: int = 100, quarantine_at: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of a worker as tables: (queue, claims, outcomes).
+
+    Expired claims are swept, ready units are taken in turn up to `slots` and claimed, and handle gets their first `batch`
+    pending items (the queue's columns) and returns (id, error), error null where an item went well. Those count as
+    processed; failures count as attempts, at quarantine_at the last; items that handle leaves out stay as they are.
+    A unit's items after its first failed one are not marked, since they come in order; claims are released at the end.
+    """
+    held = sweep_claims(claims, now)
+    spaces = queue.select("work_unit_key", "workspace_name").distinct()
+    taken = taken_turns(ready_units(queue, held, now, gates).join(spaces, "work_unit_key"), slots).select("work_unit_key")
+    held = claim(held, taken, worker, now, ttl_s)
+    mine = held.where(F.col("worker_id") == worker).select("work_unit_key").join(taken, "work_unit_key", "left_semi")
+    first = Window.partitionBy("work_unit_key").orderBy("id")
+    items = queue.where("not processed").join(mine, "work_unit_key", "left_semi").withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= batch).drop("_i")
+    outcomes = items.select("id", "work_unit_key").join(handle(items).select("id", "error"), "id")
+    broken = F.min(F.when(F.col("error").isNotNull(), F.col("id"))).over(Window.partitionBy("work_unit_key"))
+    outcomes = outcomes.withColumn("_stop", broken).where(F.col("_stop").isNull() | (F.col("id") <= F.col("_stop"))).drop("_stop")
+    after = record_failure(queue, outcomes.where("error is not null").select("id", "error"), quarantine_at)
+    return mark_processed(after, outcomes.where("error is null")), release_claims(held, taken, worker), outcomes
+
+
 def due_dreams(facts: DataFrame, collections: DataFrame, dreams: DataFrame, now: Column, least_new: int = 50, least_hours: int = 8) -> DataFrame:
     """Pairs with enough new explicit facts since their last dream, long enough ago, and none in flight."""
     n = facts.where(F.col("deleted_at").isNull() & (F.col("level") == "explicit")).groupBy(*PAIR).agg(F.count("*").alias("explicit_count"))

@@ -18,6 +18,7 @@ from palimpsest.sources import tables as store
 from palimpsest.streaming import ingest
 
 NOW = "timestamp '2026-08-31 12:00:00'"
+NOW_AT = dt.datetime(2026, 8, 31, 12)
 
 
 def one(spark, *cols):
@@ -226,6 +227,19 @@ def test_repeated_ids_and_zero_vectors(spark):
     assert d([0.0, 0.0], [1.0, 0.0]) == 1.0 == d([0.0, 0.0], [0.0, 0.0]) and d(None, [1.0]) is None and d([2.0, 0.0], [3.0, 0.0]) == 0.0 and d([1.0], [1.0, 1.0]) == 1.0
 
 
+def test_worker_round(spark):
+    at = lambda minutes: NOW_AT - dt.timedelta(minutes=minutes)
+    rows = [(1, "w", "a", at(60), 600, False), (2, "w", "a", at(50), 1, False), (3, "w", "a", at(40), 1, False), (4, "w", "b", at(90), 600, False), (5, "v", "c", at(10), 600, False), (6, "v", "d", at(5), 600, False), (7, "v", "e", at(500), 9, False), (8, "w", "a", at(99), 5, True)]
+    q = spark.createDataFrame([(i, w, k, t, n, p, 0, None) for i, w, k, t, n, p in rows], "id int, workspace_name string, work_unit_key string, created_at timestamp, token_count int, processed boolean, attempts int, last_error string")
+    claims = spark.createDataFrame([("e", "other", at(1), NOW_AT + dt.timedelta(minutes=4)), ("d", "gone", at(30), at(20))], "work_unit_key string, worker_id string, claimed_at timestamp, expires_at timestamp")
+    handle = lambda items: items.select("id", F.when(F.col("id") == 2, "broken").alias("error"))
+    queue, left, done = work.worker_round(q, claims, handle, "me", F.expr(NOW), 3)
+    assert sorted((r.id, r.error) for r in done.collect()) == [(1, None), (2, "broken"), (4, None), (5, None)]  # turns: b and c, then a; 3 comes after the broken one
+    assert sorted((r.id, r.processed, r.attempts, r.last_error) for r in queue.collect()) == [(1, True, 0, None), (2, False, 1, "broken"), (3, False, 0, None), (4, True, 0, None), (5, True, 0, None), (6, False, 0, None), (7, False, 0, None), (8, True, 0, None)]
+    assert [(r.work_unit_key, r.worker_id) for r in left.collect()] == [("e", "other")]
+    assert work.heartbeat_s(300) == 100 and work.taken_turns(q.select("work_unit_key", "workspace_name", F.col("created_at").alias("oldest")), 0).count() == 0
+
+
 def test_answer_bounds():
     words = type("Words", (), {"encode": staticmethod(str.split), "decode": staticmethod(" ".join)})()
     silent = providers.Scripted(lambda r: {"tool_calls": [{"name": "t", "arguments": {"n": 1}}]} if r["tools"] else {"text": "" if len(r["turns"]) > 4 else "from findings"})
