@@ -75,6 +75,10 @@ class Staging:
         self.stages.append(Stage(df, conf, **options))
         return self.stages[-1].df()
 
+    def keep(self, stage: Stage) -> DataFrame:
+        self.stages.append(stage)
+        return stage.df()
+
     def __exit__(self, *_) -> None:
         for s in self.stages:
             s.drop()

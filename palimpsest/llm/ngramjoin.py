@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ARROW_ROWS, SMALL, Stage, Staging, connected_components, distributed_rank, partitions, trim
-from palimpsest.llm.grouped import Wire, in_blocks, large_keys, per_group
+from palimpsest.llm.grouped import Wire, in_blocks, large_keys, per_group, per_groups
 
 BITS = 1024
 LEAST_CELLS = 64
@@ -101,6 +101,17 @@ def cell_keys(h: np.ndarray, most: int = 40, rest: bool = False) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The upper six bytes of each key: enough to propose pairs by, since equal keys prove nothing."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def bit_sketch(h: np.ndarray) -> np.ndarray:
     odd = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8))
@@ -116,7 +127,7 @@ def sketches(texts: DataFrame, most: int) -> DataFrame:
                 for t in b.column(3).slice(s, 500).to_pylist():
                     h = shingle_hashes(t)
                     m = _mix(h + np.uint64(1))
-                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most), cell_keys(h, most, True).tobytes()))
+                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most), _short(cell_keys(h, most, True))))
                 n, d1, d2, bits, keys, more = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.binary())],
@@ -138,7 +149,7 @@ def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.select(F.col("node").alias("rep"), "text").join(ids, "rep", "left_semi").mapInArrow(sets, "rep long, h binary").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(stage: Staging, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar, by comparing the sets."""
 
     def compare(batches):
@@ -153,10 +164,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
         trim()
 
-    with Staging() as stage:
-        have = stage(set_table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), texts))
+    with Staging() as inner:
+        have = inner(set_table(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), texts))
         left, right = (have.select(F.col("rep").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
-        return Stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), {ARROW_ROWS: "1000"}).df()
+        return stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), {ARROW_ROWS: "1000"})
 
 
 def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int = 40, range_most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,14 +197,19 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
         base = stage(sketches(texts, most))
         real = base.where("n > 0 and doc_id is not null")
         classes = real.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
-        reps = stage(real.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"), F.min_by(F.struct("bits", "keys"), "node").alias("s")).select("rep", "n", "s.*"))
-        light = reps.select("rep", F.explode("keys").alias("key"))
-        shared = stage(light.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
-        keyed = stage(light.join(shared, "key"))
-        sized = reps.select("rep", "n", "bits")
-        comp = settle_keys(stage, keyed.select("key", "rep"), star_links(stage, keyed, sized, texts, percent), sized, texts, percent, block)
-        left = mixed_keys(stage, base.select(F.col("node").alias("rep"), "more"), reps.select("rep").join(comp, "rep", "left"), range_most)
-        comp = settle_keys(stage, left, comp, sized, texts, percent, block)
+        with Staging() as first:
+            whole = first(real.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"), F.min_by(F.struct("bits", "keys"), "node").alias("s")).select("rep", "n", "s.*"))
+            light = whole.select("rep", F.explode("keys").alias("key"))
+            shared = first(light.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"))
+            keyed = first(light.join(shared, "key"))
+            sized = stage(whole.select("rep", "n", "bits"))
+            known = first.keep(star_links(keyed, sized, texts, percent))
+            comp = settle_keys(keyed.select("key", "rep"), known, sized, texts, percent, block)
+        comp = stage.keep(comp)
+        with Staging() as second:
+            left = mixed_keys(second, base.select(F.col("node").alias("rep"), "more"), sized.select("rep").join(comp, "rep", "left"), range_most)
+            comp = settle_keys(left, comp, sized, texts, percent, block)
+        comp = stage.keep(comp)
         member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
         found = real.select("node", "doc_id", "v", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "v", "n", "c", (F.col("node") == F.col("c")).alias("keeper"))
         if ranked is not None:
@@ -215,38 +231,45 @@ def nodes(stage: Staging, docs: DataFrame, id_col: str, text_col: str) -> tuple[
     return stage(texts.join(known, ["doc_id", "v"], "left").select("node", "doc_id", "v", "text")), known
 
 
-def star_links(stage: Staging, keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def star_links(keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: int) -> Stage:
     """(rep, component) of the links between each document and the least one of most of its keys, from (key, lead, rep)."""
     votes = keyed.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep").agg(F.max(F.struct("votes", -F.col("lead"))).alias("v")).select((-F.col("v")["col2"]).alias("a"), F.col("rep").alias("b"))
     star = best.join(sized.selectExpr("rep a", "n na", "bits ba"), "a").join(sized.selectExpr("rep b", "n nb", "bits bb"), "b")
-    star = stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
-    return stage(connected_components(verified(star, texts, percent), stage).select(F.col("node").alias("rep"), "component"))
+    with Staging() as stage:
+        star = stage(star.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_possible(percent), "a long, b long"))
+        links = verified(stage, star, texts, percent)
+        return Stage(connected_components(links, stage).select(F.col("node").alias("rep"), "component"))
 
 
-def settle_keys(stage: Staging, left: DataFrame, known: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+def settle_keys(left: DataFrame, known: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> Stage:
     """(rep, component) with the links between documents that share a key (key, rep) added to those known; see similar_documents."""
-    for step in range(ROUNDS + 1):
-        comp = stage(left.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-        mixed = stage(comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        members = stage(comp.join(mixed, "key", "left_semi"))
-        held = in_blocks(members.join(sized, "rep"), "key", large_keys(members, "key", block), block)
-        asked = stage(per_group(held, "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long, dense boolean"))
-        pair = [F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")]
-        dense = stage(asked.where("dense").select("key").distinct())
-        last = dense.isEmpty()
-        if step < ROUNDS:
-            found = verified(stage(asked.select(*pair).distinct()), texts, percent)
-        else:
-            many = asked.where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
-            full = many.join(stage(set_table(many.select("rep").distinct(), texts)), "rep")
-            found = verified(stage(asked.where("not dense").select(*pair).distinct()), texts, percent)
-            found = found.union(stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()))
-        known = joined_components(stage, known, found)
-        if last:
-            break
-        left = members.select("key", "rep").join(dense, "key", "left_semi")
-    return known
+    with Staging() as stage:
+        last = False
+        for step in range(ROUNDS + 1):
+            last = last or step == ROUNDS
+            comp = stage(left.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+            mixed = stage(comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+            members = stage(comp.join(mixed, "key", "left_semi"))
+            held = in_blocks(members.join(sized, "rep"), "key", large_keys(members, "key", block), block)
+            asked = stage(per_groups(held, "key", ["rep", "comp", "n", "bits"], _cross(percent), "key long, _i int, _j int, _side int, rep long, comp long, other long, dense boolean"))
+            pair = [F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")]
+            dense = stage(asked.where("dense").select("key").distinct())
+            if not last:
+                found = verified(stage, stage(asked.select(*pair).distinct()), texts, percent)
+            else:
+                many = asked.where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
+                full = many.join(stage(set_table(many.select("rep").distinct(), texts)), "rep")
+                found = verified(stage, stage(asked.where("not dense").select(*pair).distinct()), texts, percent)
+                found = found.union(stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()))
+            news = not found.isEmpty()
+            if news:
+                known = joined_components(stage, known, found)
+            if last or dense.isEmpty():
+                break
+            last = not news  # the next round would ask for the same pairs
+            left = members.select("key", "rep").join(dense, "key", "left_semi")
+        return Stage(known)
 
 
 WIRE = Wire(np.uint32, np.int64, np.int64)  # key in its range, document, component
@@ -260,15 +283,16 @@ def _pack_keys(ranges: int, piece: int = 1 << 20):
         sizes = [len(k) for k, *_ in parts]
         rep, comp = (np.repeat(np.array(x, np.int64), sizes) for x in list(zip(*parts))[1:])
         o = np.argsort(key)
-        r, n, data = WIRE.deal(key[o], ranges, (key[o] & np.uint64(0xFFFFFFFF), rep[o], comp[o]))
+        r, low = WIRE.place(key[o], ranges)
+        r, n, data = WIRE.deal(r, (low, rep[o], comp[o]))
         return pa.RecordBatch.from_arrays([pa.array(r), pa.array(n), pa.array(data, pa.binary())], names=names)
 
     def run(batches):
         parts, size = [], 0
         for b in batches:
             for rep, comp, more in zip(*(c.to_pylist() for c in b.columns)):
-                parts.append((np.frombuffer(more, np.uint64), rep, comp))
-                size += len(more) // 8
+                parts.append((_long(more), rep, comp))
+                size += len(more) // 6
                 if size >= piece:
                     yield emit(parts)
                     parts, size = [], 0
@@ -358,6 +382,26 @@ def _possible(percent: int):
     return run
 
 
+def _pairs(group: np.ndarray, large: int = 64, most: int = 1 << 18):
+    """(a, b), a < b, of all pairs of rows of one group, in chunks; group: ascending numbers."""
+    size = np.bincount(group)
+    begin = np.cumsum(size) - size
+    rows = np.flatnonzero(size[group] <= large)
+    left = (begin + size)[group[rows]] - rows - 1  # rows after it in its group
+    for step in range(1, large):
+        rows, left = rows[left >= step], left[left >= step]
+        if not len(rows):
+            break
+        for s in range(0, len(rows), most):
+            yield rows[s : s + most], rows[s : s + most] + step
+    for g in np.flatnonzero(size > large):
+        m, at = int(size[g]), int(begin[g])
+        block = max(1, most // m)
+        for s in range(0, m, block):
+            a, b = np.nonzero(np.arange(s, min(m, s + block))[:, None] < np.arange(m))
+            yield a + s + at, b + at
+
+
 def _cross(percent: int, few: int = 4):
     """Pairs of a key's documents from different components whose sketches allow a link (rep, other).
 
@@ -366,42 +410,32 @@ def _cross(percent: int, few: int = 4):
     """
     names = ["key", "_i", "_j", "_side", "rep", "comp"]
 
-    def work(g: pa.Table) -> pa.RecordBatch | None:
-        rep, comp, n, side = (g.column(c).to_numpy() for c in ("rep", "comp", "n", "_side"))
-        if comp.min() == comp.max():
-            return None
-        bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        split = side.any()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(len(comp)),) * 2
-        nearest, least = np.full(len(comp), -1), np.full(len(comp), np.iinfo(np.int64).max)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-        for i in left:
-            j = right if split else right[i + 1 :]
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if not len(j):
-                continue
-            d = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            ok = (100 + percent) * d <= _bound(n[j], n[i], percent)
-            j, d = j[ok], d[ok]
-            if not len(j):
-                continue
-            count += len(j)
-            if count <= few * len(comp):
-                pairs.append((np.full(len(j), i), j))
-            if d.min() < least[i]:
-                least[i], nearest[i] = d.min(), j[d.argmin()]
-            closer = d < least[j]
-            least[j[closer]], nearest[j[closer]] = d[closer], i
-        if not count:
+    def work(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
+        rep, comp, n, side, i, j = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "_side", "_i", "_j"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        nothing = np.iinfo(np.int64).max
+        best = np.full(len(comp), nothing)  # of each document: least distance and then the other's number
+        count, room = np.zeros(group[-1] + 1, np.int64), few * np.bincount(group)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in _pairs(group):
+            fits = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((i[a] == j[a]) | (side[a] != side[b]))
+            a, b = a[fits], b[fits]
+            d = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            ok = (100 + percent) * d <= _bound(n[a], n[b], percent)
+            a, b, d = a[ok], b[ok], d[ok]
+            np.minimum.at(best, a, (d << 32) | b)
+            np.minimum.at(best, b, (d << 32) | a)
+            count += np.bincount(group[a], minlength=len(count))
+            sparse = (count <= room)[group[a]]
+            kept.append((a[sparse], b[sparse]))
+        dense = count > room
+        near = np.flatnonzero((best < nothing) & dense[group])
+        a, b = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, np.int64),) * 2
+        sparse = ~dense[group[a]]
+        at, other = np.concatenate([near, a[sparse]]), np.concatenate([best[near] & 0xFFFFFFFF, b[sparse]])
+        if not len(at):
             return None
-        dense = count > few * len(comp)
-        if dense:
-            at = np.flatnonzero(nearest >= 0)
-            other = nearest[at]
-        else:
-            at, other = (np.concatenate(x) for x in zip(*pairs))
-        return pa.RecordBatch.from_arrays([*[pa.array(g.column(c).to_numpy()[at]) for c in names], pa.array(rep[other]), pa.array(np.full(len(at), dense))], names=[*names, "other", "dense"])
+        return pa.RecordBatch.from_arrays([*[pa.array(t.column(c).to_numpy()[at]) for c in names], pa.array(rep[other]), pa.array(dense[group[at]])], names=[*names, "other", "dense"])
 
     return work
 
