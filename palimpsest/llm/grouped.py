@@ -23,12 +23,18 @@ class Wire:
     def __init__(self, *kinds: type):
         self.kinds, self.width = [np.dtype(k) for k in kinds], sum(np.dtype(k).itemsize for k in kinds)
 
-    def deal(self, key: np.ndarray, ranges: int, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Range, number of values and packed columns of each range that sorted 64-bit hashes fall in."""
-        r = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    @staticmethod
+    def place(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each 64-bit hash, and the 32 bits of it below that: both grow with the hash, and together they tell hashes apart."""
+        low = np.uint64(0xFFFFFFFF)
+        at = (key >> np.uint64(32)) * np.uint64(ranges) + ((key & low) * np.uint64(ranges) >> np.uint64(32))
+        return (at >> np.uint64(32)).astype(np.int32), (at & low).astype(np.uint32)
+
+    def deal(self, r: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Range, number of values and packed columns of each range, for rows in order of their ranges r."""
         columns = [np.ascontiguousarray(c, k).view(np.uint8).reshape(len(r), k.itemsize) for c, k in zip(columns, self.kinds)]
-        at = np.append(np.flatnonzero(np.diff(r, prepend=ranges)), len(r))
-        return r[at[:-1]].astype(np.int32), np.diff(at), [b"".join(c[s:e].T.tobytes() for c in columns) for s, e in zip(at[:-1], at[1:])]
+        at = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
+        return r[at[:-1]], np.diff(at), [b"".join(c[s:e].T.tobytes() for c in columns) for s, e in zip(at[:-1], at[1:])]
 
     def unpack(self, data: Sequence[bytes]) -> list[np.ndarray]:
         sizes = [len(d) // self.width for d in data]
@@ -95,6 +101,39 @@ def per_group(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.
     return dealt.mapInArrow(run, schema)
 
 
+def per_groups(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, most: int = 50_000) -> DataFrame:
+    """Run work on whole groups (key, _i, _j), many at a time: a table of `columns`, _i, _j and _side, and the number of each row's group."""
+    keys = [key, "_i", "_j"]
+
+    def numbers(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return np.cumsum(change)
+
+    def run(batches):
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            rest.append(b)
+            if sum(x.num_rows for x in rest) < most:
+                continue
+            t = pa.Table.from_batches(rest).combine_chunks()
+            group = numbers(t)
+            last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if last and (out := work(t.slice(0, last), group[:last])) is not None:
+                yield out
+            rest = t.slice(last).to_batches()
+        if rest:
+            t = pa.Table.from_batches(rest).combine_chunks()
+            if t.num_rows and (out := work(t, numbers(t))) is not None:
+                yield out
+        trim()
+
+    dealt = rows.select(*keys, "_side", *columns).repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)
+
+
 def large_keys(rows: DataFrame, key: str, most: int) -> DataFrame | None:
     """(key, _n) of keys with more than `most` rows, or None if there is none."""
     sizes = Stage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most))

@@ -259,7 +259,8 @@ def contexts(text: bytes, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.
             start = np.repeat(start, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * span
             size = np.diff(start, append=n)
         end = start + size - 1 + width
-        out.append((low[start], _mix((sums[end] - sums[start]) * down[start] + size.astype(np.uint64)), start + base, size - 1))
+        # least hashes are small ones, so they are hashed anew before they are dealt by range
+        out.append((_mix(low[start]), _mix((sums[end] - sums[start]) * down[start] + size.astype(np.uint64)), start + base, size - 1))
     if not out:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -300,7 +301,8 @@ def _map_contexts(width: int, ranges: int, piece: int = 4 << 20):
             yield pa.RecordBatch.from_arrays([*blank, *map(pa.array, (doc[at], v[at], s, e - s))], names=names)
         o = np.flatnonzero(~done)
         m, h, st, ln, k = (x[o] for x in (m, h, st, ln, k))
-        r, n, data = WIRE.deal(m, ranges, (m & np.uint64(0xFFFFFFFF), h, doc[k], v[k], st, ln))
+        r, m = WIRE.place(m, ranges)
+        r, n, data = WIRE.deal(r, (m, h, doc[k], v[k], st, ln))
         yield pa.RecordBatch.from_arrays([pa.array(r, kinds[0]), pa.array(n, kinds[1]), pa.array(data, kinds[2]), *[pa.nulls(len(r), kind) for kind in kinds[3:]]], names=names)
 
     def run(batches):
