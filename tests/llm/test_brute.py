@@ -10,9 +10,10 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from palimpsest.llm import linededup, ngramjoin, packing, quality, queries, sharding, suffix, tokens
+from palimpsest.llm import grouped, linededup, ngramjoin, packing, quality, queries, sharding, suffix, tokens
 from tests.conftest import SMALL
 from tests.llm.conftest import DOC, words
 from tests.llm.test_texts import repeats, shingles
@@ -205,6 +206,43 @@ def test_repeated_ids_in_ngram_join(write, most, range_most):
     assert len({(r.doc_id, r.text_hash) for r in out if r.keeper and r.n_shingles}) == len(groups)
 
 
+def test_dense_keys():
+    """A key whose documents can nearly all link: each names its nearest, and what then is left is linked set by set."""
+    rng = random.Random(36)
+    bases = [words(rng, 80).split() for _ in range(3)]
+    sets = []
+    for i in range(90):
+        w = list(bases[i % 3])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        sets.append(ngramjoin.shingle_hashes(" ".join(w)))
+    n = len(sets)
+    for side in (np.zeros(n, np.int64), np.arange(n) % 2):
+        split = int(side.any())
+        t = pa.table({"key": [7] * n, "_i": [0] * n, "_j": [split] * n, "_side": side, "rep": np.arange(n) + 100, "comp": np.arange(n) + 100, "n": [len(h) for h in sets], "bits": [ngramjoin.bit_sketch(h).tobytes() for h in sets], "h": [h.tobytes() for h in sets]})
+        asked = ngramjoin._cross(75, few=1)(t, np.zeros(n, np.int64))
+        assert all(asked.column("dense").to_pylist()) and len(asked) == n
+        apart = {(a, b) for a in range(n) for b in range(a) if side[a] != side[b] or not split}
+        for a, b in zip(asked.column("rep").to_pylist(), asked.column("other").to_pylist()):
+            assert (max(a, b) - 100, min(a, b) - 100) in apart and len(np.intersect1d(sets[a - 100], sets[b - 100]))
+        every = ngramjoin._cross(75, few=10**6)(t, np.zeros(n, np.int64))
+        links = {(a, b) for a, b in apart if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+        proposed = {(max(a, b) - 100, min(a, b) - 100) for a, b in zip(every.column("rep").to_pylist(), every.column("other").to_pylist())}
+        assert not any(every.column("dense").to_pylist()) and links <= proposed <= apart
+        made = ngramjoin._link(75)(t)
+        got = {(b - 100, a - 100) for a, b in zip(made.column("a").to_pylist(), made.column("b").to_pylist())}
+        assert got <= links
+        root = lambda edges: grouped.roots(n, *(np.array(x, np.int64) for x in zip(*edges))).tolist()
+        assert root(got) == root(links)
+
+
+def test_pairs_of_groups():
+    rng = np.random.default_rng(37)
+    group = np.repeat(np.arange(60), [*rng.integers(1, 9, 50), *rng.integers(60, 150, 10)])
+    got = [(int(a), int(b)) for x, y in ngramjoin._pairs(group, most=500) for a, b in zip(x, y)]
+    assert sorted(got) == [(a, b) for a in range(len(group)) for b in range(a + 1, len(group)) if group[a] == group[b]]
+
+
 def test_packed_conversations(write):
     rng = random.Random(33)
     tok = tokens.tokenizer(BYTE)
