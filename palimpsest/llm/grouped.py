@@ -101,8 +101,10 @@ def per_group(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.
     return dealt.mapInArrow(run, schema)
 
 
-def per_groups(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, most: int = 50_000) -> DataFrame:
-    """Run work on whole groups (key, _i, _j), many at a time: a table of `columns`, _i, _j and _side, and the number of each row's group."""
+def per_groups(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, most: int = 50_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """Run work on whole groups (key, _i, _j), many at a time: a table of `columns`, _i, _j and _side, and the number of each row's group.
+
+    A table is handed over when it holds most rows or most_bytes, or one group that has more."""
     keys = [key, "_i", "_j"]
 
     def numbers(t: pa.Table) -> np.ndarray:
@@ -116,7 +118,7 @@ def per_groups(rows: DataFrame, key: str, columns: list[str], work: Callable[[pa
         rest: list[pa.RecordBatch] = []
         for b in batches:
             rest.append(b)
-            if sum(x.num_rows for x in rest) < most:
+            if sum(x.num_rows for x in rest) < most and sum(x.nbytes for x in rest) < most_bytes:
                 continue
             t = pa.Table.from_batches(rest).combine_chunks()
             group = numbers(t)

@@ -4,9 +4,9 @@ A document's tokens are its distinct shingles, hashed to 64 bits. In its size ba
 token belongs to one cell, and a cell is the exclusive or of its tokens' hashes. Tokens that two documents share
 cancel, so a cell differs only if a token of the symmetric difference lies in it: the number of unequal cells is a
 lower bound of that difference, which the threshold limits to (1 - t) / (1 + t) of both sizes. By pigeonhole, two
-similar documents then agree in all but so many cells, and the cells' values are join keys. A second sketch of BITS
-bits, in which each token flips one bit, gives the same bound in bits and rejects most candidates before the sets
-themselves are compared.
+similar documents then agree in all but so many cells, and the cells' values are join keys. A second sketch, of BITS
+bits or, in larger sets, of one to two bits a token (up to MOST_BITS), in which each token flips one bit, gives the same
+bound in bits and rejects most candidates before the sets themselves are compared. A wide one folds to a narrower one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from palimpsest.llm.common import ARROW_ROWS, SMALL, Stage, Staging, connected_c
 from palimpsest.llm.grouped import Wire, in_blocks, large_keys, per_group, per_groups
 
 BITS = 1024
+MOST_BITS = 1 << 15
 LEAST_CELLS = 64
 SINGLE = 32
 ROUNDS = 3  # of joining nearest components, before a dense key is compared within its task
@@ -112,11 +113,50 @@ def _long(data: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def bit_sketch(h: np.ndarray) -> np.ndarray:
-    odd = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of n tokens: a power of two. Unrelated sets fill a sketch that is much smaller than they are, and the bound then rejects nothing."""
+    return min(max(BITS, 1 << n.bit_length()), MOST_BITS)
+
+
+def bit_sketch(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
 
 
+class Sketches:
+    """Bit sketches of several widths, and their distances: a pair is compared at the width of its narrower one, to which the other folds."""
+
+    def __init__(self, data: list[bytes]):
+        self.data, self.width = data, np.array([len(x) for x in data], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sketch of at least that width (in bytes) its row, and the rows."""
+        if width not in self.at:
+            place, parts, n = np.zeros(len(self.data), np.int64), [], 0
+            for w in np.unique(self.width[self.width >= width]):
+                these = np.flatnonzero(self.width == w)
+                words = np.frombuffer(b"".join([self.data[i] for i in these]), np.uint64).reshape(len(these), w // width, width // 8)
+                parts.append(np.bitwise_xor.reduce(words, axis=1))
+                place[these] = np.arange(n, n + len(these))
+                n += len(these)
+            self.at[width] = place, np.concatenate(parts)
+        return self.at[width]
+
+    def distance(self, a: np.ndarray, b: np.ndarray, most: int = 1 << 25) -> np.ndarray:
+        """Unequal bits of each pair; a chunk of pairs holds `most` bytes."""
+        width = np.minimum(self.width[a], self.width[b])
+        d = np.empty(len(a), np.int64)
+        for w in np.unique(width):
+            place, rows = self._folded(int(w))
+            these = np.flatnonzero(width == w)
+            step = max(1, most // int(w))
+            for s in range(0, len(these), step):
+                i = these[s : s + step]
+                d[i] = np.bitwise_count(rows[place[a[i]]] ^ rows[place[b[i]]]).sum(1, dtype=np.int64)
+        return d
+
+
 def sketches(texts: DataFrame, most: int) -> DataFrame:
     """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text); and the other keys, packed."""
 
@@ -127,7 +167,7 @@ def sketches(texts: DataFrame, most: int) -> DataFrame:
                 for t in b.column(3).slice(s, 500).to_pylist():
                     h = shingle_hashes(t)
                     m = _mix(h + np.uint64(1))
-                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h).tobytes(), cell_keys(h, most), _short(cell_keys(h, most, True))))
+                    out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h, sketch_bits(len(h))).tobytes(), cell_keys(h, most), _short(cell_keys(h, most, True))))
                 n, d1, d2, bits, keys, more = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.binary())],
@@ -374,8 +414,8 @@ def _possible(percent: int):
     def run(batches):
         for b in batches:
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
-            d = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            one = np.arange(b.num_rows)
+            d = Sketches(b.column(4).to_pylist() + b.column(5).to_pylist()).distance(one, one + b.num_rows)
             ok = ((100 + percent) * d <= _bound(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
@@ -412,7 +452,7 @@ def _cross(percent: int, few: int = 4):
 
     def work(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
         rep, comp, n, side, i, j = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "_side", "_i", "_j"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bits = Sketches(t.column("bits").to_pylist())
         nothing = np.iinfo(np.int64).max
         best = np.full(len(comp), nothing)  # of each document: least distance and then the other's number
         count, room = np.zeros(group[-1] + 1, np.int64), few * np.bincount(group)
@@ -420,7 +460,7 @@ def _cross(percent: int, few: int = 4):
         for a, b in _pairs(group):
             fits = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((i[a] == j[a]) | (side[a] != side[b]))
             a, b = a[fits], b[fits]
-            d = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            d = bits.distance(a, b)
             ok = (100 + percent) * d <= _bound(n[a], n[b], percent)
             a, b, d = a[ok], b[ok], d[ok]
             np.minimum.at(best, a, (d << 32) | b)

@@ -349,3 +349,20 @@ def test_stages_with_long_texts_and_ties(spark, tmp_path):
     want = mixed(sorted(rows, key=str))
     assert len(mix) == sum(want) and sum(r.doc_id is None for r in mix) == sum(n for r, n in zip(sorted(rows, key=str), want) if r[0] is None)
     assert stage["packing"](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
+def test_wide_sketches():
+    """Distances of sketches of all widths are those of the narrower width, never above the sets' difference, and tell unrelated large sets apart."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (3, 900, 1500, 4000, 4100, 9000, 40_000, 70_000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 50, np.uint64)]) for s in sets[1:]]
+    data = [ngramjoin.bit_sketch(s, ngramjoin.sketch_bits(len(s))).tobytes() for s in sets]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for most in (1 << 12, 1 << 25):
+        got = ngramjoin.Sketches(data).distance(a, b, most)
+        for i, j, d in zip(a, b, got):
+            bits = min(ngramjoin.sketch_bits(len(sets[i])), ngramjoin.sketch_bits(len(sets[j])))
+            assert d == np.bitwise_count(ngramjoin.bit_sketch(sets[i], bits) ^ ngramjoin.bit_sketch(sets[j], bits)).sum()
+            assert d <= len(np.setxor1d(sets[i], sets[j]))
+    far = ngramjoin.Sketches(data).distance(np.array([3, 4]), np.array([4, 3]))
+    assert (175 * far > ngramjoin._bound(4000, 4100, 75)).all()
