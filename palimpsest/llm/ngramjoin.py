@@ -158,7 +158,7 @@ class Sketches:
 
 
 def sketches(texts: DataFrame, most: int) -> DataFrame:
-    """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text); and the other keys, packed."""
+    """node, doc_id, v, n, d1, d2 (fingerprint of the whole set), bits, keys for (node, doc_id, v, text); and the other keys, packed, with their number m."""
 
     def run(batches):
         for b in batches:
@@ -170,11 +170,11 @@ def sketches(texts: DataFrame, most: int) -> DataFrame:
                     out.append((len(h), int(np.bitwise_xor.reduce(m, initial=np.uint64(0)).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64)), bit_sketch(h, sketch_bits(len(h))).tobytes(), cell_keys(h, most), _short(cell_keys(h, most, True))))
                 n, d1, d2, bits, keys, more = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.binary())],
-                    names=["node", "doc_id", "v", "n", "d1", "d2", "bits", "keys", "more"],
+                    [*[b.column(i).slice(s, 500) for i in range(3)], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(more, pa.binary()), pa.array([len(x) // 6 for x in more], pa.int64())],
+                    names=["node", "doc_id", "v", "n", "d1", "d2", "bits", "keys", "more", "m"],
                 )
 
-    return texts.mapInArrow(run, "node long, doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>, more binary")
+    return texts.mapInArrow(run, "node long, doc_id long, v long, n long, d1 long, d2 long, bits binary, keys array<long>, more binary, m long")
 
 
 def set_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
             comp = settle_keys(keyed.select("key", "rep"), known, sized, texts, percent, block)
         comp = stage.keep(comp)
         with Staging() as second:
-            left = mixed_keys(second, base.select(F.col("node").alias("rep"), "more"), sized.select("rep").join(comp, "rep", "left"), range_most)
+            left = mixed_keys(second, base.select(F.col("node").alias("rep"), "more", "m"), sized.select("rep").join(comp, "rep", "left"), range_most)
             comp = settle_keys(left, comp, sized, texts, percent, block)
         comp = stage.keep(comp)
         member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
@@ -379,13 +379,20 @@ def _key_rows(batches):
             yield from pa.table(list(_unpack_keys(r, [d])), names=["key", "rep", "comp"]).to_batches(20_000)
 
 
+def key_ranges(keys: int, tasks: int, each: int = 250_000) -> int:
+    """Ranges to deal that many packed keys into, some `each` keys a range: a task makes one packed row a range, so that
+    ranges that followed the number of tasks alone would make rows with its square, of a few keys each."""
+    return max(1, min(8 * tasks, -(-keys // each)))
+
+
 def mixed_keys(stage: Staging, packed: DataFrame, comp: DataFrame, most: int) -> DataFrame:
-    """(key, rep) of the packed keys (rep, more) that several components (rep, component; null: its own) share."""
+    """(key, rep) of the packed keys (rep, more, and their number m) that several components (rep, component; null: its own) share."""
     n = partitions(packed.sparkSession)
-    held = packed.where(F.octet_length("more") > 0).join(comp, "rep").select("rep", F.coalesce("component", "rep").alias("comp"), "more")
+    ranges = key_ranges(packed.agg(F.sum("m")).first()[0] or 0, n)
+    held = packed.where("m > 0").join(comp, "rep").select("rep", F.coalesce("component", "rep").alias("comp"), "more")
     with Staging() as inner:
-        dealt = inner(held.mapInArrow(_pack_keys(8 * n), "range int, n long, data binary"), {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
-        hot = [r[0] for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges
+        dealt = inner(held.mapInArrow(_pack_keys(ranges), "range int, n long, data binary"), {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
+        hot = [r[0] for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges at most
         rows = dealt.select("range", "data")
         out = stage(rows.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_judge_keys, "key long, rep long"), SMALL)
         if hot:

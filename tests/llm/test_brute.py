@@ -188,6 +188,11 @@ def test_repeated_ids_in_suffix_dedup(write, range_most):
     assert (5, 9, 0, 0, hashlib.sha256(b"short one").hexdigest()) in got
 
 
+def test_ranges_of_packed_keys():
+    """Ranges follow the keys, so that many tasks of few keys make few rows; and no keys still have a range."""
+    assert [ngramjoin.key_ranges(k, t) for k, t in ((0, 8), (1, 8), (250_001, 8), (5_000_000, 12), (5_000_000, 211), (10**9, 8))] == [1, 1, 2, 20, 20, 64]
+
+
 @pytest.mark.parametrize("most,range_most", [(40, 2_000_000), (0, 2_000_000), (0, 1)])
 def test_repeated_ids_in_ngram_join(write, most, range_most):
     """Also with all links of larger sets left to the second pass, and that left to joins."""
