@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import embdedup, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
+from palimpsest.llm import embdedup, fim, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
 
 
 def _vocabulary(name: str) -> str:
@@ -63,12 +63,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 on instruction data, where its limits on loss-bearing tokens and segments bind."""
     return packing.pack_conversations(_read(spark, sf_dir, "conversations"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, pack_conversations)}
+QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, op13_fill_in_middle, pack_conversations)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 # Rows that take part in comparisons of vectors.
@@ -136,5 +142,14 @@ e as (select doc_id, run, min(i) as b, max(i) + 49 as e from o group by 1, 2),
 k as (select doc_id, sum(e - b + 1) as n_removed, count(*) as n_spans, list({'b': b, 'e': e} order by b) as l from e group by 1),
 z as (select d.doc_id, n, n_removed, n_spans, case when l is null then h else array_to_string([substr(h, (case when j = 1 then 1 else 2 * l[j - 1].e + 1 end)::bigint, (case when j > len(l) then 2 * n else 2 * l[j].b - 2 end - case when j = 1 then 0 else 2 * l[j - 1].e end)::bigint) for j in range(1, len(l) + 2)], '') end as kept from d left join k on d.doc_id = k.doc_id)
 select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from z
+""",
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as b,
+ case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+  when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form from d),
+c as (select doc_id, text, n, form, least(a, b) as lo, greatest(a, b) as hi, text[1:least(a, b)] as p, text[least(a, b) + 1:greatest(a, b)] as m, text[greatest(a, b) + 1:n] as s from u)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then lo::bigint end as prefix_chars, case when form <> 'plain' then (hi - lo)::bigint end as middle_chars,
+ sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else text end) as output_sha256, sha256(text) as restored_sha256 from c
 """,
 }
