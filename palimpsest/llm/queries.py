@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import embdedup, fim, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
+from palimpsest.llm import embdedup, fim, kmeans, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
 
 
 def _vocabulary(name: str) -> str:
@@ -63,6 +63,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.with_inertia(*kmeans.cluster(_read(spark, sf_dir, "embeddings")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fim.restore(F.col("output"), F.col("form"))
@@ -74,13 +78,36 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_conversations(_read(spark, sf_dir, "conversations"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, op13_fill_in_middle, pack_conversations)}
+QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, op12_dual_tree_lloyd, op13_fill_in_middle, pack_conversations)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 # Rows that take part in comparisons of vectors.
 _USABLE = """vec_id is not null and embedding is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain Lloyd, a round a table: every vector against every centroid."""
+    near = "arg_min(j, {{'d': list_inner_product(z, z), 'j': j}})"
+    pairs = "(select id, n, v, j, [p[1] - p[2] for p in list_zip(v, c)] as z from v, c{r})"
+    out = """with w as (select vec_id, [floor(1024 * x::double) for x in embedding] as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+v as materialized (select *, vec_id as id, row_number() over () as n from w),
+c0 as materialized (select row_number() over (order by sha256('3:' || id), v) - 1 as j, v as c from v where id is not null order by 1 limit 8)"""
+    for r in range(rounds):
+        out += f""",
+a{r} as materialized (select n, any_value(v) as v, {near.format()} as j from {pairs.format(r=r)} group by n),
+s{r} as (select j, i, sum(x)::bigint as s, count(*) as m from (select j, unnest(v)::bigint as x, generate_subscripts(v, 1) as i from a{r}) group by j, i),
+c{r + 1} as materialized (select j, coalesce(m.c, c{r}.c) as c from c{r} left join (select j, list((s - ((s % m) + m) % m)::double / m order by i) as c from s{r} group by j) m using (j))"""
+    last = f""",
+f as materialized (select any_value(id) as vec_id, {near.format()} as cluster, min(list_inner_product(z, z))::bigint as distance from {pairs.format(r=rounds)} group by n)
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+ sha256(array_to_string([x::bigint for x in c], ',')) as centroid_sha256 from f join c{rounds} on j = cluster"""
+    return out + last
+
+
 SQL = {
+    "op12_dual_tree_lloyd": _lloyd(10),
     "op1_vptree_search": f"""
 with u as (select vec_id, embedding::double[] as v from embeddings where {_USABLE}),
 p as (select q.vec_id as query_id, u.vec_id, list_inner_product(q.v, u.v) as score from u q join u on q.vec_id <> u.vec_id and len(q.v) = len(u.v) where q.vec_id % 20 = 0)
