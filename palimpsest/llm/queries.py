@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import embdedup, fim, kmeans, linededup, mixing, ngramjoin, packing, quality, sharding, suffix, tokens, vptree
+from palimpsest.llm import embdedup, fim, kmeans, linededup, mixing, ngramjoin, packing, quality, repeats, sharding, suffix, tokens, vptree
 
 
 def _vocabulary(name: str) -> str:
@@ -63,6 +63,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeated_windows(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.with_inertia(*kmeans.cluster(_read(spark, sf_dir, "embeddings")))
 
@@ -78,7 +83,7 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_conversations(_read(spark, sf_dir, "conversations"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, op12_dual_tree_lloyd, op13_fill_in_middle, pack_conversations)}
+QUERIES = {f.__name__: f for f in (op1_vptree_search, op2_token_counts, op3_packing, op4_sharding, op5_line_dedup, op6_embedding_dedup, op7_ngram_join, op8_mixing, op9_quality, op10_suffix_dedup, op11_fm_dedup, op12_dual_tree_lloyd, op13_fill_in_middle, pack_conversations)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 # Rows that take part in comparisons of vectors.
@@ -107,6 +112,15 @@ select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition
 
 
 SQL = {
+    "op11_fm_dedup": r"""
+with d as (select doc_id, row_number() over () as k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select k, i, array_to_string(w[i:i + 34], ' ') as t from (select k, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+x as (select k, i from s join (select t from s group by t having count(*) > 1) using (t)),
+g as (select k, unnest(range(i, i + 35)) as i from x), r as (select k, list(distinct i) as gone from g group by k),
+z as (select doc_id, w, coalesce(gone, []) as gone, len(w) as n from d left join r using (k)),
+p as (select doc_id, n, len(gone) as m, list_filter(w, lambda x, i: not list_contains(gone, i)) as kept from z)
+select doc_id, n::bigint as n_words, m::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from p
+""",
     "op12_dual_tree_lloyd": _lloyd(10),
     "op1_vptree_search": f"""
 with u as (select vec_id, embedding::double[] as v from embeddings where {_USABLE}),
