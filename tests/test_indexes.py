@@ -99,3 +99,71 @@ def test_segments_commit_once(spark, tmp_path):
     a.write(spark.range(5), "t", a.next())
     a.commit(a.next(), base=True)
     assert [r.seq for r in a.read("t", "id long").collect()] == [2] * 5
+
+
+TEXT = "workspace_name string, observer string, observed string, id string, content_analyzed string, expires_at timestamp, deleted_at timestamp, level string"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        n = int(rng.choice([0, 1, 5, 20, 80]))
+        words = " ".join(f"t{int(x)}" for x in np.minimum(rng.zipf(1.4, n), 400))
+        rows.append(("w", "big" if i % 10 else "small", "b", f"f{i}", words if i % 97 else None, None, None, "x" if i % 3 else "y"))
+    df = spark.createDataFrame(rows, TEXT).withColumn("expires_at", F.when(F.col("id").endswith("7"), F.expr("timestamp '2025-12-31 00:00:00'"))).repartition(4).cache()
+    asked = [(i, "w", "big" if i % 3 else "small", "b", [f"t{int(x)}" for x in np.minimum(rng.zipf(1.3, 1 + i % 6), 450)]) for i in range(25)]
+    return df, spark.createDataFrame(asked, "qid int, workspace_name string, observer string, observed string, query_tokens array<string>").cache()
+
+
+def words(df):
+    return sorted((r.qid, r.id, round(r.kw_raw, 9)) for r in df.collect())
+
+
+def as_rebuilt(spark, index, facts, asked):
+    """The index against recall's operators over the facts that should count."""
+    now = F.expr("timestamp '1970-01-01 00:00:00'")
+    assert words(index.search(asked, 5)) == words(recall.keyword(asked, facts, now, 5))
+    assert words(index.scores(asked)) == words(recall.keyword_scores(asked, facts, now))
+    key = lambda d: sorted((r.observer, r.n_docs, None if r.mean_length is None else round(r.mean_length, 9)) for r in d.collect())
+    assert key(index.sizes()) == key(recall.corpus_stats(facts, now))
+
+
+def test_text_index_through_writes(spark, texts, tmp_path):
+    from palimpsest.operators.text_index import TextIndex
+
+    facts, asked = texts
+    index = TextIndex(spark, str(tmp_path / "t"), cells=16, band_rows=20).build(facts.where("pmod(xxhash64(id), 3) > 0"))
+    index.insert(facts.where("pmod(xxhash64(id), 3) = 0"))
+    index.expire(F.expr(NOW_SQL))
+    live = facts.where(f"expires_at is null or expires_at > {NOW_SQL}")
+    as_rebuilt(spark, index, live, asked)
+    taken = live.where("pmod(xxhash64(id), 7) = 1")
+    index.delete(taken)
+    index.delete(taken)  # once more changes nothing
+    changed = live.where("pmod(xxhash64(id), 5) = 1").withColumn("content_analyzed", F.concat_ws(" ", F.lit("t1 t1 t3"), "content_analyzed"))
+    index.insert(changed)  # of facts that are there, and of some that were taken out
+    after = live.join(taken.select("id"), "id", "left_anti").join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    as_rebuilt(spark, index, after, asked)
+    index.compact()
+    assert len(index.store.commits()) == 1
+    as_rebuilt(spark, index, after, asked)
+
+
+def test_text_search_skips_blocks(spark, texts, tmp_path):
+    from palimpsest.operators.text_index import TextIndex
+
+    facts, asked = texts
+    index = TextIndex(spark, str(tmp_path / "t"), cells=16, band_rows=20).build(facts)
+    where = F.col("level") == "y"
+    now = F.expr("timestamp '1970-01-01 00:00:00'")
+    assert words(index.search(asked, 3, where, facts)) == words(recall.keyword(asked, facts, now, 3, where))
+    weights = index._weights(asked)
+    bounds = index.bounds(weights)
+    least = index.search(asked, 3).groupBy("qid").agg(F.min("kw_raw").alias("_least"), F.count("*").alias("n")).where("n = 3").drop("n")
+    assert index.open_bands(bounds, least).count() < bounds.count() / 2
+    top = index.scores(asked).join(index._weights(asked).select("qid").distinct(), "qid")
+    assert top.groupBy("qid").agg(F.max("kw_raw").alias("m")).join(bounds.groupBy("qid").agg(F.max("bound").alias("b")), "qid").where("m > b * (1 + 1e-9)").count() == 0
+    one = index._blocks(index._weights(asked.where("qid = 1")))
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString().replace("isnotnull(cell", "cell")
