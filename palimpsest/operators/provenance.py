@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.tables import live_facts
+from palimpsest.sources.segments import new_folder, staged
 
 DEPTH = 4
 
@@ -15,35 +16,44 @@ def premise_edges(facts: DataFrame) -> DataFrame:
     return facts.select("workspace_name", "id", F.explode("source_ids").alias("premise")).where("premise is not null").distinct()
 
 
-def premises(roots: DataFrame, facts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def premise_table(facts: DataFrame) -> DataFrame:
+    """What walks need of facts, without texts and vectors, written once: each step reads this narrow table."""
+    columns = ["workspace_name", "id", "source_ids", *[c for c in ("message_ids", "expires_at") if c in facts.columns]]
+    return staged(facts.select(*columns, "deleted_at"))
+
+
+def premises(roots: DataFrame, facts: DataFrame, depth: int = DEPTH, table: DataFrame | None = None) -> DataFrame:
     """(workspace_name, root, premise, depth): undeleted facts below each root, at their least depth, at most `depth` steps away.
 
     Each step is one join of the frontier with the edges; what a root has seen (itself too) is not visited again, so
-    cycles end. A deleted premise is not shown, and nothing below it is reached through it.
+    cycles end. A deleted premise is not shown, and nothing below it is reached through it. Every frontier is written
+    before the next step reads it, so that a step's plan does not hold the steps before, and a walk ends when nothing
+    is left to visit. table: premise_table(facts), if there is one already.
     """
-    alive = facts.where("deleted_at is null").select("workspace_name", "id", "source_ids")
-    edges = premise_edges(alive)
-    frontier = roots.select("workspace_name", F.col("id").alias("root")).distinct().withColumn("at", F.col("root"))
-    edges_all = premise_edges(facts)  # a root itself may be deleted
-    seen = frontier
-    out = None
+    known = premise_table(facts) if table is None else table
+    edges = known.select("workspace_name", F.col("id").alias("at"), F.explode("source_ids").alias("to")).where("to is not null").distinct()
+    alive = known.where("deleted_at is null").select("workspace_name", F.col("id").alias("to"), F.lit(True).alias("alive"))
+    edges = staged(edges.join(alive, ["workspace_name", "to"], "left").select("workspace_name", "at", "to", F.coalesce("alive", F.lit(False)).alias("alive")))
+    path = new_folder(facts.sparkSession, "walk")
+    start = roots.select("workspace_name", F.col("id").alias("root")).distinct()
+    seen = staged(start.select("workspace_name", "root", F.col("root").alias("at"), F.lit(0).alias("depth"), F.lit(True).alias("alive")), path)
     for step in range(1, depth + 1):
-        e = edges_all if step == 1 else edges
-        nxt = frontier.join(e.withColumnRenamed("id", "at"), ["workspace_name", "at"]).select("workspace_name", "root", F.col("premise").alias("at")).distinct()
-        nxt = nxt.join(seen, ["workspace_name", "root", "at"], "left_anti")
-        found = nxt.join(alive.select("workspace_name", F.col("id").alias("at")), ["workspace_name", "at"], "left_semi")
-        level = found.select("workspace_name", "root", F.col("at").alias("premise"), F.lit(step).alias("depth"))
-        out = level if out is None else out.unionByName(level)
-        seen = seen.unionByName(nxt)
-        frontier = found
-    return out
+        # a root itself may be deleted; other deleted facts have been seen, but lead nowhere
+        frontier = seen.where(f"depth = {step - 1} and alive")
+        found = frontier.select("workspace_name", "root", "at").join(edges, ["workspace_name", "at"]).select("workspace_name", "root", F.col("to").alias("at"), "alive").distinct()
+        found = found.join(seen.select("workspace_name", "root", "at"), ["workspace_name", "root", "at"], "left_anti")
+        seen = staged(found.select("workspace_name", "root", "at", F.lit(step).alias("depth"), "alive"), path)  # seen was listed before it grows
+        if step < depth and seen.where(f"depth = {step} and alive").isEmpty():
+            break
+    return seen.where("depth > 0 and alive").select("workspace_name", "root", F.col("at").alias("premise"), "depth")
 
 
 def evidence(roots: DataFrame, facts: DataFrame, messages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(root, message columns): the messages of each root and of all its premises, each once."""
-    below = premises(roots, facts, depth).select("workspace_name", "root", F.col("premise").alias("id"))
+    table = premise_table(facts)
+    below = premises(roots, facts, depth, table).select("workspace_name", "root", F.col("premise").alias("id"))
     own = roots.select("workspace_name", F.col("id").alias("root")).distinct().withColumn("id", F.col("root"))
-    ids = below.unionByName(own).join(facts.select("workspace_name", "id", "message_ids"), ["workspace_name", "id"])
+    ids = below.unionByName(own).join(table.select("workspace_name", "id", "message_ids"), ["workspace_name", "id"])
     ids = ids.select("workspace_name", "root", F.explode("message_ids").alias("id")).distinct()
     return ids.join(messages, ["workspace_name", "id"])
 
@@ -61,10 +71,11 @@ def dependents(roots: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
 
 def reasoning_chain(roots: DataFrame, facts: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
     """One row a root: its premises, messages, unresolved ids and dependents, as sorted arrays."""
+    facts, roots = premise_table(facts), staged(roots.select("workspace_name", "id").distinct())
     ids = roots.select(F.col("id").alias("root")).distinct()
-    own = roots.select("workspace_name", F.col("id").alias("root")).distinct().withColumns({"premise": F.lit(None).cast("string"), "id": F.col("root")})
+    own = roots.select("workspace_name", F.col("id").alias("root")).withColumns({"premise": F.lit(None).cast("string"), "id": F.col("root")})
     # one walk gives the premises and, with the roots themselves, the facts whose messages count
-    walk = premises(roots, facts).select("workspace_name", "root", "premise", F.col("premise").alias("id")).unionByName(own)
+    walk = premises(roots, facts, table=facts).select("workspace_name", "root", "premise", F.col("premise").alias("id")).unionByName(own)
     rows = walk.join(facts.select("workspace_name", "id", F.explode_outer("message_ids").alias("_m")), ["workspace_name", "id"], "left")
     rows = rows.join(messages.select("workspace_name", F.col("id").alias("_m"), F.col("id").alias("_known")), ["workspace_name", "_m"], "left")
     chain = rows.groupBy("root").agg(F.array_sort(F.collect_set("premise")).alias("premises"), F.array_sort(F.collect_set("_known")).alias("messages"))

@@ -12,6 +12,7 @@ from palimpsest.operators import entities as ent
 from palimpsest.operators.tables import live_facts
 from palimpsest.schemas import PAIR
 from palimpsest.settings import RecallSettings
+from palimpsest.sources.segments import staged, staged_together
 
 
 SMALL_ROWS = 100_000
@@ -108,12 +109,31 @@ def document_frequency(queries: DataFrame, facts: DataFrame, now: Column) -> Dat
     return asked_terms(queries).join(df, [*PAIR, "term"], "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
+def counted(facts: DataFrame, now: Column, terms: DataFrame) -> DataFrame:
+    """(pair, id, length, term, tf) of live facts in the pairs of terms (qid, pair, term): a row for each term that is asked for, and one with term null for each fact.
+
+    The tokens of a fact lie in one task, where all that nobody asks for fall into the row without term.
+    """
+    pairs = small(terms.select(*PAIR).distinct())
+    rows = live_facts(facts, now).select(*PAIR, "id", "content_analyzed").join(pairs, list(PAIR), "left_semi")
+    rows = rows.select(*PAIR, "id", analyzed_tokens(F.col("content_analyzed")).alias("_t"))
+    rows = rows.select(*PAIR, "id", F.size("_t").alias("length"), F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    asked = small(terms.select(*PAIR, "term").distinct().withColumn("_a", F.lit(1)))
+    rows = rows.join(asked, [*PAIR, "term"], "left").select(*PAIR, "id", "length", F.when(F.col("_a") == 1, F.col("term")).alias("term"))
+    return rows.groupBy(*PAIR, "id", "length", "term").agg(F.count("*").alias("tf"))
+
+
 def keyword_scores(queries: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
-    """(qid, id, kw_raw): BM25 of every live fact of the pair that has a term of the query."""
-    terms = asked_terms(queries)
-    post = postings(facts, now, queries)
+    """(qid, id, kw_raw): BM25 of every live fact of the pair that has a term of the query.
+
+    The facts of the pairs are read and split into tokens once; statistics, document frequencies and scores then come
+    from the small table that is left.
+    """
+    terms = staged(asked_terms(queries))
+    rows = staged(counted(facts, now, terms))
+    post = rows.where("term is not null")
     df = post.groupBy(*PAIR, "term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(facts.join(small(asked_pairs(queries)), list(PAIR), "left_semi"), now)
+    stats = rows.where("term is null").groupBy(*PAIR).agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean_length"))
     hits = post.join(terms.join(df, [*PAIR, "term"]).join(stats, list(PAIR)), [*PAIR, "term"])
     part = signals.bm25_term(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.coalesce("mean_length", F.lit(0.0)))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("kw_raw"))
@@ -135,20 +155,23 @@ def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, links: Dat
     the k nearest by vector or the k best by BM25 (k = min(1000, limit * oversample)); each candidate gets both scores
     whichever path found it. Rows: qid, rank, id, sem, kw, ent, reinf, rec, lvl, score, matched_entities,
     candidates_considered. Missing signals are 0; ties go to smaller ids. The pair is an equality in every join.
-    Facts of other pairs are dropped before anything else is done with facts. vector_search finds the k nearest by vector:
-    semantic (exact), semantic_by_code or semantic_by_size.
+    Facts of other pairs are dropped before anything else is done with facts. Keyword scores, candidates and boosts are
+    tables of a few rows a question, each computed once and written. vector_search finds the k nearest by vector:
+    semantic (exact), semantic_by_code, semantic_by_size, or a kept index's searcher().
     """
     k = settings.candidates(limit)
+    queries = staged(queries)
     facts = facts.join(small(asked_pairs(queries)), list(PAIR), "left_semi")
-    kw_all = keyword_scores(queries, facts, now)
-    near = vector_search(queries, facts, now, k, where)
+    kw_all, near, boost = staged_together(
+        lambda: keyword_scores(queries, facts, now), lambda: vector_search(queries, facts, now, k, where).select("qid", "id"),
+        lambda: ent.boosts(ent.match_entities(queries, entities, links, facts, settings.entity_top_k), links, settings.entity_cut),
+    )
     allowed = kw_all if where is None else kw_all.join(facts.where(where).select("id"), "id", "left_semi")
     best = allowed.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("kw_raw"), "id"))).where(F.col("_rn") <= k)
-    ids = near.select("qid", "id").union(best.select("qid", "id")).distinct()
+    ids = staged(near.select("qid", "id").union(best.select("qid", "id")).distinct())
     rows = ids.join(queries.select("qid", *PAIR, "query_vector", F.size("query_tokens").alias("n_terms")), "qid")
     columns = ["content", "level", "times_derived", "last_reinforced_at", "embedding"]
     rows = rows.join(live_facts(facts, now).select(*PAIR, "id", *columns), [*PAIR, "id"]).join(kw_all, ["qid", "id"], "left")
-    boost = ent.boosts(ent.match_entities(queries, entities, links, facts, settings.entity_top_k), links, settings.entity_cut)
     rows = rows.join(boost.withColumnRenamed("conclusion_id", "id"), ["qid", "id"], "left")
     sem = F.coalesce(similarity(cosine_distance(F.col("embedding"), F.col("query_vector"))), F.lit(0.0))
     rows = rows.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,12 @@ def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_together(*plans: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Tables that do not depend on each other, each made and staged in a thread of its own, so that the jobs share the executors."""
+    with ThreadPoolExecutor(len(plans)) as pool:
+        return [made.result() for made in [pool.submit(lambda p=p: staged(p())) for p in plans]]
+
+
 class Segments:
     """Tables under one folder that grow by numbered segments, each visible, whole, once it is committed.
 
