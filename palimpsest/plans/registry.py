@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import signals, text, vectors
 from palimpsest.operators import dedup, entities, evaluate, filters, provenance, recall, search, sessions, tables, work
+from palimpsest.operators.text_index import TextIndex
+from palimpsest.operators.vector_index import VectorIndex
 from palimpsest.plans.views import CTE, NOW, QUEUE_NOW, Views, now, with_views
 from palimpsest.settings import workspace_settings
+from palimpsest.sources.segments import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,6 +282,39 @@ def knn_by_code(v: Views) -> DataFrame:
     return recall.semantic_by_code(v.queries(), v.facts(), now(), 10).select("qid", "id", r("sem").alias("sem"))
 
 
+def _flat_queries(v: Views) -> DataFrame:
+    return v.queries().withColumn("observer", F.lit("all"))
+
+
+_FLAT_KNN = f"""{with_views('facts', 'live', 'queries')}, d as (select qid, id, {COS} as sim from queries join live using (observed) where embedding is not null and MORE)
+ select qid, id, round(greatest(0, least(1, sim)), 6) as sem from (select *, row_number() over (partition by qid order by 1 - sim, id) as rn from d) where rn <= 10"""
+
+
+@query(_FLAT_KNN.replace("MORE", "true"))
+def knn_indexed(v: Views) -> DataFrame:
+    """Through an index of lists that is built here, all lists probed."""
+    index = VectorIndex(v.spark, new_folder(v.spark, "vectors"), cells=16).build(v.flat_facts(), exact_below=50)
+    return index.search(_flat_queries(v), now(), 10, nprobe=None).select("qid", "id", r("sem").alias("sem"))
+
+
+@query()
+def knn_probed(v: Views) -> DataFrame:
+    """The nearest half of the lists; a test measures the recall."""
+    index = VectorIndex(v.spark, new_folder(v.spark, "vectors"), cells=16).build(v.flat_facts(), exact_below=50)
+    lists = index.centroids().groupBy("observed").count().agg(F.max("count")).first()[0] or 1
+    return index.search(_flat_queries(v), now(), 10, nprobe=-(-lists // 2)).select("qid", "id", r("sem").alias("sem"))
+
+
+@query(_FLAT_KNN.replace("MORE", "doc_id % 7 <> 3"))
+def knn_indexed_writes(v: Views) -> DataFrame:
+    """The same after later insertions and deletions, which the index takes up without being built anew."""
+    facts = v.flat_facts()
+    index = VectorIndex(v.spark, new_folder(v.spark, "vectors"), cells=16).build(facts.where("doc_id % 3 > 0"), exact_below=50)
+    index.insert(facts.where("doc_id % 3 = 0"))
+    index.delete(facts.where("doc_id % 7 = 3"))
+    return index.search(_flat_queries(v), now(), 10, nprobe=None).select("qid", "id", r("sem").alias("sem"))
+
+
 @query(f"""{with_views('facts', 'live', 'queries')}, d as (select qid, id, case when doc_id % 5 = 0 then 1.0 else 1 - {COS} end as d from queries join live using (observer, observed) where embedding is not null)
  select qid, id, round(greatest(0, least(1, 1 - d)), 6) as sem from (select *, row_number() over (partition by qid order by d, id) as rn from d) where rn <= 10""")
 def knn_zero_vectors(v: Views) -> DataFrame:
@@ -327,6 +363,25 @@ def keyword_topk(v: Views) -> DataFrame:
     return recall.keyword(v.queries(), v.facts(), now(), 5).select("qid", "id", r("kw_raw", 5).alias("kw_raw"))
 
 
+@query(f"{_KW} select qid, id, round(kw_raw, 5) as kw_raw from (select *, row_number() over (partition by qid order by kw_raw desc, id) as rn from kw) where rn <= 5")
+def keyword_indexed(v: Views) -> DataFrame:
+    """Through posting blocks that are built here."""
+    index = TextIndex(v.spark, new_folder(v.spark, "texts"), cells=16).build(v.facts())
+    index.expire(now())
+    return index.search(v.queries(), 5).select("qid", "id", r("kw_raw", 5).alias("kw_raw"))
+
+
+@query(f"{_KW.replace('from live', 'from live where doc_id % 7 <> 3')} select qid, id, round(kw_raw, 5) as kw_raw from (select *, row_number() over (partition by qid order by kw_raw desc, id) as rn from kw) where rn <= 5")
+def keyword_indexed_writes(v: Views) -> DataFrame:
+    """The same after insertions, deletions and expiry, with statistics as of the facts that are left."""
+    facts = v.facts()
+    index = TextIndex(v.spark, new_folder(v.spark, "texts"), cells=16).build(facts.where("doc_id % 3 > 0"))
+    index.insert(facts.where("doc_id % 3 = 0"))
+    index.delete(facts.where("doc_id % 7 = 3"))
+    index.expire(now())
+    return index.search(v.queries(), 5).select("qid", "id", r("kw_raw", 5).alias("kw_raw"))
+
+
 _CURVE = "case when {x} <= 0 then 0 else 1 / (1 + exp(-(case when {n} <= 3 then 0.7 when {n} <= 6 then 0.6 else 0.5 end) * ({x} - (case when {n} <= 3 then 5 when {n} <= 6 then 7 when {n} <= 9 then 9 when {n} <= 15 then 10 else 12 end)))) end"
 
 

@@ -95,3 +95,11 @@ class Segments:
                 part = self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{folder}").withColumn("seq", F.lit(seq))
                 out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], schema).withColumn("seq", F.lit(0)) if out is None else out
+
+    def last(self, table: str, schema: str) -> DataFrame:
+        """What the last committed segment that holds the table has of it: for tables that are written whole."""
+        for _, folder in reversed(self.commits()):
+            fs, p = self._at(f"{table}/{folder}")
+            if fs.exists(p):
+                return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{folder}")
+        return self.spark.createDataFrame([], schema)
