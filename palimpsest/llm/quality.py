@@ -160,7 +160,8 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, sample_bytes: int = 48 << 20, label_col: str = "quality") -> Model:
     """Train on whole texts of at most `sample` labelled documents outside the held-out fold, in order of a hash of doc_id,
-    as many as hold sample_bytes bytes together; that is all the driver gets.
+    as many as hold sample_bytes bytes together: a text for which no room is left is passed over, and the next one
+    tried. That is all the driver gets. An error tells when there are labelled texts and none of them fits.
 
     Null ids, labels and texts are no examples; of a doc_id labelled twice the larger label counts, and of one with
     several texts the least. Without examples the network stays as initialised (one fixed seed).
@@ -171,13 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12000, sample_bytes: i
     with Staging() as stage:
         texts = stage(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")).withColumn("o", F.xxhash64("doc_id")))
         sizes = sorted((r.o, str(r.doc_id), r.n) for r in texts.select("o", "doc_id", F.octet_length("text").alias("n")).collect())
-        total, last = 0, None
-        for o, _, n in sizes:
-            total += n
-            if total > sample_bytes:
-                break
-            last = o
-        rows = texts.where(F.col("o") <= last).select(F.col("doc_id").cast("string").alias("d"), "text", "y").toArrow().to_pylist() if last is not None else []
+        fit_in, left = [], sample_bytes
+        for _, d, n in sizes:
+            if n <= left:
+                fit_in.append((d,))
+                left -= n
+        if sizes and not fit_in:
+            raise ValueError(f"none of {len(sizes)} labelled texts fits into sample_bytes={sample_bytes}; the shortest has {min(n for *_, n in sizes)} bytes")
+        named = texts.withColumn("d", F.col("doc_id").cast("string"))
+        rows = named.join(F.broadcast(texts.sparkSession.createDataFrame(fit_in, "d string")), "d", "left_semi").select("d", "text", "y").toArrow().to_pylist() if fit_in else []
     rows.sort(key=lambda r: (zlib.crc32(r["d"].encode()), r["d"]))
     return train([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32))
 
