@@ -167,3 +167,14 @@ def test_text_search_skips_blocks(spark, texts, tmp_path):
     assert top.groupBy("qid").agg(F.max("kw_raw").alias("m")).join(bounds.groupBy("qid").agg(F.max("bound").alias("b")), "qid").where("m > b * (1 + 1e-9)").count() == 0
     one = index._blocks(index._weights(asked.where("qid = 1")))
     assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString().replace("isnotnull(cell", "cell")
+
+
+def test_probed_query(spark):
+    """Half of the lists, of vectors in random directions: fewer than of real ones, but most neighbours are found."""
+    from palimpsest.plans import registry
+    from tests.conftest import SMALL
+
+    want = {(r.qid, r.id) for r in registry.QUERIES["knn_indexed"](spark, SMALL).collect()}
+    got = {(r.qid, r.id) for r in registry.QUERIES["knn_probed"](spark, SMALL).collect()}
+    share = len(want & got) / len(want)
+    assert share >= 0.7, share
