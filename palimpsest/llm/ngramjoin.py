@@ -210,7 +210,7 @@ def verified(stage: Staging, pairs: DataFrame, texts: DataFrame, percent: int) -
         return stage(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long"), {ARROW_ROWS: "1000"})
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int = 40, range_most: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, most: int = 40, range_most: int = 2_000_000, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id; and text_hash, keeper.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles;
@@ -220,7 +220,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
     components: pairs from different ones whose bit sketches allow a link are compared, all of them if they are few, else
     each document with its nearest one; a key that had many comes again with the components known then. What is still dense
     after ROUNDS rounds is compared, sets against sets, within the key's task, and only connecting links leave it. Keys
-    with more than `block` documents are dealt into pairs of blocks. So every pair with a common key is connected or
+    with more than `block` documents, and dense ones with sets of more than block_bytes, are dealt into pairs of blocks. So every pair with a common key is connected or
     compared, and no step emits more than a few rows for each document of a key. All this is done twice: with the first
     `most` cells of each band as keys, which connect nearly all that links, and then with all other cells that the
     pigeonhole bound asks for. The latter are packed; only those that hold several components by then become rows,
@@ -244,11 +244,11 @@ def similar_documents(docs: DataFrame, percent: int = 75, block: int = 4096, mos
             keyed = first(light.join(shared, "key"))
             sized = stage(whole.select("rep", "n", "bits"))
             known = first.keep(star_links(keyed, sized, texts, percent))
-            comp = settle_keys(keyed.select("key", "rep"), known, sized, texts, percent, block)
+            comp = settle_keys(keyed.select("key", "rep"), known, sized, texts, percent, block, block_bytes)
         comp = stage.keep(comp)
         with Staging() as second:
             left = mixed_keys(second, base.select(F.col("node").alias("rep"), "more", "m"), sized.select("rep").join(comp, "rep", "left"), range_most)
-            comp = settle_keys(left, comp, sized, texts, percent, block)
+            comp = settle_keys(left, comp, sized, texts, percent, block, block_bytes)
         comp = stage.keep(comp)
         member = classes.join(comp, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("c"))
         found = real.select("node", "doc_id", "v", "n", "d1", "d2").join(member, ["n", "d1", "d2"]).select("doc_id", "v", "n", "c", (F.col("node") == F.col("c")).alias("keeper"))
@@ -282,7 +282,7 @@ def star_links(keyed: DataFrame, sized: DataFrame, texts: DataFrame, percent: in
         return Stage(connected_components(links, stage).select(F.col("node").alias("rep"), "component"))
 
 
-def settle_keys(left: DataFrame, known: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int) -> Stage:
+def settle_keys(left: DataFrame, known: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, block: int, block_bytes: int) -> Stage:
     """(rep, component) with the links between documents that share a key (key, rep) added to those known; see similar_documents."""
     with Staging() as stage:
         last = False
@@ -298,8 +298,9 @@ def settle_keys(left: DataFrame, known: DataFrame, sized: DataFrame, texts: Data
             if not last:
                 found = verified(stage, stage(asked.select(*pair).distinct()), texts, percent)
             else:
-                many = asked.where("dense").select("key", "_i", "_j", "_side", "rep", "comp")
-                full = many.join(stage(set_table(many.select("rep").distinct(), texts)), "rep")
+                many = stage(asked.where("dense").select("key", "rep", "comp").distinct())
+                sets = stage(set_table(many.select("rep").distinct(), texts))
+                full = in_blocks(many, "key", heavy_keys(many.join(sized.select("rep", "n"), "rep"), block, block_bytes), block).join(sets, "rep")
                 found = verified(stage, stage(asked.where("not dense").select(*pair).distinct()), texts, percent)
                 found = found.union(stage(per_group(full, "key", ["rep", "comp", "h"], _link(percent), "a long, b long").distinct()))
             news = not found.isEmpty()
@@ -312,6 +313,14 @@ def settle_keys(left: DataFrame, known: DataFrame, sized: DataFrame, texts: Data
         return Stage(known)
 
 
+def heavy_keys(rows: DataFrame, block: int, block_bytes: int) -> DataFrame | None:
+    """(key, _n) of keys (key, n of each set) with more than `block` sets or block_bytes of them, or None: _n as if all
+    blocks were full, so that in_blocks makes none that holds more, but for the spread of a hash. A key's sets are of one size band."""
+    blocks = F.greatest(F.count("*") / block, F.sum(8 * F.col("n")) / block_bytes)
+    heavy = Stage(rows.groupBy("key").agg(F.ceil(blocks * block).alias("_n")).where(F.col("_n") > block)).df()
+    return None if heavy.isEmpty() else heavy
+
+
 WIRE = Wire(np.uint32, np.int64, np.int64)  # key in its range, document, component
 
 
@@ -379,20 +388,21 @@ def _key_rows(batches):
             yield from pa.table(list(_unpack_keys(r, [d])), names=["key", "rep", "comp"]).to_batches(20_000)
 
 
-def key_ranges(keys: int, tasks: int, each: int = 250_000) -> int:
-    """Ranges to deal that many packed keys into, some `each` keys a range: a task makes one packed row a range, so that
-    ranges that followed the number of tasks alone would make rows with its square, of a few keys each."""
-    return max(1, min(8 * tasks, -(-keys // each)))
+def key_ranges(keys: int, each: int = 250_000, most: int = 1 << 14) -> int:
+    """Ranges to deal that many packed keys into, some `each` keys a range, whatever the number of tasks: a task makes one
+    packed row a range for each million of its keys, so that `most` ranges still leave 64 keys a row. Only above
+    2 * 10^10 keys do ranges outgrow what one task judges; joins judge them then."""
+    return max(1, min(most, -(-keys // each)))
 
 
 def mixed_keys(stage: Staging, packed: DataFrame, comp: DataFrame, most: int) -> DataFrame:
     """(key, rep) of the packed keys (rep, more, and their number m) that several components (rep, component; null: its own) share."""
     n = partitions(packed.sparkSession)
-    ranges = key_ranges(packed.agg(F.sum("m")).first()[0] or 0, n)
+    ranges = key_ranges(packed.agg(F.sum("m")).first()[0] or 0)
     held = packed.where("m > 0").join(comp, "rep").select("rep", F.coalesce("component", "rep").alias("comp"), "more")
     with Staging() as inner:
         dealt = inner(held.mapInArrow(_pack_keys(ranges), "range int, n long, data binary"), {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
-        hot = [r[0] for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges at most
+        hot = [r[0] for r in dealt.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 16,384 ranges at most
         rows = dealt.select("range", "data")
         out = stage(rows.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_judge_keys, "key long, rep long"), SMALL)
         if hot:

@@ -189,8 +189,48 @@ def test_repeated_ids_in_suffix_dedup(write, range_most):
 
 
 def test_ranges_of_packed_keys():
-    """Ranges follow the keys, so that many tasks of few keys make few rows; and no keys still have a range."""
-    assert [ngramjoin.key_ranges(k, t) for k, t in ((0, 8), (1, 8), (250_001, 8), (5_000_000, 12), (5_000_000, 211), (10**9, 8))] == [1, 1, 2, 20, 20, 64]
+    """Ranges follow the keys and not the tasks, and none is hot up to 2 * 10^10 keys; no keys still have a range."""
+    assert [ngramjoin.key_ranges(k) for k in (0, 1, 250_001, 5_000_000, 10**9, 10**12)] == [1, 1, 2, 20, 4000, 1 << 14]
+    key = np.random.default_rng(5).integers(0, 1 << 63, 10**7, np.uint64) * np.uint64(2)
+    sizes = np.bincount(grouped.Wire.place(key, ngramjoin.key_ranges(len(key)))[0])
+    assert len(sizes) == 40 and sizes.max() < 300_000
+
+
+def test_blocks_of_heavy_keys(spark):
+    """Blocks of a dense key are bounded by the bytes of their sets, and each two sets of a key still meet once."""
+    rows = [(k, r, r, 2000 + 7 * (r % 300)) for k, size in ((1, 400), (2, 30), (3, 5)) for r in range(size)]
+    many = spark.createDataFrame(rows, "key long, rep long, comp long, n long")
+    heavy = ngramjoin.heavy_keys(many, 4096, 1 << 20)
+    assert {r.key for r in heavy.collect()} == {1}
+    met, held = set(), {}
+    for r in grouped.in_blocks(many, "key", heavy, 4096).collect():
+        held.setdefault((r.key, r._i, r._j), []).append(r)
+    for (k, i, j), g in held.items():
+        assert sum(8 * r.n for r in g) < 3 << 20
+        pairs = {(k, min(a.rep, b.rep), max(a.rep, b.rep)) for a in g for b in g if a.rep != b.rep and (i == j or a._side != b._side)}
+        assert not pairs & met
+        met |= pairs
+    assert len(met) == sum(n * (n - 1) // 2 for n in (400, 30, 5))
+    assert ngramjoin.heavy_keys(many, 4096, 1 << 30) is None
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 3000])
+def test_dense_keys_in_blocks(write, monkeypatch, block_bytes):
+    """Groups of near copies settled set against set at once, in one block or in many, as all pairs by brute force."""
+    monkeypatch.setattr(ngramjoin, "ROUNDS", 0)
+    rng = random.Random(37)
+    rows = []
+    for g in range(3):
+        base = words(rng, 120).split()
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(120)] = f"y{rng.randrange(60)}"
+            rows.append((100 * i + g, " ".join(w)))
+    comp = components({(d, 0): shingles(t) for d, t in rows})
+    want = sorted((d, len(shingles(t)), comp[(d, 0)][0]) for d, t in rows)
+    out = ngramjoin.similar_documents(write(rows, DOC), block_bytes=block_bytes).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
 
 
 @pytest.mark.parametrize("most,range_most", [(40, 2_000_000), (0, 2_000_000), (0, 1)])
