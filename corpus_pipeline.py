@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import linededup, mixing, ngramjoin, packing, quality
-from palimpsest.llm.common import Stage, packed, unpacked
+from palimpsest.llm.common import Stage, distributed_rank, packed, unpacked
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = ngramjoin.similar_documents(docs).where("keeper and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_v")).distinct()
     rows = packed(docs, "doc_id", "text").withColumn("_v", F.xxhash64("text"))
     wordless = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    same = Window.partitionBy("doc_id", "_v").orderBy("doc_id")
-    one = rows.where(~wordless).join(kept, (F.col("doc_id") == F.col("_id")) & (rows["_v"] == kept["_v"])).drop("_id").drop(kept["_v"])
-    one = one.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
+    one = rows.where(~wordless).dropDuplicates(["doc_id", "_v"])  # equal rows meet in part before they are shuffled
+    one = one.join(kept.withColumnRenamed("_v", "_w"), (F.col("doc_id") == F.col("_id")) & (F.col("_v") == F.col("_w"))).drop("_id", "_w")
     return one.union(rows.where(wordless)).select(*unpacked(docs.columns, "doc_id", "text"))
 
 
@@ -53,11 +52,18 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = packed(docs, "doc_id", "text").withColumn("_v", F.xxhash64("text"))
     taken = mixing.mix_documents(rows.select("doc_id", "text", "_v", F.col("rest.source").alias("source")), keep=["_v"])
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_keep__v").alias("_w")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_w")))
-    i = F.row_number().over(Window.partitionBy("doc_id", "_v").orderBy("doc_id"))
+    taken = Stage(taken.groupBy(F.col("doc_id").alias("_id"), F.col("_keep__v").alias("_w")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")).df()
+
+    def with_copies(t: DataFrame) -> DataFrame:
+        return rows.join(t, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_w")))
+
+    joined = with_copies(taken.where("_rows = 1")).withColumn("_i", F.lit(1).cast("long"))
+    more = taken.where("_rows > 1")
+    if not more.isEmpty():  # rows that repeat are numbered in ranges, so that no group of them sits in one task
+        same = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_v"))
+        joined = joined.union(distributed_rank(with_copies(more), same, [], "_i").withColumn("_i", F.col("_i") + 1))
     share = F.floor(F.col("_copies") * F.col("_i") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_i") - 1) / F.col("_rows"))
-    out = joined.withColumn("_i", i).withColumn("_n", share.cast("int")).where("_n > 0")
+    out = joined.withColumn("_n", share.cast("int")).where("_n > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*unpacked(docs.columns, "doc_id", "text"))
 
 
