@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.text import content_hash, normalize
 from palimpsest.functions.vectors import cosine_distance, norm
+from palimpsest.operators import near
 from palimpsest.operators.entities import unlink
 from palimpsest.operators.tables import live_facts
 from palimpsest.schemas import PAIR
+from palimpsest.sources.segments import staged
 
 NEAR_DISTANCE = 0.05
 
@@ -59,11 +61,18 @@ def exact_matches(drafts: DataFrame, facts: DataFrame, now: Column) -> DataFrame
 def near_matches(drafts: DataFrame, facts: DataFrame, now: Column, most: float = NEAR_DISTANCE) -> DataFrame:
     """Stage three for given drafts: draft_id, id, distance of the nearest live fact in scope, if at most `most` (inclusive).
 
-    Exact, so a draft meets every vector of its scope; both sides are plain exchanges on the scope, so that a large one
-    can be split, and only minima leave a task."""
-    d = drafts.withColumn("scope_session", scope_session()).where("embedding is not null").select("draft_id", *SCOPE, F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
-    f = live_facts(facts, now).withColumn("scope_session", scope_session()).where("embedding is not null").select(*SCOPE, "id", "embedding", norm(F.col("embedding")).alias("_n"))
-    d = d.join(f, SCOPE).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_q"), F.col("_n"), F.col("_qn")))
+    Exact, so a draft meets every vector of its scope, in blocks of matrices (near.nearest); equal vectors of a scope are
+    compared once. The pairs' best are computed here and written. A vector without a direction lies at distance 1 from all,
+    so that for `most` of 1 and more every pair is computed by itself."""
+    rows = lambda d, c: d.withColumn("scope_session", scope_session()).where("embedding is not null").select(*SCOPE, c, F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
+    d, f = rows(drafts, "draft_id"), rows(live_facts(facts, now), "id")
+    if most < 1:
+        d, f = (staged(x.where((F.col("n") > 0) & (F.col("n") < float("inf")))) for x in (d, f))
+        one = staged(d.groupBy(*SCOPE, "v").agg(F.min("draft_id").alias("lid"), F.min("n").alias("n")))
+        best = staged(near.nearest(one, f.groupBy(*SCOPE, "v").agg(F.min("id").alias("id"), F.min("n").alias("n")), SCOPE, most))
+        d = d.join(one.drop("n"), [*SCOPE, "v"]).join(best, [*SCOPE, "lid"])
+    else:
+        d = d.join(f.select(*SCOPE, "id", F.col("v").alias("_v"), F.col("n").alias("_n")), SCOPE).withColumn("distance", cosine_distance(F.col("_v"), F.col("v"), F.col("_n"), F.col("n")))
     best = d.groupBy("draft_id").agg(F.min(F.struct("distance", "id")).alias("m"))
     return best.select("draft_id", "m.id", "m.distance").where(F.col("distance") <= most)
 
@@ -150,8 +159,8 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
             hit, stage, sim, replace = held.same("content_hash", r["content_hash"]), 1, None, False
             if hit is None:
                 hit, stage = held.same("content_norm", r["content_norm"]), 2
-            if hit is None and not _missing(r["embedding"]) and (near := held.nearest(r["embedding"])) and near[0] <= most:
-                hit, stage, sim = near[1], 3, max(0.0, min(1.0, 1 - near[0]))
+            if hit is None and not _missing(r["embedding"]) and (found := held.nearest(r["embedding"])) and found[0] <= most:
+                hit, stage, sim = found[1], 3, max(0.0, min(1.0, 1 - found[0]))
                 replace = score(r["content_analyzed"]) >= score(hit["content_analyzed"])
             if hit is not None and not replace:
                 hit["times_derived"] += 1
