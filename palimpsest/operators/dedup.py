@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.text import content_hash, normalize
+from palimpsest.functions.text import content_hash, information_score, normalize
 from palimpsest.functions.vectors import cosine_distance, norm
 from palimpsest.operators import near
 from palimpsest.operators.entities import unlink
@@ -85,11 +85,45 @@ def _missing(x) -> bool:
 OUTCOME = ("draft_id", "kind", "stage", "id", "replaced_id", "similarity")
 
 
-def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: float = NEAR_DISTANCE, distinct_weight: int = 1) -> tuple[DataFrame, DataFrame]:
+PART_ROWS = 2000
+# What str.split takes as white space.
+_SPACE = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def _score(analyzed: Column, distinct_weight: int) -> Column:
+    return information_score(F.filter(F.split(F.coalesce(analyzed, F.lit("")), _SPACE), lambda t: t != ""), distinct_weight)
+
+
+def _in_parts(d: DataFrame, f: DataFrame, most: float, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """d and f with _part: rows of a scope that can touch each other, directly or over others, have one part.
+
+    Nodes are hashes of (scope, content_hash); a collision only puts more rows together."""
+    if not most < 1:  # a vector without a direction lies at distance 1 from all
+        return d.withColumn("_part", F.lit(0)), f.withColumn("_part", F.lit(0))
+    node = F.xxhash64(*SCOPE, F.lit("h"), "content_hash")
+    scope = F.xxhash64(*SCOPE).alias("scope")
+    rows = [x.select(F.lit(new).alias("new"), scope, node.alias("node"), F.xxhash64(*SCOPE, F.lit("n"), "content_norm").alias("text"), F.col("embedding").alias("v")) for x, new in ((d, True), (f, False))]
+    rows = staged(rows[0].union(rows[1]))
+    parts = max(1, -(-rows.count() // part_rows))
+    texts = rows.groupBy("text").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("text", "a")
+    pointed = rows.where(F.col("v").isNotNull() & near.directed(F.col("v")))
+    vectors = staged(pointed.groupBy("scope", "v").agg(F.min("node").alias("node"), F.max("node").alias("b"), F.max("new").alias("new")))
+    equal = pointed.join(vectors.where("node <> b").select("scope", "v", F.col("node").alias("a")), ["scope", "v"])
+    edges = rows.join(texts, "text").select("a", F.col("node").alias("b")).union(equal.select("a", F.col("node").alias("b")))
+    v = vectors.select("scope", "v", "node")
+    edges = staged(edges.union(near.linked(vectors.where("new").select("scope", "v", "node"), v, ["scope"], most)))
+    joined = near.components(edges).select(F.col("node").alias("_node"), "component")
+    joined = F.broadcast(joined) if joined.count() <= near.SMALL_SCOPES else joined
+    deal = lambda x: x.withColumn("_node", node).join(joined, "_node", "left").withColumn("_part", F.pmod(F.coalesce("component", "_node"), F.lit(parts)).cast("int")).drop("_node", "component")
+    return deal(d), deal(f)
+
+
+def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: float = NEAR_DISTANCE, distinct_weight: int = 1, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """All three stages for drafts in order of `position`, each seeing the earlier ones' effects: (outcomes, changed facts).
 
-    drafts: draft_id (becomes the id of an inserted fact), position, fact columns. Only scopes that drafts touch are read;
-    a scope is one cogroup, since its writes depend on each other in order. Outcomes: draft_id, kind (INSERTED, REINFORCED,
+    drafts: draft_id (becomes the id of an inserted fact), position, fact columns. Only scopes that drafts touch are read.
+    Writes depend on each other only where hash, text or a vector within `most` connects them, so a scope is dealt, whole
+    connected sets at a time, into cogroups of about PART_ROWS rows; what is connected is one task, as its order matters. Outcomes: draft_id, kind (INSERTED, REINFORCED,
     REPLACED), stage (0 for an insertion), id of the fact that now holds the content, replaced_id, similarity.
     changed facts: the rows of touched scopes as they are after the batch, with `changed` (insert, update, delete or none).
     A near-duplicate with at least the old one's information score replaces it, counting on; else the old one is reinforced.
@@ -100,48 +134,51 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
     cols = ["id", "content", "content_norm", "content_hash", "content_analyzed", "session_name", "times_derived", "last_reinforced_at", "created_at", "embedding"]
     d = drafts.withColumn("scope_session", scope_session()).withColumn("now", now).select(*SCOPE, "draft_id", "position", "now", *[c for c in cols if c not in ("id", "times_derived", "last_reinforced_at", "created_at")])
     f = live_facts(facts, now).withColumn("scope_session", scope_session()).select(*SCOPE, *cols).join(d.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    d, f = (x.withColumn("_score", _score(F.col("content_analyzed"), distinct_weight)) for x in _in_parts(d, f, most, part_rows))
     state = T.StructType.fromDDL(
-        "record string, workspace_name string, observer string, observed string, level string, scope_session string, id string, content string, content_norm string, content_hash string,"
-        " content_analyzed string, session_name string, times_derived int, last_reinforced_at timestamp, created_at timestamp, embedding array<float>, changed string,"
-        " draft_id string, kind string, stage int, replaced_id string, similarity double"
+        "workspace_name string, observer string, observed string, level string, scope_session string, id string, content string, content_norm string, content_hash string,"
+        " content_analyzed string, session_name string, times_derived int, last_reinforced_at timestamp, created_at timestamp, embedding array<float>, changed string"
     )
 
-    def score(analyzed) -> int:
-        t = (analyzed or "").split()
-        return len(t) + distinct_weight * len(set(t))
-
     class Scope:
         """Rows in order of creation, found by hash, by text and by vector."""
 
         def __init__(self):
-            self.rows, self.by, self.at, self.held, self.norms = [], {"content_hash": {}, "content_norm": {}}, [], None, None
+            self.rows, self.by, self.at, self.held, self.norms, self.gone = [], {"content_hash": {}, "content_norm": {}}, [], None, None, None
 
         def add(self, row: dict) -> None:
             for name, index in self.by.items():
                 index.setdefault(row[name], []).append(len(self.rows))
             v = row["embedding"]
-            if v is not None and len(v):
+            if v is not None and len(v) and np.isfinite(np.asarray(v, np.float64)).all():
                 n = len(self.at)
                 if self.held is None:
-                    self.held, self.norms = np.zeros((64, len(v))), np.zeros(64)
+                    self.held, self.norms, self.gone = np.zeros((64, len(v))), np.zeros(64), np.zeros(64, bool)
                 elif n == len(self.held):
                     self.held, self.norms = np.concatenate([self.held, np.zeros_like(self.held)]), np.concatenate([self.norms, np.zeros_like(self.norms)])
+                    self.gone = np.concatenate([self.gone, np.zeros_like(self.gone)])
                 self.held[n] = v
                 self.norms[n] = np.sqrt((self.held[n] ** 2).sum())
+                row["at"] = n
                 self.at.append(len(self.rows))
             self.rows.append(row)
 
+        def remove(self, row: dict) -> None:
+            row["alive"], row["changed"] = False, "delete"
+            if "at" in row:
+                self.gone[row["at"]] = True
+
         def same(self, name: str, value) -> dict | None:
             return next((self.rows[i] for i in self.by[name].get(value, ()) if self.rows[i]["alive"]), None)
 
         def nearest(self, v) -> tuple[float, dict] | None:
             """Distance 1 where a vector is zero; ties to the smaller id."""
-            if not self.at:
+            if not self.at or not np.isfinite(np.asarray(v, np.float64)).all():
                 return None
             n, q = len(self.at), np.asarray(v, np.float64)
             size = self.norms[:n] * np.sqrt((q * q).sum())
             far = 1 - np.divide(self.held[:n] @ q, size, out=np.zeros(n), where=size > 0)
-            far[[not self.rows[i]["alive"] for i in self.at]] = np.inf
+            far[self.gone[:n]] = np.inf
             low = far.min()
             if low == np.inf:
                 return None
@@ -151,7 +188,7 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
             d, _, i = min(exact)
             return d, self.rows[self.at[i]]
 
-    def fold(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    def write(new: pd.DataFrame, old: pd.DataFrame, cols: list[str]) -> tuple[list[dict], list[tuple]]:
         held, out = Scope(), []
         for r in old.sort_values(["created_at", "id"], na_position="last").to_dict("records"):
             held.add(r | {"changed": "none", "alive": True, "embedding": None if _missing(r["embedding"]) else r["embedding"]})
@@ -161,31 +198,41 @@ def upsert_in_order(drafts: DataFrame, facts: DataFrame, now: Column, most: floa
                 hit, stage = held.same("content_norm", r["content_norm"]), 2
             if hit is None and not _missing(r["embedding"]) and (found := held.nearest(r["embedding"])) and found[0] <= most:
                 hit, stage, sim = found[1], 3, max(0.0, min(1.0, 1 - found[0]))
-                replace = score(r["content_analyzed"]) >= score(hit["content_analyzed"])
+                replace = r["_score"] >= hit["_score"]
             if hit is not None and not replace:
                 hit["times_derived"] += 1
                 hit["last_reinforced_at"] = r["now"]
                 hit["changed"] = "insert" if hit["changed"] == "insert" else "update"
                 out.append((r["draft_id"], "REINFORCED", stage, hit["id"], None, sim))
                 continue
-            fresh = {c: r.get(c) for c in cols} | {"id": r["draft_id"], "times_derived": 1, "last_reinforced_at": r["now"], "created_at": r["now"], "changed": "insert", "alive": True}
+            fresh = {c: r.get(c) for c in [*cols, "_score"]} | {"id": r["draft_id"], "times_derived": 1, "last_reinforced_at": r["now"], "created_at": r["now"], "changed": "insert", "alive": True}
             fresh["embedding"] = None if _missing(fresh["embedding"]) else fresh["embedding"]
             if replace:
                 fresh["times_derived"] = hit["times_derived"] + 1
-                hit["alive"], hit["changed"] = False, "delete"
+                held.remove(hit)
                 out.append((r["draft_id"], "REPLACED", 3, fresh["id"], hit["id"], sim))
             else:
                 out.append((r["draft_id"], "INSERTED", 0, fresh["id"], None, None))
             held.add(fresh)
-        rows = held.rows
-        scope = dict(zip(SCOPE, key))
-        made = [scope | {"record": "fact"} | {c: x[c] for c in [*cols, "changed"]} for x in rows]
-        made += [scope | {"record": "outcome", "draft_id": a, "kind": b, "stage": c, "id": i, "replaced_id": e, "similarity": s} for a, b, c, i, e, s in out]
-        return pd.DataFrame({c: pd.Series([None if _missing(m.get(c)) else m[c] for m in made], dtype=object) for c in state.names})
+        return held.rows, out
 
-    both = d.groupBy(*SCOPE).cogroup(f.groupBy(*SCOPE)).applyInPandas(fold, state)
-    outcomes = both.where("record = 'outcome'").select(*OUTCOME)
-    return outcomes, both.where("record = 'fact'").select(*SCOPE, *cols, "changed")
+    def table(made: list[dict], names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([None if _missing(m.get(c)) else m[c] for m in made], dtype=object) for c in names})
+
+    def outcomes(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        return table([dict(zip(OUTCOME, x)) for x in write(new, old, lean)[1]], list(OUTCOME))
+
+    def after(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        scope = dict(zip(SCOPE, key))
+        return table([scope | x for x in write(new, old, cols)[0]], state.names)
+
+    by = [*SCOPE, "_part"]
+    lean = ["id", "content_norm", "content_hash", "times_derived", "created_at", "embedding"]
+    # outcomes need no text: equal ones have equal digests
+    short = [x.withColumn("content_norm", F.sha2("content_norm", 256)).drop("content", "content_analyzed", "session_name", "last_reinforced_at") for x in (d, f)]
+    kinds = "draft_id string, kind string, stage int, id string, replaced_id string, similarity double"
+    done = short[0].groupBy(*by).cogroup(short[1].groupBy(*by)).applyInPandas(outcomes, kinds)
+    return done.select(*OUTCOME), d.groupBy(*by).cogroup(f.groupBy(*by)).applyInPandas(after, state)
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -66,3 +66,24 @@ def test_one_scope_spans_groups(spark):
     rows = spark.range(200).select(F.lit("w").alias("s"), F.col("id"), F.array(F.col("id") % 7 + 1.0, F.col("id") % 5 + 1.0).cast("array<float>").alias("v"), F.lit(1.0).alias("n"))
     sizes = near.in_pairs_of_blocks(rows, rows, ["s"], lambda a, b: a.assign(rows=len(a) * len(b))[["_i", "_j", "rows"]].head(1), "_i int, _j int, rows long", 50).collect()
     assert len(sizes) > 20 and max(r.rows for r in sizes) < 200 * 200 / 4 and sum(r.rows for r in sizes) == 200 * 200
+
+
+def test_ordered_writes_in_parts(spark):
+    """A scope is written in parts that share nothing, with the outcomes of writing it whole; copies and chains stay together."""
+    rng = random.Random(6)
+    made = [(f"f{i:03}", rng.choice(["a b c", "A b C ", "x y", f"t{i} u", f"v{i % 9} w"]), rng.choice([None, [1.0, i / 40, 0.0], [0.0, 1.0, i / 40], [0.0, 0.0, 0.0], [float(i), -1.0, 3.0]])) for i in range(160)]
+
+    def table(rows):
+        base = facts(spark, [(i, c, "deductive", None, 1, 1) for i, c, _ in rows]).drop("embedding")
+        return base.join(spark.createDataFrame([(i, v) for i, _, v in rows], "id string, embedding array<float>"), "id")
+
+    old, new = table(made[:50]), table(made[50:]).withColumns({"draft_id": F.col("id"), "position": F.substring("id", 2, 3).cast("int")})
+    got = []
+    for rows in (1, 10**6):
+        outcomes, changed = dedup.upsert_in_order(new, old, F.expr(NOW), part_rows=rows)
+        got.append((sorted(map(str, outcomes.collect())), sorted(map(str, changed.drop("embedding").collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 110 and {"REPLACED", "INSERTED", "REINFORCED"} == {k for k in ("REPLACED", "INSERTED", "REINFORCED") if k in str(got[0][0])}
+    live = dedup.with_derived(old).withColumn("scope_session", dedup.scope_session())
+    parts = dedup._in_parts(live, live.limit(0), 0.05, 1)[0]
+    assert parts.select("_part").distinct().count() > 4
+    assert parts.groupBy("content_norm").agg(F.countDistinct("_part").alias("n")).where("n > 1").count() == 0
