@@ -32,17 +32,28 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", *PAIR, F.explode(F.array_distinct("query_tokens")).alias("term"))
 
 
+SMALL_VECTORS = 10_000
+
+
+def distances(queries: DataFrame, facts: DataFrame, now: Column, where: Column | None = None) -> DataFrame:
+    """(qid, id, distance) of every query and every live fact of its pair, by cosine.
+
+    Up to SMALL_VECTORS queries go to the facts, wherever these are; of more, both sides are plain exchanges on the
+    pair, so that a large one can be split."""
+    rows = live_facts(facts, now).where("embedding is not null")
+    rows = (rows if where is None else rows.where(where)).select(*PAIR, "id", "embedding", norm(F.col("embedding")).alias("_n"))
+    asked = small(queries.select("qid", *PAIR, "query_vector", norm(F.col("query_vector")).alias("_qn")), SMALL_VECTORS)
+    d = rows.join(asked, list(PAIR))
+    return d.select("qid", "id", cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn")).alias("distance"))
+
+
 def semantic(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Column | None = None) -> DataFrame:
     """(qid, id, distance, sem): each query's k nearest live facts of its pair, ties to smaller ids.
 
     Exact: a query meets every vector of its pair, and the window keeps k rows a query in every task before any is
-    shuffled. Both sides of the join are plain exchanges on the pair, so that a large one can be split; semantic_by_size
-    answers large pairs approximately.
+    shuffled; semantic_by_size answers large pairs approximately.
     """
-    rows = live_facts(facts, now).where("embedding is not null")
-    rows = (rows if where is None else rows.where(where)).select(*PAIR, "id", "embedding", norm(F.col("embedding")).alias("_n"))
-    d = queries.select("qid", *PAIR, "query_vector", norm(F.col("query_vector")).alias("_qn")).join(rows, list(PAIR))
-    d = d.select("qid", "id", cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("_n"), F.col("_qn")).alias("distance"))
+    d = distances(queries, facts, now, where)
     near = d.withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("_rn") <= k)
     return near.select("qid", "id", "distance", similarity(F.col("distance")).alias("sem"))
 

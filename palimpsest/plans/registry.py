@@ -828,36 +828,40 @@ _EVAL = f"""{with_views('queries')}, rk as (select qid, vec_id as id, row_number
  ideal as (select qid, rel, row_number() over (partition by qid order by rel desc, id) as rank from jd)"""
 
 
-def _eval(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Every question asked of one pair that holds all embeddings, and judged by all labels."""
+def _eval(v: Views, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every question asked of one pair that holds all embeddings, and judged by all labels: (ranking of the k nearest, or all
+    distances, and judgements)."""
     one = lambda d: d.withColumns(dict(zip(("workspace_name", "observer", "observed"), map(F.lit, "wab"))))
     q = one(v.queries())
     held = one(v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")).withColumns({"deleted_at": F.lit(None).cast("timestamp"), "expires_at": F.lit(None).cast("timestamp")})
-    near = recall.semantic(q, held, now(), 2**31 - 1)
-    ranking = near.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).alias("rank"))
-    judged = q.select("qid", "observer").join(one(v.table("labels")), "observer").select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
+    if k:
+        near = recall.semantic(q, held, now(), k)
+        ranking = near.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).alias("rank"))
+    else:
+        ranking = recall.distances(q, held, now())
+    judged = one(v.table("labels")).join(recall.small(q.select("qid", "observer")), "observer").select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
     return ranking, judged
 
 
 @query(f"""{_EVAL}, a as (select qid, sum(case when rank <= 10 then (2.0 ** rel - 1) / log2(rank + 1) end) as dcg from g group by 1), b as (select qid, sum((2.0 ** rel - 1) / log2(rank + 1)) as best from ideal where rank <= 10 group by 1)
  select qid, round(case when best > 0 then coalesce(dcg, 0) / best else 0 end, 6) as ndcg from a join b using (qid)""")
 def eval_ndcg(v: Views) -> DataFrame:
-    return evaluate.ndcg(*_eval(v), 10).select("qid", r("ndcg").alias("ndcg"))
+    return evaluate.ndcg(*_eval(v, 10), 10).select("qid", r("ndcg").alias("ndcg"))
 
 
 @query(f"{_EVAL} select qid, round(coalesce(1.0 / min(case when rel > 0 then rank end), 0), 6) as rr from g group by 1")
 def eval_mrr(v: Views) -> DataFrame:
-    return evaluate.reciprocal_rank(*_eval(v)).select("qid", r("rr").alias("rr"))
+    return evaluate.reciprocal_rank_by(*_eval(v)).select("qid", r("rr").alias("rr"))
 
 
 @query(f"{_EVAL} select qid, round(count(*) filter (rel > 0 and rank <= 10) / greatest(1, count(*) filter (rel > 0)), 6) as recall from g group by 1")
 def eval_recall_k(v: Views) -> DataFrame:
-    return evaluate.recall_at(*_eval(v), 10).select("qid", r("recall").alias("recall"))
+    return evaluate.recall_at(*_eval(v, 10), 10).select("qid", r("recall").alias("recall"))
 
 
 @query(f"{_EVAL} select qid, round(count(*) filter (rel > 0 and rank <= 10) / 10.0, 6) as precision from g group by 1")
 def eval_precision_k(v: Views) -> DataFrame:
-    return evaluate.precision_at(*_eval(v), 10).select("qid", r("precision").alias("precision"))
+    return evaluate.precision_at(*_eval(v, 10), 10).select("qid", r("precision").alias("precision"))
 
 
 @query(f"{_EVAL} select qid, id, rel::int as rel from jd where id not in (select vec_id from embeddings)")

@@ -77,3 +77,21 @@ def test_every_label_and_key(spark):
     assert judged.where("rel > 0").groupBy("qid").count().where(f"count <> {labels}").count() == 0 and len(p) > 0
     assert {x[0] for x in run(spark, "undrained_keys").work_unit_key} > {"1"}
     assert {int(x) % 3 for x in run(spark, "semantic_scores").id} == {0, 1, 2}
+
+
+def test_evaluation_leaves_no_product_to_one_task(spark):
+    """Questions go to the vectors and labels: neither is dealt by its one pair, and a question's rows are cut to k where they are."""
+    for name in ("eval_recall_k", "eval_unknown_judgements", "eval_ndcg", "eval_mrr", "eval_precision_k"):
+        plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(observer" not in plan and "hashpartitioning(workspace_name" not in plan and "2147483647" not in plan, name
+
+
+def test_reciprocal_rank_by_distance(spark):
+    from palimpsest.operators import evaluate
+
+    d = spark.createDataFrame([(q, i, float(i * (q + 3) % 5)) for q in range(4) for i in range(12)], "qid int, id int, distance double")
+    j = spark.createDataFrame([(q, i, int(q < 3 and i % (q + 4) == 3)) for q in range(4) for i in range(0, 14)], "qid int, id int, rel int")
+    w = evaluate.Window.partitionBy("qid").orderBy("distance", "id")
+    want = evaluate.reciprocal_rank(d.withColumn("rank", evaluate.F.row_number().over(w)), j)
+    got = {r.qid: r.rr for r in evaluate.reciprocal_rank_by(d, j).collect()}
+    assert got == {r.qid: r.rr for r in want.collect()} and got[3] == 0.0 and len(set(got.values())) > 2
