@@ -839,8 +839,12 @@ def _eval(v: Views, k: int | None = None) -> tuple[DataFrame, DataFrame]:
         ranking = near.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).alias("rank"))
     else:
         ranking = recall.distances(q, held, now())
-    judged = one(v.table("labels")).join(recall.small(q.select("qid", "observer")), "observer").select("qid", F.col("doc_id").alias("id"), (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
-    return ranking, judged
+    return ranking, _judged(v, v.table("labels").withColumnRenamed("doc_id", "id"))
+
+
+def _judged(v: Views, labels: DataFrame) -> DataFrame:
+    """Every question judged by these labels; the questions go to the labels."""
+    return labels.withColumn("_all", F.lit(1)).join(recall.small(v.queries().select("qid", F.lit(1).alias("_all"))), "_all").select("qid", "id", (F.col("quality") * (3 - F.col("toxic"))).alias("rel"))
 
 
 @query(f"""{_EVAL}, a as (select qid, sum(case when rank <= 10 then (2.0 ** rel - 1) / log2(rank + 1) end) as dcg from g group by 1), b as (select qid, sum((2.0 ** rel - 1) / log2(rank + 1)) as best from ideal where rank <= 10 group by 1)
@@ -867,7 +871,8 @@ def eval_precision_k(v: Views) -> DataFrame:
 @query(f"{_EVAL} select qid, id, rel::int as rel from jd where id not in (select vec_id from embeddings)")
 def eval_unknown_judgements(v: Views) -> DataFrame:
     corpus = v.table("embeddings").select(F.col("vec_id").alias("id"))
-    return evaluate.unknown_judgements(_eval(v)[1], corpus).select("qid", "id", F.col("rel").cast("int").alias("rel"))
+    unknown = evaluate.unknown_judgements(v.table("labels").withColumnRenamed("doc_id", "id"), corpus)  # before the labels meet the questions
+    return _judged(v, unknown).select("qid", "id", F.col("rel").cast("int").alias("rel"))
 
 
 @query(f"""{with_views('facts')}, h as (select sha256(concat_ws(chr(31), id, coalesce(content, chr(0)), level)) as d from facts),

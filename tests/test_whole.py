@@ -95,3 +95,8 @@ def test_reciprocal_rank_by_distance(spark):
     want = evaluate.reciprocal_rank(d.withColumn("rank", evaluate.F.row_number().over(w)), j)
     got = {r.qid: r.rr for r in evaluate.reciprocal_rank_by(d, j).collect()}
     assert got == {r.qid: r.rr for r in want.collect()} and got[3] == 0.0 and len(set(got.values())) > 2
+
+
+def test_unknown_labels_are_found_before_questions(spark):
+    plan = registry.QUERIES["eval_unknown_judgements"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftAnti")
