@@ -96,6 +96,10 @@ class Segments:
                 out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], schema).withColumn("seq", F.lit(0)) if out is None else out
 
+    def holds(self, table: str) -> bool:
+        """Whether a segment that counts has the table."""
+        return any(fs.exists(p) for fs, p in (self._at(f"{table}/{folder}") for _, folder in self.commits()))
+
     def last(self, table: str, schema: str) -> DataFrame:
         """What the last committed segment that holds the table has of it: for tables that are written whole."""
         for _, folder in reversed(self.commits()):

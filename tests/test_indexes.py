@@ -178,3 +178,23 @@ def test_probed_query(spark):
     got = {(r.qid, r.id) for r in registry.QUERIES["knn_probed"](spark, SMALL).collect()}
     share = len(want & got) / len(want)
     assert share >= 0.7, share
+
+
+def test_building_moves_the_text_once(spark, tmp_path):
+    """Facts are computed once for an index, and as often as rows are taken out: once."""
+    from palimpsest.operators.text_index import TextIndex
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    pair = {c: F.lit(c) for c in ("workspace_name", "observer", "observed")}
+    facts = spark.range(50).select(*[v.alias(k) for k, v in pair.items()], noted(F.col("id").cast("string")).alias("id"), F.concat_ws(" ", F.lit("a"), F.col("id")).alias("content_analyzed"))
+    index = TextIndex(spark, str(tmp_path / "once"), cells=2).build(facts)
+    assert seen.value == 50
+    index.delete(index.texts().where("id < '2'").select(*pair, "id"))
+    q = spark.createDataFrame([(1, *pair, ["a"])], "qid int, workspace_name string, observer string, observed string, query_tokens array<string>")
+    assert index.scores(q).count() == index.texts().count() == 38 and index.sizes().first().n_docs == 38
