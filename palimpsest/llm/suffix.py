@@ -5,8 +5,8 @@ over all bytes as the longest document has bytes. So the documents are first cut
 equal strings of `width` bytes always meet: each such string has a minimizer (its gram of least hash), and a run
 of strings with one minimizer makes a context. A collection of strings needs each different one once, so contexts that
 are equal as a whole are collapsed to that of the smallest document; the different contexts of a minimizer go, all of
-that minimizer together, into collections whose transform and common prefixes are built column by column, and there
-equal strings are neighbours.
+that minimizer together and without what no other document can hold, into collections whose transform and common
+prefixes are built column by column, and there equal strings are neighbours.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
-from contextlib import ExitStack
 from functools import reduce
 
 import numpy as np
@@ -31,34 +30,37 @@ GRAM = 20
 PIECE = 1 << 20
 
 
-class Files:
-    """The transform (one byte a suffix), the common prefixes (one byte, at most 255), and each suffix's string and length,
-    as files that each round reads from beginning to end, in chunks, and writes anew."""
+#: A suffix as a file holds it: the transform's symbol, the common prefix (at most 255), the suffix's length and its string.
+ROW = np.dtype([("bwt", np.uint8), ("lcp", np.uint8), ("left", np.uint8), ("_", np.uint8), ("who", np.uint32)])
+
 
-    KINDS = {"bwt": np.uint8, "lcp": np.uint8, "who": np.uint32, "left": np.uint8}
+class Files:
+    """The transform, the common prefixes, and each suffix's string and length, as a file that each round reads from
+    beginning to end, in chunks, and writes anew. A row is eight bytes, moved as one number."""
 
     def __init__(self, folder: str, chunk: int):
         self.folder, self.chunk, self.turn = folder, chunk, 0
-        for name in self.KINDS:
-            for turn in (0, 1):
-                open(self._path(name, turn), "wb").close()
+        for turn in (0, 1):
+            open(self._path(turn), "wb").close()
 
-    def _path(self, name: str, turn: int) -> str:
-        return os.path.join(self.folder, f"{name}{turn}")
+    def _path(self, turn: int) -> str:
+        return os.path.join(self.folder, f"rows{turn}")
 
-    def read(self) -> Iterator[list[np.ndarray]]:
-        with ExitStack() as held:
-            sources = [(held.enter_context(open(self._path(name, self.turn), "rb")), kind) for name, kind in self.KINDS.items()]
-            while len((now := [np.fromfile(f, kind, self.chunk) for f, kind in sources])[0]):
+    def rows(self) -> Iterator[np.ndarray]:
+        with open(self._path(self.turn), "rb") as f:
+            while len(now := np.fromfile(f, np.uint64, self.chunk)):
                 yield now
 
-    def rewrite(self, chunks: Iterator[list[np.ndarray]]) -> None:
-        with ExitStack() as held:
-            # a round's files are never shorter than those of the round before the last, so they are written over
-            targets = [held.enter_context(open(self._path(name, 1 - self.turn), "r+b")) for name in self.KINDS]
-            for arrays in chunks:
-                for f, a in zip(targets, arrays):
-                    a.tofile(f)
+    def read(self) -> Iterator[list[np.ndarray]]:
+        """Symbols, common prefixes, strings and lengths."""
+        for now in self.rows():
+            yield [now.view(ROW)[name] for name in ("bwt", "lcp", "who", "left")]
+
+    def rewrite(self, chunks: Iterator[np.ndarray]) -> None:
+        # a round's file is never shorter than that of the round before the last, so it is written over
+        with open(self._path(1 - self.turn), "r+b") as f:
+            for rows in chunks:
+                rows.tofile(f)
         self.turn = 1 - self.turn
 
 
@@ -74,6 +76,16 @@ def _range_min(lcp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+def _min_to(lcp: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, int]:
+    """Minima of lcp[: x + 1] for each of a few x (255 where x is -1), and that of all."""
+    o = np.argsort(to)
+    low = np.minimum.accumulate(np.minimum.reduceat(np.append(lcp, np.uint8(255)), np.append(0, to[o] + 1)))
+    out = np.empty(len(to), np.uint8)
+    out[o] = low[:-1]
+    out[to < 0] = 255
+    return out, low[-1]
+
+
 class Scan:
     """What one sequential pass over a transform finds for the suffixes that came last: where the next symbols' suffixes go.
 
@@ -92,44 +104,40 @@ class Scan:
 
     def add(self, bwt: np.ndarray, lcp: np.ndarray, new: np.ndarray, who: np.ndarray) -> None:
         """A chunk; new: ascending places of the last suffixes in it, who: their strings."""
-        some = bwt[new] > 0
-        new, who = new[some], who[some]
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
         count = np.bincount(bwt, minlength=256)
         begin = np.cumsum(count) - count
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        from_start = np.minimum.accumulate(lcp)
-        to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
         fresh = np.zeros(n, bool)
         fresh[new] = True
         here = np.flatnonzero(count)
+        head, tail = order[begin[here]], order[begin[here] + count[here] - 1]
+        to_head, least = _min_to(lcp, head)
         # the first occurrence here of a symbol whose last new suffix waits for its neighbour
-        head = order[begin[here]]
         waits = (self.open[here] >= 0) & ~fresh[head]
         if waits.any():
-            low = np.minimum(self.since[here], from_start[head])[waits]
+            low = np.minimum(self.since[here], to_head)[waits]
             self.changed.append((self.open[here[waits]] + 1, np.minimum(low, 254) + 1))
-        if len(new):
-            c, t = bwt[new], place[new]
+        self.open[here] = -1
+        t = np.flatnonzero(fresh[order[count[0] :]]) + count[0]  # of the new ones that go on, by symbol and place
+        if len(t):
+            at = order[t]
+            c = bwt[at]
             rank = t - begin[c]
             row = self.next[c] + rank
             inside = rank > 0
-            prefix = np.zeros(len(new), np.uint8)
-            prefix[inside] = np.minimum(_range_min(lcp, order[t[inside] - 1] + 1, new[inside] + 1), 254) + 1
-            carried = ~inside & self.seen[c]
-            prefix[carried] = np.minimum(np.minimum(self.since[c[carried]], from_start[new[carried]]), 254) + 1
-            self.found.append((row, who, prefix))
+            prefix = np.zeros(len(t), np.uint8)
+            prefix[inside] = np.minimum(_range_min(lcp, order[t[inside] - 1] + 1, at[inside] + 1), 254) + 1
+            carried = np.flatnonzero(~inside & self.seen[c])
+            prefix[carried] = np.minimum(np.minimum(self.since[c[carried]], to_head[np.searchsorted(here, c[carried])]), 254) + 1
+            self.found.append((row, who[np.searchsorted(new, at)], prefix))
             last = rank == count[c] - 1
             after = order[np.minimum(t + 1, n - 1)]
             near = ~last & ~fresh[after]
-            self.changed.append((row[near] + 1, np.minimum(_range_min(lcp, new[near] + 1, after[near] + 1), 254) + 1))
-        self.open[here] = -1
-        if len(new):
+            self.changed.append((row[near] + 1, np.minimum(_range_min(lcp, at[near] + 1, after[near] + 1), 254) + 1))
             self.open[c[last]] = row[last]
-        self.since = np.minimum(self.since, from_start[-1])
-        self.since[here] = to_end[order[begin[here] + count[here] - 1] + 1]
+        self.since = np.minimum(self.since, least)
+        self.since[here] = _min_to(lcp[::-1], n - 2 - tail)[0]
         self.seen[here] = True
         self.next += count
 
@@ -141,7 +149,7 @@ class Scan:
         return row[o], who[o], prefix[o], at[p], low[p]
 
 
-def column_wise(strings: list[bytes], folder: str, chunk: int = 1 << 16) -> Files:
+def column_wise(strings: list[bytes], folder: str, chunk: int = 1 << 17) -> Files:
     """Transform and common prefixes (at most 255) of all suffixes of the strings, in files in the folder.
 
     Symbols are bytes plus 1 (so that byte 255 is not allowed; UTF-8 has none); 0 ends a string, and ends are ordered by
@@ -165,39 +173,38 @@ def column_wise(strings: list[bytes], folder: str, chunk: int = 1 << 16) -> File
         symbol = table[j, who]
         total += np.bincount(symbol, minlength=256)
         scan = Scan(k + np.cumsum(total) - total - total[0])
-        new = (symbol, prefix, who.astype(np.uint32), np.full(len(who), j, np.uint8))
+        new = np.zeros(len(who), ROW)
+        new["bwt"], new["lcp"], new["left"], new["who"] = symbol, prefix, j, who
+        new = new.view(np.uint64)
         before = row - np.arange(len(row))  # how many old rows come before each new one
 
-        def merged() -> Iterator[list[np.ndarray]]:
+        def merged() -> Iterator[np.ndarray]:
             done = lo = 0
-            old = files.read()
+            old = files.rows()
             while True:
-                arrays = next(old, None)
-                size = 0 if arrays is None else len(arrays[0])
-                hi = len(row) if arrays is None else int(np.searchsorted(before, done + size))
-                if arrays is None:
-                    arrays = [np.empty(0, kind) for kind in Files.KINDS.values()]
+                rows = next(old, None)
+                size = 0 if rows is None else len(rows)
+                hi = len(row) if rows is None else int(np.searchsorted(before, done + size))
+                if rows is None:
+                    rows = np.empty(0, np.uint64)
                 for begin in range(lo, max(hi, lo + 1), chunk):  # many new rows at one place come in several chunks
                     end = min(hi, begin + chunk)
                     final = end == hi
                     # old rows go out with the last of the new rows before them
                     cut = size if final else int(before[end - 1]) - done
-                    part = [a[:cut] for a in arrays]
-                    arrays = [a[cut:] for a in arrays]
+                    part, rows = rows[:cut], rows[cut:]
                     base = done + begin  # the first row that goes out now
                     place = row[begin:end] - base
-                    out, kept = [], np.ones(cut + end - begin, bool)
+                    out, kept = np.empty(cut + end - begin, np.uint64), np.ones(cut + end - begin, bool)
                     kept[place] = False
-                    for a, b in zip(part, new):
-                        x = np.empty(len(kept), a.dtype)
-                        x[kept], x[place] = a, b[begin:end]
-                        out.append(x)
+                    out[kept], out[place] = part, new[begin:end]
                     done += cut
                     size -= cut
                     if len(kept):
                         s, e = np.searchsorted(at, [base, base + len(kept)])
-                        out[1][at[s:e] - base] = low[s:e]
-                        scan.add(out[0], out[1], place, who[begin:end])
+                        view = out.view(ROW)
+                        view["lcp"][at[s:e] - base] = low[s:e]
+                        scan.add(view["bwt"].copy(), view["lcp"].copy(), place, who[begin:end])
                         yield out
                 if hi == len(row) and not size and done == rows_before:
                     return
@@ -209,7 +216,7 @@ def column_wise(strings: list[bytes], folder: str, chunk: int = 1 << 16) -> File
     return files
 
 
-def repeated_windows(strings: list[bytes], docs: np.ndarray, width: int, folder: str | None = None, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(strings: list[bytes], docs: np.ndarray, width: int, folder: str | None = None, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the substrings of `width` bytes that a string of a smaller document holds too."""
     lens = np.array([len(s) for s in strings], np.int64)
     hits: list[tuple[np.ndarray, np.ndarray]] = []
@@ -236,6 +243,63 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, width: int, folder:
     return tuple(np.concatenate(x) for x in zip(*hits))
 
 
+def _parted(docs: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a key belongs to several documents."""
+    o = np.lexsort((docs, key))
+    at = np.flatnonzero(np.diff(key[o], prepend=~key[o[:1]]))
+    several = docs[o][at] < docs[o][np.append(at[1:], len(o)) - 1]
+    out = np.empty(len(o), bool)
+    out[o] = np.repeat(several, np.diff(np.append(at, len(o))))
+    return out
+
+
+def may_meet(strings: list[bytes], docs: np.ndarray, width: int, gram: int = GRAM, parts: int = 4, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: begin and end of what can hold a string of `width` bytes that another document's context holds too; equal if nothing can.
+
+    All strings of a context hold its minimizer, at most width - gram bytes after their beginning. Those that have it
+    in one of `parts` ranges of places share the bytes around it that all of them cover; if no other document has these
+    (by 64-bit hashes), none of these strings is held twice. Where the minimizer occurs more than once in a context, its
+    places say nothing, and all contexts of that minimizer stay whole.
+    """
+    span, n = width - gram + 1, len(strings)
+    cuts = [(span * i // parts, span * (i + 1) // parts - 1) for i in range(parts)]
+    lens = np.array([len(s) for s in strings], np.int64)
+    low, place, times = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64)
+    keys, some = np.zeros((parts, n), np.uint64), np.zeros((parts, n), bool)
+    for lo in range(0, n, block):
+        hi = min(n, lo + block)
+        size = lens[lo:hi]
+        at = np.cumsum(size) - size
+        b = np.frombuffer(b"".join(strings[lo:hi]), np.uint8)
+        up, down = _powers_to(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(BYTE[b] * up[: len(b)], out=sums[1:])
+        g = np.full(len(b), ~np.uint64(0))
+        g[: len(b) - gram + 1] = _mix((sums[gram:] - sums[:-gram]) * down[: len(b) - gram + 1])
+        over = (at + size)[:, None] - np.arange(1, gram)
+        g[over.ravel()] = ~np.uint64(0)  # these reach into the next context
+        low[lo:hi] = np.minimum.reduceat(g, at)
+        found = np.flatnonzero(g == np.repeat(low[lo:hi], size))
+        first = np.searchsorted(found, at)
+        place[lo:hi] = p = found[first] - at
+        times[lo:hi] = np.diff(np.append(first, len(found)))
+        for k, (x, y) in enumerate(cuts):
+            i = np.flatnonzero((p >= x) & (p - y <= size - width))  # a string has the minimizer x to y bytes after its beginning
+            some[k, lo + i] = True
+            s, e = at[i] + p[i] - x, at[i] + p[i] - y + width
+            keys[k, lo + i] = _mix((sums[e] - sums[s]) * down[s])
+    begin, end = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+    for k, (x, y) in enumerate(cuts):
+        i = np.flatnonzero(some[k])
+        i = i[_parted(docs[i], keys[k, i])] if len(i) else i
+        begin[i] = np.minimum(begin[i], np.maximum(place[i] - y, 0))
+        end[i] = np.maximum(end[i], np.minimum(place[i] - x + width, lens[i]))
+    begin = np.minimum(begin, end)
+    whole = np.isin(low, low[times > 1])
+    begin[whole], end[whole] = 0, lens[whole]
+    return begin, end
+
+
 def contexts(text: bytes, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, hash, start and number of strings less one of each context of a text; together they hold all its strings of `width` bytes."""
     span = width - gram + 1
@@ -391,7 +455,7 @@ def settled(stage: Staging, mapped: DataFrame, width: int, n: int, most: int) ->
     A range of at most `most` contexts is sorted by one task. The others (a minimizer of a very common passage is among
     theirs) are unpacked to rows, and what is asked of them are minima by key, joined to the rows: joins that can be split.
     """
-    hot = [r[0] for r in mapped.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 8n ranges
+    hot = [r[0] for r in mapped.groupBy("range").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]  # of 16,384 ranges at most
     packed = mapped.select("range", "data").where("data is not null")
     out = stage(packed.where(~F.col("range").isin(hot)).repartition(n, "range").sortWithinPartitions("range").mapInArrow(_settle(width), ASKED), SMALL)
     if not hot:
@@ -406,6 +470,13 @@ def settled(stage: Staging, mapped: DataFrame, width: int, n: int, most: int) ->
     return out.union(more)
 
 
+def context_ranges(size: int, each: int = 125_000, most: int = 1 << 14) -> int:
+    """Ranges of minimizers to deal the contexts of so many bytes into, some `each` contexts a range, whatever the number of
+    tasks. Texts have a context some 16 bytes; a task makes a packed row a range for each 4 MB, so that `most` ranges
+    leave 15 contexts a row. Only above 10^11 bytes do most ranges outgrow what one task judges; joins judge them then."""
+    return max(1, min(most, -(-size // (16 * each))))
+
+
 def _with_text(texts: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
     """Texts and the rows about them, dealt by document and version, the text before or after its rows; no row repeats a text."""
     extra = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("doc", "v")]
@@ -441,9 +512,13 @@ def _order(width: int, collection: int):
         string_of = np.empty(len(o), np.int64)
         string_of[o] = np.cumsum(first) - 1
         text = t.column("ctx").combine_chunks().take(pa.array(some)).to_pylist()
-        i, off = repeated_windows(text, doc[some], width)
+        begin, end = may_meet(text, doc[some], width)
+        if not len(kept := np.flatnonzero(begin < end)):
+            return None
+        i, off = repeated_windows([text[k][begin[k] : end[k]] for k in kept], doc[some[kept]], width)
         if not len(i):
             return None
+        i, off = kept[i], begin[kept[i]] + off
         k = np.lexsort((off, i))
         i, off = i[k], off[k]
         new = np.ones(len(i), bool)
@@ -520,7 +595,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, b
     doc_id are versions of one document: each loses by its own text what smaller ids hold, and none takes from another, so
     that equal rows get equal results. An empty table gives no row; other columns are not read.
     A context that the same piece of the scan holds for a smaller document is settled there and never shuffled, so a
-    common passage leaves a few rows a piece; ranges of minimizers with more than range_most contexts are judged by
+    common passage leaves a few rows a piece; ranges of minimizers follow the bytes of the texts, those with more than range_most contexts are judged by
     joins that can be split, and minimizers with more than `block` contexts to compare are dealt into pairs of blocks,
     so no group grows with the data. Whole contexts are held equal by 64-bit hashes next to equal minimizers; a text is
     told from other versions of its id by a 64-bit hash.
@@ -532,8 +607,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, collection: int = 40_000, b
     texts = versions(docs, id_col, text_col)
     with Staging() as stage:
         long_enough = texts.where(F.octet_length("text") >= width)
+        ranges = context_ranges(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
         with Staging() as packed:  # the largest table, which goes as soon as it has been judged
-            mapped = long_enough.mapInArrow(_map_contexts(width, 8 * n), "range int, n long, data binary, doc long, v long, st long, size long")
+            mapped = long_enough.mapInArrow(_map_contexts(width, ranges), "range int, n long, data binary, doc long, v long, st long, size long")
             mapped = packed(mapped, {ARROW_ROWS: "2000"}, **{"parquet.block.size": 8 << 20})
             early = stage(mapped.where("data is null").select("doc", "v", "st", "size"))
             judged = settled(stage, mapped, width, n, range_most)
