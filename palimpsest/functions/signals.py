@@ -30,6 +30,14 @@ def bm25_term(tf: Column, df: Column, n_docs: Column, length: Column, mean_lengt
     return F.when((n_docs > 0) & (tf > 0), part).otherwise(F.lit(0.0))
 
 
+def bm25_total(part: Column) -> Column:
+    """The sum of the shares of a query's terms: the same for the same shares in any order, so that copies of a text tie.
+
+    Shares are added as whole multiples of 2**-42; totals up to 2,000,000 fit, which some 30,000 of the rarest terms reach.
+    """
+    return F.sum(F.round(part * 2.0**42).cast("bigint")) / F.lit(2.0**42)
+
+
 def keyword_curve(raw: Column, n_terms: Column) -> Column:
     """Logistic curve of a BM25 score, by the query's number of terms; nothing matched is 0."""
     mid = steep = None

@@ -147,7 +147,7 @@ def keyword_scores(queries: DataFrame, facts: DataFrame, now: Column) -> DataFra
     stats = rows.where("term is null").groupBy(*PAIR).agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean_length"))
     hits = post.join(terms.join(df, [*PAIR, "term"]).join(stats, list(PAIR)), [*PAIR, "term"])
     part = signals.bm25_term(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.coalesce("mean_length", F.lit(0.0)))
-    return hits.groupBy("qid", "id").agg(F.sum(part).alias("kw_raw"))
+    return hits.groupBy("qid", "id").agg(signals.bm25_total(part).alias("kw_raw"))
 
 
 def keyword(queries: DataFrame, facts: DataFrame, now: Column, k: int, where: Column | None = None) -> DataFrame:

@@ -198,3 +198,23 @@ def test_building_moves_the_text_once(spark, tmp_path):
     index.delete(index.texts().where("id < '2'").select(*pair, "id"))
     q = spark.createDataFrame([(1, *pair, ["a"])], "qid int, workspace_name string, observer string, observed string, query_tokens array<string>")
     assert index.scores(q).count() == index.texts().count() == 38 and index.sizes().first().n_docs == 38
+
+
+def test_copies_tie_in_any_order(spark, texts, tmp_path):
+    """Scores do not depend on the order in which a fact's terms are added: to the last bit, and so in the order of ties."""
+    from palimpsest.functions import signals
+    from palimpsest.operators.text_index import TextIndex
+
+    parts = [(i, x) for i, order in enumerate(([0.1, 0.2, 0.3], [0.3, 0.2, 0.1])) for x in order]
+    sums = spark.createDataFrame(parts, "id int, x double").coalesce(1).groupBy("id").agg(signals.bm25_total(F.col("x")).alias("s")).collect()
+    assert len({r.s for r in sums}) == 1 and abs(sums[0].s - 0.6) < 1e-12
+    facts, asked = texts
+    copies = facts.unionByName(facts.withColumn("id", F.concat("id", F.lit("c"))))
+    index = TextIndex(spark, str(tmp_path / "c"), cells=16, band_rows=20).build(facts)
+    index.insert(copies.where("id like '%c'"))
+    exact = lambda d: sorted((r.qid, r.id, r.kw_raw) for r in d.select("qid", "id", "kw_raw").collect())
+    now = F.expr("timestamp '1970-01-01 00:00:00'")
+    want = exact(recall.keyword_scores(asked, copies, now))
+    backwards = copies.withColumn("content_analyzed", F.array_join(F.reverse(F.split("content_analyzed", " ")), " "))
+    assert exact(index.scores(asked)) == want == exact(recall.keyword_scores(asked, backwards, now))
+    assert exact(index.search(asked, 5)) == exact(recall.keyword(asked, copies, now, 5))
